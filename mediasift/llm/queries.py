@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediasift.llm import langid
+from mediasift.llm import langid, quality
 
-QUERIES = {"op1_language_id": langid.query}
+QUERIES = {"op1_language_id": langid.query, "op9_quality": quality.query}
 SQL: dict[str, str] = {}
 
 

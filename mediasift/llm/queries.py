@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from mediasift.llm import langid, quality
+from mediasift.llm import decontaminate, langid, quality
 
-QUERIES = {"op1_language_id": langid.query, "op9_quality": quality.query}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": langid.query,
+    "op3_decontaminate": decontaminate.query,
+    "op9_quality": quality.query,
+}
+SQL = {
+    "op3_decontaminate": decontaminate.SQL,
+}
 
 
 def queries():

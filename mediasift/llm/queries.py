@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mediasift.llm import decontaminate, langid, packing, quality
+from mediasift.llm import decontaminate, langid, minhash, packing, quality
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_near_duplicates": minhash.query,
     "op7_packing": packing.query,
     "op9_quality": quality.query,
 }

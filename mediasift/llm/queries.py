@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mediasift.llm import decontaminate, langid, minhash, packing, quality
+from mediasift.llm import decontaminate, fingerprint, langid, minhash, packing, quality
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op3_decontaminate": decontaminate.query,
     "op4_near_duplicates": minhash.query,
+    "op6_fingerprints": fingerprint.query,
     "op7_packing": packing.query,
     "op9_quality": quality.query,
 }

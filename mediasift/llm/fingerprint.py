@@ -56,7 +56,7 @@ def syncmers(data: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> t
     ends = np.repeat(offsets[1:], np.diff(offsets))[:count]
     at = np.flatnonzero(((inner[:count] == low[:count]) | (inner[width - 1 : width - 1 + count] == low[:count])) & (np.arange(count) + k <= ends))
     h = inner[at]
-    for i in range(s, k, s):
+    for i in sorted({*range(s, k - s + 1, s), k - s}):
         h = _mix(h * _U(0x100000001B3) + inner[np.minimum(at + i, n - s)])
     row = np.searchsorted(offsets, at, "right") - 1
     return h, at - offsets[row], np.searchsorted(row, np.arange(rows + 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediasift.llm import decontaminate, fingerprint, langid, minhash, packing, quality
+from mediasift.llm import decontaminate, fingerprint, langid, minhash, packing, pii, quality
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_duplicates": minhash.query,
     "op6_fingerprints": fingerprint.query,
     "op7_packing": packing.query,
+    "op8_pii": pii.query,
     "op9_quality": quality.query,
 }
 SQL = {

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mediasift.llm import decontaminate, fingerprint, langid, minhash, packing, pii, quality
+from mediasift.llm import decontaminate, fingerprint, langid, minhash, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op3_decontaminate": decontaminate.query,
     "op4_near_duplicates": minhash.query,
+    "op5_secrets": secrets.query,
     "op6_fingerprints": fingerprint.query,
     "op7_packing": packing.query,
     "op8_pii": pii.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op3_decontaminate": decontaminate.SQL,
+    "op5_secrets": secrets.sql(),
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediasift.llm import decontaminate, fingerprint, langid, minhash, packing, pii, quality, secrets
+from mediasift.llm import decontaminate, fingerprint, langid, licenses, minhash, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op7_packing": packing.query,
     "op8_pii": pii.query,
     "op9_quality": quality.query,
+    "op10_licenses": licenses.query,
 }
 SQL = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_secrets": secrets.sql(),
+    "op10_licenses": licenses.sql(),
 }
 
 

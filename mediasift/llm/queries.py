@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mediasift.llm import decontaminate, fingerprint, langid, licenses, minhash, packing, pii, quality, secrets
+import corpus_pipeline
+from mediasift.llm import decontaminate, fingerprint, langid, licenses, linededup, minhash, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language_id": langid.query,
+    "op2_line_dedup": linededup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_near_duplicates": minhash.query,
     "op5_secrets": secrets.query,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op3_decontaminate": decontaminate.SQL,

@@ -1,4 +1,4 @@
-"""The registered queries of the media operators, with their SQL."""
+"""All registered queries of the media operators, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediasift.sources.tables import table
+from mediasift.plans import q_pairs
+from mediasift.plans.registry import QUERIES, SQL
+
+MODULES = (q_pairs,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    """Near-duplicate groups and the bytes that each would free."""
+    return QUERIES["e8_space_report"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

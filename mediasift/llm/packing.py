@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -26,11 +27,38 @@ VOCABULARY = "byte_bpe_50k"
 #: Pieces of one group at most, on average; a group is packed in one task.
 GROUP_PIECES = 8_000
 #: Cached words of a task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Rounds of local search over a group.
 ROUNDS = 3
-#: Text in which pre-tokens end before each single blank, for both tokenizer libraries alike.
-PLAIN = re.compile(r"[^\n -~\xa1-ɏ]|<\||[ \n] |[\n] | \n|\A | \Z")
+#: Characters that both tokenizer libraries class alike, beyond Latin-1.
+KNOWN = re.compile(r"[^\n -~\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+#: Blanks other than single ones inside a line, and what might begin a special token.
+ODD = ("  ", " \n", "\n ", "<|")
+
+
+def _plain(text: str) -> bool:
+    """Are pre-tokens sure to end before each blank?"""
+    if text[0] == " " or text[-1] == " " or any(x in text for x in ODD):
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return KNOWN.search(text) is None
+    return text.replace("\n", "").isprintable()
+
+
+class _Words(dict):
+    """Ids of a word with the blank before it; bounded, for words never end."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self[word] = self.encode(" " + word)
+        return ids
 
 
 class Encoder:
@@ -41,7 +69,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_file)
-        self.cache: dict[str, bytes] = {}
         self.word = self._slow
         if ranks_file:
             import base64
@@ -51,8 +78,9 @@ class Encoder:
 
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.word = lambda text: np.array(coder.encode_ordinary(text), "<u4").tobytes()
+            encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.word = lambda text: array("I", encode(text)).tobytes()
+        self.words = _Words(self.word)
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,19 +88,10 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if PLAIN.search(text):
+        if not _plain(text):
             return self._slow(text)
         first, *rest = text.split(" ")
-        out, cache = [self.word(first)], self.cache
-        for w in rest:
-            got = cache.get(w)
-            if got is None:
-                got = self.word(" " + w)
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                cache[w] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join([self.word(first), *map(self.words.__getitem__, rest)])
 
 
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, files: tuple[str, str | None] | None = None) -> DataFrame:

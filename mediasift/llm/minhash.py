@@ -6,8 +6,9 @@
 2. Texts with equal sets form a class; its smallest id stands for it from here on.
 3. Bands of the signature are bucketed. A bucket never gives all its pairs: first each class is verified against one
    pivot, the smallest id that it shares a bucket with, and the links found are turned into components. Only then are
-   buckets that still hold more than one component joined, across components alone and only where the signatures agree
-   well enough for the threshold; these pairs are verified too.
+   buckets that still hold more than one component joined, across components alone, and only where the elements that
+   each has in common with any other candidate, and the signatures, allow for the threshold; these pairs are verified
+   too, so no link between components is lost.
 4. Links are confirmed on the full sets, as integers. Components of the links, carried to all members of the classes,
    give one row for each document.
 """
@@ -193,6 +194,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> Dat
     return full.select("a", "b", "ha", "hb").mapInArrow(*_confirm(percent, kind))
 
 
+def _shared_part(sets: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """(id, n, shared): the size of a set, and how many of its elements any other of the wanted sets has too. No two
+    sets have more in common than the smaller of these numbers."""
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(1).to_pylist()
+            ids = np.repeat(np.arange(len(h)), [len(x) // 8 for x in h])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(np.frombuffer(b"".join(h), np.int64))], names=["id", "element"])
+
+    there = sets.join(wanted.hint("merge"), "id", "left_semi")
+    only = there.mapInArrow(run, f"id {kind}, element bigint").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("id")).where("sets = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    n = (F.octet_length("h") / 8).cast("long")
+    return there.select("id", n.alias("n")).join(only.hint("merge"), "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
@@ -217,15 +234,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     links = stored(_verified(first, sets, percent, kind), "links")
     found = components(links)
 
-    # buckets that hold more than one component still: pairs across components whose signatures agree well enough
+    # buckets that hold more than one component still: pairs across components that can reach the threshold, by what
+    # each has in common with any other candidate and by their signatures
     tagged = members.join(found.hint("merge"), members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    open_ = stored(tagged.join(mixed.hint("merge"), "bucket"), "mixed")
+    shared_part = _shared_part(sets, open_.select("id").distinct(), kind)
+    able = stored(shared_part.where(F.col("shared") * 100 >= F.col("n") * percent), "able")
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substring("sig", i * 2 + 1, F.lit(2)))
-    rest = stored(tagged.join(mixed.hint("merge"), "bucket").join(reps.select("id", slots.alias("sig")).hint("merge"), "id"), "mixed")
+    own = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # a bucket for each band at most
+    wide = able.join(reps.select("id", "sig").hint("merge"), "id").join(own.hint("merge"), "id").select("id", "n", "shared", "buckets", slots.alias("sig"))
+    rest = open_.join(wide.hint("merge"), "id")
     x, y = rest.alias("x"), rest.alias("y")
     alike = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
     across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y.hint("merge"), across & (alike >= int((percent / 100 - MARGIN) * SLOTS))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    reach = F.least("x.shared", "y.shared") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")  # of the buckets that a pair shares, one gives it
+    pairs = x.join(y.hint("merge"), across & reach & once & (alike >= int((percent / 100 - MARGIN) * SLOTS))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = stored(_verified(pairs, sets, percent, kind), "links")
     if not more.isEmpty():
         found = components(links.union(more))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
         found = tempfile.mkdtemp(prefix="mediasift-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 

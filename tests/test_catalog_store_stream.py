@@ -95,3 +95,19 @@ def test_incremental_stream(spark, tmp_path):
     pairs = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "pairs"))
     assert sorted(r["id"] for r in store.collect()) == [1, 2, 3]
     assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 3)]
+
+
+def test_repeats_in_a_stream(spark, tmp_path):
+    rows = [(k, "2026-01-01 00:00:00", [k % 3]) for k in range(9)]
+    spark.createDataFrame(rows, "id long, t string, phash array<long>").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, t string, phash array<long>").parquet(str(tmp_path / "in")).withColumn("ts", F.to_timestamp("t"))
+    q = I.distinct_signatures(stream, "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("once").count() == 3
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -32,6 +32,9 @@ SLOTS = BANDS * ROWS
 #: A pair at a threshold of 0.8 or more agrees in so much less of its slots with a chance below 1e-7.
 MARGIN = 0.18
 
+#: Elements whose permutations are held at once.
+PART = 1 << 17
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _P = 0x9E3779B97F4A7C15
@@ -99,23 +102,22 @@ def superminhash(h: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.nda
     flat = sig.ravel()
     size = np.diff(first)
     doc = np.repeat(np.arange(n), size)
-    live = np.arange(len(h))
-    perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(live), 1))
-    step = 0
-    while len(live) and step < slots:
-        r = _mix(h[live] + _U((step + 1) * _P & (1 << 64) - 1))
-        to = step + ((r >> _U(40)) % _U(slots - step)).astype(np.int64)
-        row = np.arange(len(live))
-        slot = perm[row, to]
-        perm[row, to] = perm[row, step]
-        value = step + (r & _U(0xFFFFFFFF)).astype(np.float64) / 2.0**32
-        np.minimum.at(flat, doc[live] * slots + slot, value)
-        step += 1
-        # a text is done once none of its slots is above the next rank
-        open_ = sig.max(axis=1) > step
-        keep = open_[doc[live]]
-        if not keep.all():
+    for begin in range(0, len(h), PART):  # minima don't mind parts, and a part's permutations fit in memory
+        live = np.arange(begin, min(len(h), begin + PART))
+        perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(live), 1))
+        for step in range(slots):
+            # a text is done once none of its slots is above the next rank
+            keep = (sig.max(axis=1) > step)[doc[live]]
             live, perm = live[keep], perm[keep]
+            if not len(live):
+                break
+            r = _mix(h[live] + _U((step + 1) * _P & (1 << 64) - 1))
+            to = step + ((r >> _U(40)) % _U(slots - step)).astype(np.int64)
+            row = np.arange(len(live))
+            slot = perm[row, to]
+            perm[row, to] = perm[row, step]
+            value = step + (r & _U(0xFFFFFFFF)).astype(np.float64) / 2.0**32
+            np.minimum.at(flat, doc[live] * slots + slot, value)
     return _mix(sig.view(_U)).astype(np.uint16)
 
 

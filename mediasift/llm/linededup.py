@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from mediasift.sources.shared import stored
 
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
+ENDINGS = ("\n", ". ", "! ", "? ")
+#: Put after each ending to split at, which is faster; a text that holds it is split by the expression.
+MARK = "\x01"
 #: A chunk ends after three of four lines.
 ENDS_OF, ENDS = 4, 3
 #: Characters of a chunk that is looked up at least; of a match that is removed at least; of one long line at least.
 LEAST_CHUNK, LEAST_MATCH, LONG_LINE = 24, 60, 250
 #: Lines beside a chunk to which a match can be extended.
-BESIDE = 3
+BESIDE = 2
 #: Repeated chunks up to which their hashes are broadcast (16 bytes each); more are joined by sorting.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,7 +42,12 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.split(text, LINE_END), lambda line: line != "")
+    """The lines of a text with their ends, so that together they are the text."""
+    marked = text
+    for e in ENDINGS:
+        marked = F.replace(marked, F.lit(e), F.lit(e + MARK))
+    parts = F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
+    return F.filter(parts, lambda line: line != "")
 
 
 def _chunk(lines: Column, hashes: Column, first: Column, last: Column, context: bool) -> Column:
@@ -47,14 +55,14 @@ def _chunk(lines: Column, hashes: Column, first: Column, last: Column, context:
     own = F.slice(lines, first + 1, size)
     found = [F.xxhash64(F.slice(hashes, first + 1, size)).alias("hash"), first.alias("first"), size.alias("size"), F.length(F.array_join(own, "")).alias("chars")]
     if context:
-        low = F.greatest(first - BESIDE, F.lit(0))
-        found += [own.alias("lines"), F.reverse(F.slice(lines, low + 1, first - low)).alias("before"), F.slice(lines, last + 2, F.lit(BESIDE)).alias("after")]
+        before = F.least(first, F.lit(BESIDE))
+        found += [before.alias("before"), F.slice(lines, first - before + 1, before + size + BESIDE).alias("lines")]
     return F.struct(*found)
 
 
 def chunks_of(text: Column, context: bool = False) -> Column:
-    """Array of (hash, first line, lines, characters) of the chunks of a text; with ``context`` also the lines of the
-    chunk, those before it (nearest first), and those after it."""
+    """Array of (hash, first line, number of lines, characters) of the chunks of a text; with ``context`` also the lines
+    of the chunk with those beside it, and how many of them are before it."""
 
     def cut(lines: Column, hashes: Column) -> Column:
         previous = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
@@ -75,13 +83,13 @@ def _same(mine: Column, theirs: Column) -> Column:
 
 def _match(lines: Column, m: Column) -> Column:
     """(first, last) of the lines that are equal to the first occurrence's, bytes compared; null if too little is."""
-    first, after = m["first"], m["first"] + m["size"]
-    low = F.greatest(first - BESIDE, F.lit(0))
-    left = _same(F.reverse(F.slice(lines, low + 1, first - low)), m["before"])
-    right = _same(F.slice(lines, after + 1, F.lit(BESIDE)), m["after"])
+    first, size, before = m["first"], m["size"], m["before"]
+    after, near = first + size, F.least(first, F.lit(BESIDE))
+    left = _same(F.reverse(F.slice(lines, first - near + 1, near)), F.reverse(F.slice(m["lines"], F.lit(1), before)))
+    right = _same(F.slice(lines, after + 1, F.lit(BESIDE)), F.slice(m["lines"], before + size + 1, F.lit(BESIDE)))
     span = F.struct((first - left).alias("first"), (after - 1 + right).alias("last"))
     return F.when(
-        F.slice(lines, first + 1, m["size"]) == m["lines"],
+        F.slice(lines, first + 1, size) == F.slice(m["lines"], before + 1, size),
         _let(span, lambda s: _let(F.length(F.array_join(F.slice(lines, s["first"] + 1, s["last"] - s["first"] + 1), "")), lambda n: F.when((n >= LEAST_MATCH) & (s["last"] > s["first"]) | (n >= LONG_LINE), s))),
     )
 
@@ -100,18 +108,20 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     document: what only they have in common stays. Other columns are kept as they are; ids are compared as long.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).cast("string").alias("text"))
-    chunks = packed.select("id", F.explode(chunks_of(F.col("text"))).alias("c")).select("id", "c.hash", "c.first", "c.size")
-    repeated = stored(_repeated(chunks.select("hash", "id")), "repeated")
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names if c != text])
+    packed = docs.select(rest.alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).cast("string").alias("text"))
+    chunks = packed.select("id", F.explode(chunks_of(F.col("text"))).alias("c")).select("id", "c.hash")
+    repeated = stored(_repeated(chunks), "repeated")
     few = repeated.count() <= BROADCAST_ROWS
     side = F.broadcast(repeated) if few else repeated.hint("merge")
 
     full = packed.select("id", F.explode(chunks_of(F.col("text"), context=True)).alias("c")).select("id", "c.*").join(side, "hash")
-    firsts = full.where("id = first_id").groupBy("hash").agg(F.min_by(F.struct("first", "lines", "before", "after"), "first").alias("f"))
-    firsts = stored(firsts.select("hash", F.col("f.first").alias("there"), "f.lines", "f.before", "f.after"), "firsts")
-    others = chunks.join(side, "hash").join(firsts.hint("merge"), "hash").where("id <> first_id or first <> there")
-    matches = others.groupBy("id").agg(F.collect_list(F.struct("first", "size", "lines", "before", "after")).alias("matches"))
-    matches = stored(matches, "matches")
+    context = F.when(F.col("id") == F.col("first_id"), F.struct("before", "lines")).alias("context")
+    full = stored(full.select("hash", "id", "first", "size", "first_id", context), "chunks")
+    firsts = full.where("id = first_id").groupBy("hash").agg(F.min_by(F.struct("first", "context"), "first").alias("f"))
+    firsts = firsts.select("hash", F.col("f.first").alias("there"), "f.context.*")
+    others = full.select("hash", "id", "first", "size", "first_id").join(firsts.hint("merge"), "hash").where("id <> first_id or first <> there")
+    matches = others.groupBy("id").agg(F.collect_list(F.struct("first", "size", "before", "lines")).alias("matches"))  # joined below in this partitioning
 
     joined = packed.join(matches.hint("merge"), "id", "left")
     spans = lambda lines: F.array_compact(F.transform("matches", lambda m: _match(lines, m)))

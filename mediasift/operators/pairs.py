@@ -11,8 +11,9 @@ from mediasift.functions import hashes as H
 ALL_PAIRS_UP_TO = 50
 
 
-def _both(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    return left.alias("a").join(right.alias("b"), on)
+def _both(left: DataFrame, right: DataFrame, on: Column, strategy: str = "merge") -> DataFrame:
+    """Sizes after an explode are guesses, so the strategy is set."""
+    return left.alias("a").join(right.alias("b").hint(strategy), on)
 
 
 def _sides(joined: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def _sides(joined: DataFrame, columns: list[str]) -> DataFrame:
 
 def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(a_*, b_*) of each query row with each item of a larger id: for a stated query set, or at most a few items."""
-    return _sides(_both(queries, items, F.col("a.id") < F.col("b.id")), queries.columns)
+    return _sides(_both(queries, items, F.col("a.id") < F.col("b.id"), "shuffle_replicate_nl"), queries.columns)
 
 
 def lsh_candidates(items: DataFrame, bucket_count: int | None = None, hash_list: str = "phash") -> DataFrame:

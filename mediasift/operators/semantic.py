@@ -51,7 +51,7 @@ def training_ready(confidence: Column, quality: Column, purpose: Column, least:
 def search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank): the ``k`` most similar items of each of a stated set of queries (query, emb), itself
     left out. Each side's task keeps its own best before the shuffle."""
-    hits = items.select("id", F.col("emb").alias("_e")).crossJoin(queries).where("id <> query").select("query", "id", cosine(F.col("_e"), F.col("emb")).alias("score"))
+    hits = items.select("id", F.col("emb").alias("_e")).join(queries.hint("shuffle_replicate_nl"), F.col("id") != F.col("query")).select("query", "id", cosine(F.col("_e"), F.col("emb")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # Spark limits each group before the shuffle
 

@@ -25,17 +25,24 @@ def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     return _sides(_both(queries, items, F.col("a.id") < F.col("b.id"), "shuffle_replicate_nl"), queries.columns)
 
 
-def lsh_candidates(items: DataFrame, bucket_count: int | None = None, hash_list: str = "phash") -> DataFrame:
+def candidates(items: DataFrame, bucket_count: int | None = None) -> DataFrame:
+    """All pairs of a few items; of more, those that share a band."""
+    few = items.limit(ALL_PAIRS_UP_TO + 1).count() <= ALL_PAIRS_UP_TO
+    return all_pairs(items, items) if few else lsh_candidates(items, bucket_count)
+
+
+def lsh_candidates(items: DataFrame, bucket_count: int | None = None, hash_list: str = "phash", also: Column | None = None) -> DataFrame:
     """(a_*, b_*) of the items whose first hash agrees in a band, once for each pair (in its lowest common band).
 
     Items without a hash share a bucket of their own. ``bucket_count`` folds bands to so many values; None keeps their
-    16 bits, which is what scales.
+    16 bits, which is what scales. ``also`` is a further condition of the join, on columns of ``a`` and ``b``.
     """
     keys = F.when(F.size(hash_list) > 0, H.band_keys(F.get(hash_list, 0), bucket_count)).otherwise(F.array(F.lit(-1).cast("long")))
     keyed = items.withColumn("_keys", keys).select("*", F.posexplode("_keys").alias("_band", "_key"))
     same = (F.col("a._band") == F.col("b._band")) & (F.col("a._key") == F.col("b._key")) & (F.col("a.id") < F.col("b.id"))
     lowest = F.array_position(F.zip_with("a._keys", "b._keys", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(True)) == F.col("a._band") + 1
-    return _sides(_both(keyed, keyed, same & lowest), items.columns)
+    on = same & lowest if also is None else same & lowest & also
+    return _sides(_both(keyed, keyed, on), items.columns)
 
 
 def duration_compatible(pairs: DataFrame, ratio: float = 0.2) -> DataFrame:

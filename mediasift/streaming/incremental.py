@@ -26,7 +26,7 @@ def new_against_store(new: DataFrame, store: DataFrame, threshold: float = 0.7)
     """(a, b, similarity) of similar pairs with at least one new item."""
     columns = ["id", "phash", "dhash", "audio", "duration"]
     both = store.select(*columns, F.lit(False).alias("fresh")).unionByName(new.select(*columns, F.lit(True).alias("fresh")))
-    pairs = lsh_candidates(both).where("a_fresh or b_fresh")
+    pairs = lsh_candidates(both, also=F.col("a.fresh") | F.col("b.fresh"))
     return scored(duration_compatible(pairs)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 

@@ -128,3 +128,8 @@ def test_retention_ties(spark):
     kept = {s: G.retention(m, s).where("retained").first()["id"] for s in G.STRATEGIES}
     assert kept == {"max_size": 3, "latest": 9, "max_res": 9, "max_bitrate": 3}
     assert [r["id"] for r in G.retention(m).orderBy("rank").collect()] == [3, 7, 9]
+
+
+def test_few_items_are_compared_with_all(spark):
+    items = spark.createDataFrame([(i, [i * 0x0101010101010101], [i], None, 10.0) for i in range(5)], SIG)
+    assert P.candidates(items).count() == 10

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from mediasift.llm.textbytes import BLOCK_BYTES, LOWER, blocks, parts
 
 PASSAGE_BYTES = 800
+#: Texts are looked at in blocks of so many bytes; a byte takes some 60 bytes of working memory.
+BLOCK = 1 << 20
 BINS = 64
 #: Byte classes whose share of a passage is a feature.
 CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n\r\t", ".,;:", "!?", "'\"()[]{}", "*#", "$%&@", "|\\/<>=_-+~^`"]
@@ -112,7 +114,7 @@ def _learn(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int,
 def _bag_rows(batches):
     for batch in batches:
         label, share, bags = [], [], []
-        for first, _, data, offsets in blocks(batch.column(2)):
+        for first, _, data, offsets in blocks(batch.column(2), BLOCK):
             x, start = passages(data, offsets)
             for i in range(len(offsets) - 1):
                 label.append(batch.column(0)[first + i].as_py())
@@ -166,7 +168,7 @@ def score(docs: DataFrame, model: QualityModel | float, id: str = "doc_id", text
         for batch in batches:
             s = np.full(batch.num_rows, m if isinstance(m, float) else 0.0)
             if not isinstance(m, float):
-                for first, last, data, offsets in blocks(batch.column(1)):
+                for first, last, data, offsets in blocks(batch.column(1), BLOCK):
                     s[first:last] = _score(m, data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 

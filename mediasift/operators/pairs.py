@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions import hashes as H
+from mediasift.sources.shared import stored
 
 #: Items up to which all pairs are compared.
 ALL_PAIRS_UP_TO = 50
@@ -93,7 +94,7 @@ def candidate_statistics(items: DataFrame, bucket_count: int | None = 32) -> Dat
     """
     from itertools import combinations
 
-    keyed = items.where(F.size("phash") > 0).select(H.band_keys(F.get("phash", 0), bucket_count).alias("k"))
+    keyed = stored(items.where(F.size("phash") > 0).select(H.band_keys(F.get("phash", 0), bucket_count).alias("k")), "band-keys")
     total = keyed.agg(F.count(F.lit(1)).alias("n")).select("n", F.expr("cast(n * (n - 1) / 2 as bigint)").alias("all_pairs"))
     counts = None
     for r in range(1, H.BANDS + 1):

@@ -138,7 +138,7 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple
     """Expectation-maximisation over counted vote patterns: (likelihood of each pattern, chances of a labeler's votes
     -1, 0, 1 in both classes, share of personal data). Starts from the mean vote; add-one smoothing keeps chances inside."""
     patterns = sorted(counts)
-    v = np.array(patterns, int).reshape(len(patterns), len(LABELERS)) + 1
+    v = np.array(patterns, int).reshape(len(patterns), len(patterns[0]) if patterns else len(LABELERS)) + 1
     n = np.array([counts[p] for p in patterns], float)
     q = 1 / (1 + np.exp(-(v - 1).sum(axis=1)))
     chance, share = np.full((v.shape[1], 2, 3), 1 / 3), 0.5

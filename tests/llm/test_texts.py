@@ -178,11 +178,11 @@ def test_unreliable_labelers_are_found():
     counts = {}
     for _ in range(4000):
         y = rng.random() < 0.4
-        votes = tuple(int(v) for v in (1 if rng.random() < (0.9 if y else 0.1) else -1, 1 if rng.random() < (0.85 if y else 0.2) else -1, 1 if rng.random() < 0.5 else -1))
+        votes = tuple(int(v) for v in (1 if rng.random() < (0.9 if y else 0.1) else -1, 1 if rng.random() < (0.85 if y else 0.2) else -1, 1 if rng.random() < 0.5 else -1, 1 if rng.random() < (0.8 if y else 0.25) else -1))  # two informative labelers would not be enough to tell
         counts[votes] = counts.get(votes, 0) + 1
     likely, chance, share = pii.reliabilities(counts)
     assert chance[0, 1, 2] > 0.8 and abs(chance[2, 1, 2] - chance[2, 0, 2]) < 0.1 and 0.3 < share < 0.5
-    assert likely[(1, 1, 1)] > 0.8 > 0.2 > likely[(-1, -1, -1)]
+    assert likely[(1, 1, 1, 1)] > 0.8 > 0.2 > likely[(-1, -1, -1, -1)]
 
 
 def test_added_personal_data(spark):

@@ -1,4 +1,16 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame operators alone.
+"""Line dedup in DataFrame operators alone: by all repeated passages, or by content-defined chunks of lines.
+
+:func:`dedup_passages` takes out every passage that counts (two lines or more of ``LEAST_MATCH`` characters together, or one
+long line) and occurs before, in the order of (id, place):
+
+1. A text is cut into lines (also after sentence ends, as texts come with very long lines). Its windows are, from each line
+   on and up to each line, the fewest lines that count, and each long line alone. They hang on no other line, and together
+   the windows inside a passage cover it: a line has enough after it or before it, or lies in the last window that has.
+2. Windows are counted by two 64-bit hashes of their lines; the occurrence in the smallest id, at the smallest place, stays.
+3. The lines of all other occurrences go, so a match reaches as far as lines are equal. Of 10^12 different windows, some two
+   share both hashes with a chance of about 10^-15.
+
+:func:`dedup` is the method by chunks, which misses part of the short passages:
 
 1. A text is cut into lines (also after sentence ends, as texts come with very long lines). A rolling hash over the last
    two line hashes says after which lines a chunk ends, so a chunk's boundaries depend on its own neighbourhood only and
@@ -17,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediasift.sources.shared import stored
@@ -30,6 +42,10 @@ MARK = "\x01"
 ENDS_OF, ENDS = 4, 3
 #: Characters of a chunk that is looked up at least; of a match that is removed at least; of one long line at least.
 LEAST_CHUNK, LEAST_MATCH, LONG_LINE = 24, 60, 250
+#: Words of one long line at least, if it has fewer characters than that.
+LONG_WORDS = 50
+#: A window is its first line times this plus its number of lines, which LEAST_MATCH bounds as no line is empty.
+WINDOW = 64
 #: Lines beside a chunk to which a match can be extended.
 BESIDE = 2
 #: Repeated chunks up to which their hashes are broadcast (16 bytes each); more are joined by sorting.
@@ -125,19 +141,81 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     joined = packed.join(matches.hint("merge"), "id", "left")
     spans = lambda lines: F.array_compact(F.transform("matches", lambda m: _match(lines, m)))
-    gone = lambda lines: F.array_sort(F.array_distinct(F.flatten(F.transform(spans(lines), lambda s: F.sequence(s["first"], s["last"])))))
-    none = F.array().cast("array<int>")
-    held = F.when(F.col("matches").isNull() | F.col("text").isNull(), none).otherwise(_let(lines_of(F.col("text")), gone))
-    marked = joined.select("row", "text", held.alias("removed_lines"))
+    held = F.when(F.col("matches").isNull() | F.col("text").isNull(), _none()).otherwise(_let(lines_of(F.col("text")), lambda lines: _covered(spans(lines))))
+    return _without(joined.select("row", "text", held.alias("removed_lines")), names, text)
+
+
+def _none() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _covered(spans: Column) -> Column:
+    """Line numbers of spans (first, last), each once, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"])))))
+
+
+def _without(marked: DataFrame, names: list[str], text: str) -> DataFrame:
+    """Rows (row, text, removed_lines) as they were, without those lines."""
     kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed_lines")), lambda i: F.get(lines, i)), "")
     cleaned = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(_let(lines_of(F.col("text")), kept))
     out = [cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
     return marked.select(*out, "removed_lines")
 
 
+def windows_of(text: Column) -> Column:
+    """Array of (h, h2, first line, number of lines) of the windows of a text."""
+
+    def enough(sizes: Column) -> Column:
+        """How many of the first lines count as a passage, null if even all are too little."""
+        done = lambda a: (a["chars"] >= LEAST_MATCH) & (a["n"] >= 2)
+        start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"))
+        add = lambda a, x: F.when(done(a), a).otherwise(F.struct((a["chars"] + x).alias("chars"), (a["n"] + 1).alias("n")))
+        return F.aggregate(sizes, start, add, lambda a: F.when(done(a), a["n"]))
+
+    def code(first: Column, size: Column) -> Column:
+        return first.cast("long") * WINDOW + size
+
+    def codes(lines: Column, sizes: Column) -> Column:
+        pair = lambda x, i: x + F.coalesce(F.get(sizes, i + 1), F.lit(-LEAST_MATCH - x)) >= LEAST_MATCH
+        onward = lambda x, i: code(i, F.when(pair(x, i), F.lit(2)).otherwise(enough(F.slice(sizes, i + 1, F.lit(LEAST_MATCH)))))
+        near = lambda i: F.least(i + 1, F.lit(LEAST_MATCH))
+        back = lambda x, i: F.when((i > 0) & (F.get(sizes, F.greatest(i - 1, F.lit(0))) + x < LEAST_MATCH), _let(enough(F.reverse(F.slice(sizes, i - near(i) + 2, near(i)))), lambda n: code(i - n + 1, n)))
+        words = lambda line: _let(F.trim(line), lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+        alone = lambda x, i: F.when((x >= LONG_LINE) | (x >= 2 * LONG_WORDS - 1) & (words(F.get(lines, i)) >= LONG_WORDS), code(i, F.lit(1)))
+        return F.array_distinct(F.array_compact(F.concat(*[F.transform(sizes, f) for f in (onward, back, alone)])))
+
+    def window(hashes: Column, c: Column) -> Column:
+        first, size = F.floor(c / WINDOW).cast("int"), F.pmod(c, F.lit(WINDOW)).cast("int")
+        return _let(F.slice(hashes, first + 1, size), lambda own: F.struct(F.xxhash64(own).alias("h"), F.xxhash64(F.lit(1), own).alias("h2"), first.alias("first"), size.alias("size")))
+
+    hashed = lambda lines: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2")))
+    cut = lambda lines: _let(hashed(lines), lambda hashes: F.transform(_let(F.transform(lines, lambda x: F.length(x)), lambda sizes: codes(lines, sizes)), lambda c: window(hashes, c)))
+    return _let(lines_of(text), cut)
+
+
+def dedup_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`dedup`, without every passage that counts and occurs before, however short and whatever is beside it."""
+    names = docs.columns
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names if c != text])
+    packed = docs.select(rest.alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).cast("string").alias("text"))
+    windows = stored(packed.select("id", F.explode(windows_of(F.col("text"))).alias("w")).select("w.h", "w.h2", "id", "w.first", "w.size"), "windows")
+    counted = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    repeated = stored(counted.where("n > 1").select("h", "h2", "first_id"), "repeated-windows")
+    few = repeated.count() <= BROADCAST_ROWS
+    found = windows.join(F.broadcast(repeated) if few else repeated.hint("merge"), ["h", "h2"])
+
+    within = found.where("id = first_id").withColumn("there", F.min("first").over(Window.partitionBy("h", "h2"))).where("first > there")
+    later = found.where("id <> first_id").select("id", "first", "size").unionByName(within.select("id", "first", "size"))
+    span = F.struct("first", (F.col("first") + F.col("size") - 1).alias("last"))
+    matches = later.groupBy("id").agg(F.collect_list(span).alias("matches"))  # joined below in this partitioning
+    joined = packed.join(matches.hint("merge"), "id", "left")
+    held = F.when(F.col("matches").isNull() | F.col("text").isNull(), _none()).otherwise(_covered(F.col("matches")))
+    return _without(joined.select("row", "text", held.alias("removed_lines")), names, text)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from mediasift.sources.tables import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
-    out = dedup(docs)
+    out = dedup_passages(docs)
     return out.select("doc_id", "n_chars", F.length("text").cast("long").alias("n_kept"), F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), F.sha2("text", 256).alias("kept_sha256"))

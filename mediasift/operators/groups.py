@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediasift.operators.components import components
+from mediasift.sources.shared import stored
 
 STRATEGIES = ("max_size", "latest", "max_res", "max_bitrate")
 
@@ -16,14 +17,21 @@ def group_members(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("component").alias("group_id"), F.col("node").alias("id"))
 
 
-def split_groups(links: DataFrame, floor: float) -> DataFrame:
+def split_groups(links: DataFrame, floor: float, copies: DataFrame | None = None) -> DataFrame:
     """(group_id, id) so that every pair of a group is linked with at least ``floor`` (absent pairs count as 0).
 
     Links below the floor are cut and components made anew. Components that are cliques stay; from each other one, the
     member with the lowest mean similarity is ejected (the largest id on ties) until what remains is a clique. Groups of
     one go. Ejection is sequential by definition, so a component's links come to one task; cutting keeps them small.
+
+    ``copies`` (a, b) are the equal items b of a representative a (a star). They are left out of the links, weigh in its mean
+    similarity, and follow it into its group; if it is in none, it makes one with them.
     """
+    copies = links.where("false").select("a", "b") if copies is None else copies.select("a", "b")
+    counts = copies.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     strong = links.where(F.col("similarity") >= floor).select("a", "b", "similarity")
+    strong = strong.join(counts.select("a", F.col("n").alias("more_a")).hint("merge"), "a", "left").join(counts.select(F.col("a").alias("b"), F.col("n").alias("more_b")).hint("merge"), "b", "left")
+    strong = stored(strong.na.fill(0, ["more_a", "more_b"]), "strong-links")
     members = group_members(strong)
     inside = strong.join(members.withColumnRenamed("id", "a").hint("merge"), "a")
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
@@ -32,10 +40,12 @@ def split_groups(links: DataFrame, floor: float) -> DataFrame:
 
     def eject(rows: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for a, b, s in zip(rows["a"], rows["b"], rows["similarity"], strict=True):
+        more: dict = {}
+        for a, b, s, m, n in zip(rows["a"], rows["b"], rows["similarity"], rows["more_a"], rows["more_b"], strict=True):
             near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
+            more[a], more[b] = m, n
         while len(near) > 1 and any(len(v) < len(near) - 1 for v in near.values()):
-            worst = min(sorted(near, reverse=True), key=lambda x: sum(near[x].values()))
+            worst = min(sorted(near, reverse=True), key=lambda x: more[x] + sum(s * (1 + more[y]) for y, s in near[x].items()))
             for other in near.pop(worst):
                 near[other].pop(worst, None)
         kept = sorted(near) if len(near) > 1 else []
@@ -43,7 +53,10 @@ def split_groups(links: DataFrame, floor: float) -> DataFrame:
 
     kind = members.schema["id"].dataType.simpleString()
     others = inside.join(whole.hint("merge"), "group_id", "left_anti").groupBy("group_id").applyInPandas(eject, f"group_id {kind}, id {kind}")
-    return members.join(whole.hint("merge"), "group_id", "left_semi").select("group_id", "id").unionByName(others)
+    kept = stored(members.join(whole.hint("merge"), "group_id", "left_semi").select("group_id", "id").unionByName(others), "split")
+    lone = counts.select(F.col("a").alias("id")).join(kept.select("id").hint("merge"), "id", "left_anti")
+    heads = kept.unionByName(lone.select(F.col("id").alias("group_id"), "id"))
+    return heads.unionByName(copies.join(heads.withColumnRenamed("id", "a").hint("merge"), "a").select("group_id", F.col("b").alias("id")))
 
 
 def bitrate(size: Column, duration: Column) -> Column:

@@ -20,8 +20,9 @@ from mediasift.sources.shared import stored
 def groups_of(items: DataFrame, threshold: float, floor: float | None = None, strategy: str = "max_size") -> dict[str, DataFrame]:
     """Links, groups and their report over items with signatures and file data (id, path, name, size, mtime, width, height)."""
     found = P.similar_pairs(items, threshold).select("a", "b", "similarity")
-    links = stored(found.unionByName(P.copy_links(items).withColumn("similarity", F.lit(1.0))), "links")
-    members = G.group_members(links) if floor is None else G.split_groups(links, floor)
+    copies = P.copy_links(items)
+    links = stored(found.unionByName(copies.withColumn("similarity", F.lit(1.0))), "links")
+    members = G.group_members(links) if floor is None else G.split_groups(found, floor, copies)
     marked = stored(G.retention(members.join(items.select("id", "path", "name", "size", "mtime", "width", "height", "duration").hint("merge"), "id"), strategy), "marked")
     return {"links": links, "members": marked, "similarity": G.group_similarity(links, marked.select("group_id", "id")), "space": G.space_report(marked)}
 

@@ -183,7 +183,10 @@ def _(spark, sf_dir):
 
 @query("e2_split_groups")
 def _(spark, sf_dir):
-    return G.split_groups(links(spark, sf_dir), FLOOR)
+    from mediasift.sources.shared import stored
+
+    items = stored(sig(spark, sf_dir).select("id", "phash", "dhash", "audio", "duration"), "signature")
+    return G.split_groups(P.similar_pairs(items, THRESHOLD), FLOOR, P.copy_links(items))
 
 
 for _strategy, _order in (("max_size", "size"), ("latest", "mtime"), ("max_res", "width * height"), ("max_bitrate", "(CASE WHEN duration > 0 THEN size / duration ELSE 0.0 END)")):

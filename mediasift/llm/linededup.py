@@ -47,7 +47,7 @@ LONG_WORDS = 50
 #: A window is its first line times this plus its number of lines, which LEAST_MATCH bounds as no line is empty.
 WINDOW = 64
 #: Lines beside a chunk to which a match can be extended.
-BESIDE = 2
+BESIDE = 3
 #: Repeated chunks up to which their hashes are broadcast (16 bytes each); more are joined by sorting.
 BROADCAST_ROWS = 1_000_000
 

@@ -63,3 +63,18 @@ def test_short_passages_between_other_lines(spark):
 
 def test_odd_cases(odd):
     assert linededup.dedup_passages(odd).count() == 12 and linededup.dedup_passages(odd.where("false")).count() == 0
+
+
+def test_matches_reach_as_far_as_lines_are_equal(spark):
+    """Passages of 4 to 9 lines between different neighbours, where an edge chunk can run over into other lines."""
+    assert linededup.BESIDE >= 3
+    rnd = random.Random(7)
+    own = lambda n: [" ".join(f"n{rnd.randrange(10**9)}" for _ in range(8)) + ".\n" for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(60):
+        passage = own(4 + k % 6)
+        for copy in range(3):
+            before = own(1 + rnd.randrange(4))
+            planted[3 * k + copy] = list(range(len(before), len(before) + len(passage))) if copy else []
+            rows.append((3 * k + copy, "".join(before + passage + own(2))))
+    assert {i: list(r["removed_lines"]) for i, r in rows_of(spark, rows).items()} == planted

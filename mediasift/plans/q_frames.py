@@ -85,7 +85,6 @@ def _(spark, sf_dir):
 @query("l4_auto_classify")
 def _(spark, sf_dir):
     s = X.semantic(spark, sf_dir)
-    emb = X.label_signature(spark, sf_dir).select(F.col("id").alias("_vec"), "emb")
-    files = X.media_file(spark, sf_dir).select("id", "name", (F.col("id") % 500).alias("_vec")).join(emb.hint("merge"), "_vec").drop("_vec")
+    files = X.label_signature(spark, sf_dir).select("id", F.concat(F.lit("file_"), "id", F.lit(".mp4")).alias("name"), "emb")
     tags = s.select("id", F.explode(F.create_map(F.lit("scene"), "scene", F.lit("object"), "object")).alias("kind", "label")).where("label is not null")
     return pipelines.auto_classify(files, tags, "/out", k=8)

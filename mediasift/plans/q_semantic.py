@@ -74,7 +74,7 @@ def _(spark, sf_dir):
 @query("e21_kmeans")
 def _(spark, sf_dir):
     e = items(spark, sf_dir)
-    return M.kmeans(e, M.auto_cluster_count(e.count()), tries=3)
+    return M.kmeans(e, M.auto_cluster_count(e.count()))
 
 
 @query("e22_cluster_names", "SELECT cluster, substr(coalesce(string_agg(label, '_' ORDER BY r), 'class_' || cluster), 1, 60) AS name FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, label) AS r FROM (SELECT cluster, label, sum(w) AS w FROM (SELECT id % 5 AS cluster, scene AS label, 3 AS w FROM semantic UNION ALL SELECT id % 5, object, 2 FROM semantic UNION ALL SELECT id % 5, action, 1 FROM semantic WHERE action IS NOT NULL) GROUP BY ALL)) WHERE r <= 3 GROUP BY cluster")

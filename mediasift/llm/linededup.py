@@ -1,28 +1,20 @@
-"""Line dedup in DataFrame operators alone: by all repeated passages, or by content-defined chunks of lines.
-
-:func:`dedup_passages` takes out every passage that counts (two lines or more of ``LEAST_MATCH`` characters together, or one
-long line) and occurs before, in the order of (id, place):
-
-1. A text is cut into lines (also after sentence ends, as texts come with very long lines). Its windows are, from each line
-   on and up to each line, the fewest lines that count, and each long line alone. They hang on no other line, and together
-   the windows inside a passage cover it: a line has enough after it or before it, or lies in the last window that has.
-2. Windows are counted by two 64-bit hashes of their lines; the occurrence in the smallest id, at the smallest place, stays.
-3. The lines of all other occurrences go, so a match reaches as far as lines are equal. Of 10^12 different windows, some two
-   share both hashes with a chance of about 10^-15.
-
-:func:`dedup` is the method by chunks, which misses part of the short passages:
-
-1. A text is cut into lines (also after sentence ends, as texts come with very long lines). A rolling hash over the last
-   two line hashes says after which lines a chunk ends, so a chunk's boundaries depend on its own neighbourhood only and
-   a passage that has moved is cut as before.
-2. Chunks are counted by hash over all documents; the occurrence in the smallest id, at the smallest place, stays.
-3. The other occurrences are compared with it byte by byte, and the match is extended, line by line and as exactly, to
-   lines beside the chunk that belong to the same passage on both sides.
-4. Matches of several lines (or of one very long line) are removed. Every removed line is equal to a line before it in
-   the order of (id, place), so something of every passage stays.
-
-Counts are summed before the shuffle, a chunk repeated very often is one row of the table of first occurrences, and texts
-are shuffled once, to meet their matches.
+"""Line dedup by content-defined chunks of lines, in DataFrame operators alone.
+
+1. Texts are cut into lines (also after sentence ends, as texts come with very long lines). Lines are counted by hash over
+   all documents: only lines that occur twice can be part of a repeated passage, so the others end a run.
+2. Every run of repeated lines is cut into chunks: a rolling hash over the last two line hashes says after which lines a
+   chunk ends, so the boundaries depend on their own neighbourhood only and a passage that has moved is cut as before. A
+   long line is a chunk of its own.
+3. All occurrences of a repeated line are compared byte by byte (the smallest is the largest), so equal line hashes stand
+   for equal bytes; lines that fail are never removed. Chunks are counted by two 64-bit hashes of their lines.
+4. The occurrence of a chunk in the smallest id, at the smallest place, stays; the lines of all others go.
+5. Where a passage ends inside a chunk, its first and last lines are left by that. So the lines that no removed chunk holds
+   are looked up once more, with the fewest lines beside them that count as a passage. The first occurrence of anything
+   never lies in a removed chunk, as the chunk's own first occurrence would come before, so nothing is missed: what goes are
+   all runs of lines that count (:data:`LEAST_MATCH`, :data:`LONG_LINE`) and occur before, and of each one stays.
+
+Counts are summed before the shuffle, a passage that very many documents share is one row of the table of first
+occurrences, which is broadcast if it is small and joined around hot keys if not, and texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -32,24 +24,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.operators.joins import with_one
 from mediasift.sources.shared import stored
 
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
-ENDINGS = ("\n", ". ", "! ", "? ")
+#: A sentence ends at a single mark before a blank, a line at its newline.
+LINE_END = r"(?<=\n)|(?<=[.!?] )(?<!\.\. )(?<!!! )(?<!\?\? )"
+ENDINGS, NOT_ENDINGS = ("\n", ". ", "! ", "? "), (".. ", "!! ", "?? ")
 #: Put after each ending to split at, which is faster; a text that holds it is split by the expression.
 MARK = "\x01"
-#: A chunk ends after three of four lines.
-ENDS_OF, ENDS = 4, 3
-#: Characters of a chunk that is looked up at least; of a match that is removed at least; of one long line at least.
-LEAST_CHUNK, LEAST_MATCH, LONG_LINE = 24, 60, 250
+#: A chunk ends after one of so many lines.
+ENDS_OF = 4
+#: A passage that counts has two lines or more of so many characters together, or is one line of so many.
+LEAST_MATCH, LONG_LINE = 60, 250
 #: Words of one long line at least, if it has fewer characters than that.
 LONG_WORDS = 50
 #: A window is its first line times this plus its number of lines, which LEAST_MATCH bounds as no line is empty.
 WINDOW = 64
-#: Lines beside a chunk to which a match can be extended.
-BESIDE = 3
-#: Repeated chunks up to which their hashes are broadcast (16 bytes each); more are joined by sorting.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of repeated hashes is broadcast (some 32 bytes each in memory); more are joined around hot keys.
+BROADCAST_ROWS = 2_000_000
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -57,113 +49,74 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text with their ends, so that together they are the text."""
+def _cut(text: Column) -> Column:
+    """The lines of a text with their ends; an empty one may come last."""
     marked = text
     for e in ENDINGS:
         marked = F.replace(marked, F.lit(e), F.lit(e + MARK))
-    parts = F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
-    return F.filter(parts, lambda line: line != "")
-
-
-def _chunk(lines: Column, hashes: Column, first: Column, last: Column, context: bool) -> Column:
-    size = last - first + 1
-    own = F.slice(lines, first + 1, size)
-    found = [F.xxhash64(F.slice(hashes, first + 1, size)).alias("hash"), first.alias("first"), size.alias("size"), F.length(F.array_join(own, "")).alias("chars")]
-    if context:
-        before = F.least(first, F.lit(BESIDE))
-        found += [before.alias("before"), F.slice(lines, first - before + 1, before + size + BESIDE).alias("lines")]
-    return F.struct(*found)
-
-
-def chunks_of(text: Column, context: bool = False) -> Column:
-    """Array of (hash, first line, number of lines, characters) of the chunks of a text; with ``context`` also the lines
-    of the chunk with those beside it, and how many of them are before it."""
-
-    def cut(lines: Column, hashes: Column) -> Column:
-        previous = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
-        ends_here = F.zip_with(hashes, previous, lambda h, p: F.pmod(F.xxhash64(h, p), F.lit(ENDS_OF)) < ENDS)
-        ends = F.array_compact(F.transform(ends_here, lambda e, i: F.when(e | (i == F.size(lines) - 1), i)))
-        starts = lambda e: F.concat(F.array(F.lit(0)), F.transform(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), lambda x: x + 1))
-        chunks = _let(ends, lambda e: F.zip_with(F.when(F.size(e) > 0, starts(e)).otherwise(F.array().cast("array<int>")), e, lambda a, b: _chunk(lines, hashes, a, b, context)))
-        return F.filter(chunks, lambda c: c["chars"] >= LEAST_CHUNK)
+    for e in NOT_ENDINGS:
+        marked = F.replace(marked, F.lit(e + MARK), F.lit(e))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
 
-    return _let(lines_of(text), lambda lines: _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: cut(lines, hashes)))
 
+def lines_of(text: Column) -> Column:
+    """The lines of a text with their ends, so that together they are the text."""
+    return F.filter(_cut(text), lambda line: line != "")
 
-def _same(mine: Column, theirs: Column) -> Column:
-    """How many of the first lines are equal."""
-    flags = F.zip_with(mine, theirs, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return _let(F.array_position(flags, F.lit(False)).cast("int"), lambda p: F.when(p > 0, p - 1).otherwise(F.least(F.size(mine), F.size(theirs))))
 
+def _is_long(line: Column) -> Column:
+    n, words = F.length(line), F.length(F.trim(line)) - F.length(F.replace(F.trim(line), F.lit(" "), F.lit(""))) + 1
+    return (n >= LONG_LINE) | (n >= 2 * LONG_WORDS - 1) & (words >= LONG_WORDS)
 
-def _match(lines: Column, m: Column) -> Column:
-    """(first, last) of the lines that are equal to the first occurrence's, bytes compared; null if too little is."""
-    first, size, before = m["first"], m["size"], m["before"]
-    after, near = first + size, F.least(first, F.lit(BESIDE))
-    left = _same(F.reverse(F.slice(lines, first - near + 1, near)), F.reverse(F.slice(m["lines"], F.lit(1), before)))
-    right = _same(F.slice(lines, after + 1, F.lit(BESIDE)), F.slice(m["lines"], before + size + 1, F.lit(BESIDE)))
-    span = F.struct((first - left).alias("first"), (after - 1 + right).alias("last"))
-    return F.when(
-        F.slice(lines, first + 1, size) == F.slice(m["lines"], before + 1, size),
-        _let(span, lambda s: _let(F.length(F.array_join(F.slice(lines, s["first"] + 1, s["last"] - s["first"] + 1), "")), lambda n: F.when((n >= LEAST_MATCH) & (s["last"] > s["first"]) | (n >= LONG_LINE), s))),
-    )
 
+def _joined(rows: DataFrame, repeated: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (stored, or cheap) with the columns of ``repeated`` (one row a key, ``n`` of ``rows`` each)."""
+    if repeated.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(repeated.drop("n")), on)
+    return with_one(rows, repeated, on)
 
-def _repeated(chunks: DataFrame) -> DataFrame:
-    """(hash, first_id) of the chunks that occur more than once."""
-    counted = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    return counted.where("n > 1").select("hash", "first_id")
 
+def repeated_lines(packed: DataFrame) -> DataFrame:
+    """(id, th, pos, h, h2, chars, long) of the lines of ``packed`` (id, th, text) that occur more than once, bytes compared."""
+    lines = packed.select("id", "th", F.posexplode(_cut(F.col("text"))).alias("pos", "line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    counted = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = _joined(lines, stored(counted, "repeated-lines"), ["h"])
+    held = stored(held.select("id", "th", "pos", "h", F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("chars"), _is_long(F.col("line")).alias("long"), "line"), "held-lines")
+    unlike = stored(held.groupBy("h", "h2").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("h", "h2"), "unlike-lines")
+    held = held.drop("line")
+    return held if unlike.isEmpty() else held.join(unlike.hint("merge"), ["h", "h2"], "left_anti")
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages taken out of ``text``, and the lines that went as ``removed_lines``
-    (array of line numbers, from 0).
 
-    A null text stays null, an empty one empty. Null ids come before all others. Rows that share an id are taken for one
-    document: what only they have in common stays. Other columns are kept as they are; ids are compared as long.
-    """
-    names = docs.columns
-    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names if c != text])
-    packed = docs.select(rest.alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).cast("string").alias("text"))
-    chunks = packed.select("id", F.explode(chunks_of(F.col("text"))).alias("c")).select("id", "c.hash")
-    repeated = stored(_repeated(chunks), "repeated")
-    few = repeated.count() <= BROADCAST_ROWS
-    side = F.broadcast(repeated) if few else repeated.hint("merge")
-
-    full = packed.select("id", F.explode(chunks_of(F.col("text"), context=True)).alias("c")).select("id", "c.*").join(side, "hash")
-    context = F.when(F.col("id") == F.col("first_id"), F.struct("before", "lines")).alias("context")
-    full = stored(full.select("hash", "id", "first", "size", "first_id", context), "chunks")
-    firsts = full.where("id = first_id").groupBy("hash").agg(F.min_by(F.struct("first", "context"), "first").alias("f"))
-    firsts = firsts.select("hash", F.col("f.first").alias("there"), "f.context.*")
-    others = full.select("hash", "id", "first", "size", "first_id").join(firsts.hint("merge"), "hash").where("id <> first_id or first <> there")
-    matches = others.groupBy("id").agg(F.collect_list(F.struct("first", "size", "before", "lines")).alias("matches"))  # joined below in this partitioning
-
-    joined = packed.join(matches.hint("merge"), "id", "left")
-    spans = lambda lines: F.array_compact(F.transform("matches", lambda m: _match(lines, m)))
-    held = F.when(F.col("matches").isNull() | F.col("text").isNull(), _none()).otherwise(_let(lines_of(F.col("text")), lambda lines: _covered(spans(lines))))
-    return _without(joined.select("row", "text", held.alias("removed_lines")), names, text)
+def runs_of(held: DataFrame) -> DataFrame:
+    """(id, th, lines): runs of neighbouring repeated lines, as arrays of (pos, h, h2, chars, long), that can hold a passage."""
+    w = Window.partitionBy("id", "th").orderBy("pos")
+    run = held.withColumn("run", F.col("pos") - F.dense_rank().over(w))  # equal rows have equal ranks
+    runs = run.groupBy("id", "th", "run").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "h2", "chars", "long"))).alias("lines"))
+    return runs.where((F.size("lines") > 1) | F.get("lines", F.lit(0))["long"]).drop("run")
 
 
-def _none() -> Column:
-    return F.array().cast("array<int>")
+def _unit(lines: Column, first: Column, size: Column) -> Column:
+    """(h, h2, first line of the text, number of lines) of lines from ``first`` on, counted within the run."""
+    return _let(F.slice(lines, first + 1, size), lambda own: F.struct(F.xxhash64(F.transform(own, lambda x: x["h"])).alias("h"), F.xxhash64(F.transform(own, lambda x: x["h2"])).alias("h2"), F.get(own, F.lit(0))["pos"].alias("first"), F.size(own).alias("size")))
 
 
-def _covered(spans: Column) -> Column:
-    """Line numbers of spans (first, last), each once, in order."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"])))))
+def _chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda n, x: n + x["chars"])
 
 
-def _without(marked: DataFrame, names: list[str], text: str) -> DataFrame:
-    """Rows (row, text, removed_lines) as they were, without those lines."""
-    kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed_lines")), lambda i: F.get(lines, i)), "")
-    cleaned = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(_let(lines_of(F.col("text")), kept))
-    out = [cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
-    return marked.select(*out, "removed_lines")
+def chunks_of(lines: Column) -> Column:
+    """Array of the content-defined chunks of a run that count as a passage."""
+    last = F.size(lines) - 1
+    rolling = lambda x, i: F.pmod(F.xxhash64(F.coalesce(F.get(lines, i - 1)["h"], F.lit(0).cast("long")), x["h"]), F.lit(ENDS_OF)) == 0
+    ends_here = F.transform(lines, lambda x, i: F.when((i == last) | x["long"] | F.coalesce(F.get(lines, i + 1)["long"], F.lit(False)) | rolling(x, i), i))
+    cut = lambda ends: F.transform(ends, lambda e, k: _let(F.coalesce(F.get(ends, k - 1) + 1, F.lit(0)), lambda first: F.struct(first.alias("first"), (e - first + 1).alias("size"))))
+    counts = lambda c: _let(F.slice(lines, c["first"] + 1, c["size"]), lambda own: F.get(own, F.lit(0))["long"] | (F.size(own) > 1) & (_chars(own) >= LEAST_MATCH))
+    return F.transform(F.filter(_let(F.array_compact(ends_here), cut), counts), lambda c: _unit(lines, c["first"], c["size"]))
 
 
-def windows_of(text: Column) -> Column:
-    """Array of (h, h2, first line, number of lines) of the windows of a text."""
+def windows_of(lines: Column, covered: Column) -> Column:
+    """Array of the windows of a run with a line that is not ``covered`` (line numbers): from each line on and up to each
+    line, the fewest lines that count as a passage, and each long line alone."""
 
     def enough(sizes: Column) -> Column:
         """How many of the first lines count as a passage, null if even all are too little."""
@@ -175,47 +128,69 @@ def windows_of(text: Column) -> Column:
     def code(first: Column, size: Column) -> Column:
         return first.cast("long") * WINDOW + size
 
-    def codes(lines: Column, sizes: Column) -> Column:
+    def codes(sizes: Column) -> Column:
         pair = lambda x, i: x + F.coalesce(F.get(sizes, i + 1), F.lit(-LEAST_MATCH - x)) >= LEAST_MATCH
         onward = lambda x, i: code(i, F.when(pair(x, i), F.lit(2)).otherwise(enough(F.slice(sizes, i + 1, F.lit(LEAST_MATCH)))))
         near = lambda i: F.least(i + 1, F.lit(LEAST_MATCH))
         back = lambda x, i: F.when((i > 0) & (F.get(sizes, F.greatest(i - 1, F.lit(0))) + x < LEAST_MATCH), _let(enough(F.reverse(F.slice(sizes, i - near(i) + 2, near(i)))), lambda n: code(i - n + 1, n)))
-        words = lambda line: _let(F.trim(line), lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
-        alone = lambda x, i: F.when((x >= LONG_LINE) | (x >= 2 * LONG_WORDS - 1) & (words(F.get(lines, i)) >= LONG_WORDS), code(i, F.lit(1)))
+        alone = lambda x, i: F.when(F.get(lines, i)["long"], code(i, F.lit(1)))
         return F.array_distinct(F.array_compact(F.concat(*[F.transform(sizes, f) for f in (onward, back, alone)])))
 
-    def window(hashes: Column, c: Column) -> Column:
-        first, size = F.floor(c / WINDOW).cast("int"), F.pmod(c, F.lit(WINDOW)).cast("int")
-        return _let(F.slice(hashes, first + 1, size), lambda own: F.struct(F.xxhash64(own).alias("h"), F.xxhash64(F.lit(1), own).alias("h2"), first.alias("first"), size.alias("size")))
+    first, size = (lambda c: F.floor(c / WINDOW).cast("int")), (lambda c: F.pmod(c, F.lit(WINDOW)).cast("int"))
+    unit = lambda c: _unit(lines, first(c), size(c))
+    units = F.transform(_let(F.transform(lines, lambda x: x["chars"]), codes), unit)
+    left = lambda u: F.size(F.array_except(F.sequence(u["first"], u["first"] + u["size"] - 1), covered)) > 0
+    return F.when(F.size(covered) == 0, units).otherwise(F.filter(units, left))
+
 
-    hashed = lambda lines: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2")))
-    cut = lambda lines: _let(hashed(lines), lambda hashes: F.transform(_let(F.transform(lines, lambda x: F.length(x)), lambda sizes: codes(lines, sizes)), lambda c: window(hashes, c)))
-    return _let(lines_of(text), cut)
+def _later(units: DataFrame, name: str) -> DataFrame:
+    """(id, th, first, size) of the units (id, th, u) that occur before, in the order of (id, th, first line)."""
+    units = stored(units.select("id", "th", "u.*"), name)
+    place = F.struct("id", "th", "first")
+    counted = units.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1")
+    return _joined(units, stored(counted, f"repeated-{name}"), ["h", "h2"]).where(place > F.col("kept")).select("id", "th", "first", "size")
 
 
-def dedup_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """As :func:`dedup`, without every passage that counts and occurs before, however short and whatever is beside it."""
-    names = docs.columns
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
+    """``docs`` with the repeated passages taken out of ``text``, and the lines that went as ``removed`` (array of line
+    numbers, from 0), which replaces a column of that name.
+
+    A null text stays null, an empty one empty, and both have no lines. Ids may be of any type that can be sorted; null ids
+    come before all others. Rows that share an id count as different documents if their texts differ, in an order of
+    their own, and as one if they are equal: what they have in common with themselves alone stays in all of them. Other
+    columns are kept as they are. An empty table gives an empty one.
+    """
+    names = [c for c in docs.columns if c != removed]
     rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names if c != text])
-    packed = docs.select(rest.alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).cast("string").alias("text"))
-    windows = stored(packed.select("id", F.explode(windows_of(F.col("text"))).alias("w")).select("w.h", "w.h2", "id", "w.first", "w.size"), "windows")
-    counted = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    repeated = stored(counted.where("n > 1").select("h", "h2", "first_id"), "repeated-windows")
-    few = repeated.count() <= BROADCAST_ROWS
-    found = windows.join(F.broadcast(repeated) if few else repeated.hint("merge"), ["h", "h2"])
-
-    within = found.where("id = first_id").withColumn("there", F.min("first").over(Window.partitionBy("h", "h2"))).where("first > there")
-    later = found.where("id <> first_id").select("id", "first", "size").unionByName(within.select("id", "first", "size"))
-    span = F.struct("first", (F.col("first") + F.col("size") - 1).alias("last"))
-    matches = later.groupBy("id").agg(F.collect_list(span).alias("matches"))  # joined below in this partitioning
-    joined = packed.join(matches.hint("merge"), "id", "left")
-    held = F.when(F.col("matches").isNull() | F.col("text").isNull(), _none()).otherwise(_covered(F.col("matches")))
-    return _without(joined.select("row", "text", held.alias("removed_lines")), names, text)
+    packed = docs.select(rest.alias("row"), F.struct(F.col(f"`{id}`")).alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    runs = stored(runs_of(repeated_lines(packed.select("id", "th", "text"))), "runs")
+
+    chunks = stored(_later(runs.select("id", "th", F.explode(chunks_of(F.col("lines"))).alias("u")), "chunks"), "removed-chunks")
+    numbers = F.array_distinct(F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("size") - 1))))
+    covered = chunks.groupBy("id", "th").agg(numbers.alias("covered"))  # a text's own lines
+    beside = runs.join(covered.hint("merge"), ["id", "th"], "left").withColumn("covered", F.coalesce("covered", _none()))
+    edges = _later(beside.select("id", "th", F.explode(windows_of(F.col("lines"), F.col("covered"))).alias("u")), "windows")
+
+    gone = chunks.unionByName(edges).groupBy("id", "th").agg(F.array_sort(numbers).alias("gone"))
+    joined = packed.join(gone.hint("merge"), ["id", "th"], "left")
+    return _without(joined.select("row", "text", F.coalesce("gone", _none()).alias("gone")), names, text, removed)
+
+
+def _none() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _without(marked: DataFrame, names: list[str], text: str, removed: str) -> DataFrame:
+    """Rows (row, text, gone) as they were, without those lines."""
+    kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "")
+    cleaned = F.when(F.size("gone") == 0, F.col("text")).otherwise(_let(lines_of(F.col("text")), kept))
+    out = [cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
+    return marked.select(*out, F.col("gone").alias(removed))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from mediasift.sources.tables import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
-    out = dedup_passages(docs)
+    out = dedup(docs)
     return out.select("doc_id", "n_chars", F.length("text").cast("long").alias("n_kept"), F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), F.sha2("text", 256).alias("kept_sha256"))

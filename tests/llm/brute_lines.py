@@ -1,6 +1,7 @@
-"""Line dedup again, with dictionaries and loops."""
+"""The content-defined chunks of line dedup again, with dictionaries and loops."""
 
 import re
+from collections import Counter
 
 import xxhash
 
@@ -9,53 +10,37 @@ from mediasift.llm import linededup as L
 CUT = re.compile(L.LINE_END)
 
 
-def _long(x, seed=42):
-    h = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
-def _fold(xs, seed=42):
-    for x in xs:
-        seed = _long(x, seed & (1 << 64) - 1)
-    return seed
-
-
-def chunks(text):
-    lines = [x for x in CUT.split(text) if x]
-    hashes = [(lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        if _fold([hashes[i], hashes[i - 1] if i else 0]) % L.ENDS_OF < L.ENDS or i == len(lines) - 1:
-            if sum(map(len, lines[start : i + 1])) >= L.LEAST_CHUNK:
-                out.append((start, i))
-            start = i + 1
-    return lines, out
-
-
-def removed(rows):
-    """{id: sorted removed line numbers} of rows (id, text) with distinct ids."""
-    texts = {i: chunks(t or "") for i, t in rows}
-    first = {}
-    for i in sorted(texts):
-        lines, found = texts[i]
-        for a, b in found:
-            first.setdefault(tuple(lines[a : b + 1]), (i, a, b))
-    out = {}
-    for i, (lines, found) in texts.items():
-        gone = set()
-        for a, b in found:
-            j, c, d = first[tuple(lines[a : b + 1])]
-            if (j, c) == (i, a):
+def _long(x, seed=42):
+    return signed(xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1))
+
+
+def lines(text):
+    return [x for x in CUT.split(text or "") if x]
+
+
+def chunks(rows):
+    """Set of (id, first, size) of rows (id, text) with distinct ids."""
+    texts = {i: lines(t) for i, t in rows}
+    times = Counter(x for t in texts.values() for x in t)
+    out = set()
+    for i, t in texts.items():
+        long = [len(x) >= L.LONG_LINE or len(x) >= 2 * L.LONG_WORDS - 1 and len(x.strip(" ").split(" ")) >= L.LONG_WORDS for x in t]
+        start, before = None, 0
+        for k, x in enumerate(t):
+            if times[x] < 2:
+                start = None
                 continue
-            theirs = texts[j][0]
-            left = right = 0
-            while left < min(L.BESIDE, a, c) and lines[a - left - 1] == theirs[c - left - 1]:
-                left += 1
-            while right < L.BESIDE and b + right + 1 < len(lines) and d + right + 1 < len(theirs) and lines[b + right + 1] == theirs[d + right + 1]:
-                right += 1
-            span = range(a - left, b + right + 1)
-            size = sum(len(lines[k]) for k in span)
-            if size >= L.LEAST_MATCH and len(span) > 1 or size >= L.LONG_LINE:
-                gone.update(span)
-        out[i] = sorted(gone)
+            h = signed(xxhash.xxh64_intdigest(x.encode(), 42))
+            if start is None:
+                start, before = k, 0
+            edge = k + 1 == len(t) or times[t[k + 1]] < 2 or long[k] or long[k + 1]
+            if edge or _long(h, _long(before)) % L.ENDS_OF == 0:
+                if long[start] or k > start and sum(map(len, t[start : k + 1])) >= L.LEAST_MATCH:
+                    out.add((i, start, k - start + 1))
+                start = k + 1
+            before = h
     return out

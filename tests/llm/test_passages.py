@@ -1,13 +1,14 @@
 """Line dedup of whole passages: against all common runs of lines, and planted ones."""
 
 import random
+import re
 from collections import defaultdict
 
-from brute_lines import CUT
-
 from mediasift.llm import linededup
 from mediasift.sources.tables import table
 
+CUT = re.compile(linededup.LINE_END)
+
 
 def counts(lines):
     size = sum(map(len, lines))
@@ -35,7 +36,7 @@ def removed(rows):
 
 
 def rows_of(spark, rows):
-    return {r["doc_id"]: r for r in linededup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
 def test_all_common_runs(spark):
@@ -62,12 +63,11 @@ def test_short_passages_between_other_lines(spark):
 
 
 def test_odd_cases(odd):
-    assert linededup.dedup_passages(odd).count() == 12 and linededup.dedup_passages(odd.where("false")).count() == 0
+    assert linededup.dedup(odd).count() == 12 and linededup.dedup(odd.where("false")).count() == 0
 
 
 def test_matches_reach_as_far_as_lines_are_equal(spark):
     """Passages of 4 to 9 lines between different neighbours, where an edge chunk can run over into other lines."""
-    assert linededup.BESIDE >= 3
     rnd = random.Random(7)
     own = lambda n: [" ".join(f"n{rnd.randrange(10**9)}" for _ in range(8)) + ".\n" for _ in range(n)]
     rows, planted = [], {}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mediasift.llm import decontaminate, fingerprint, fmindex, linededup, minhash, packing, pii, trigrams
 from mediasift.sources.tables import table
@@ -43,10 +44,13 @@ def test_spans_can_be_removed():
     assert decontaminate.without_spans(text, [(1, 4)]) == "A  e F."
 
 
-def test_line_dedup_is_brute_force(spark):
+def test_chunks_are_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
-    got = {r["doc_id"]: list(r["removed_lines"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_lines.removed(rows) and any(got.values())
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("th", F.lit(0).cast("long"))
+    runs = linededup.runs_of(linededup.repeated_lines(docs))
+    got = {(r["id"], r["c"]["first"], r["c"]["size"]) for r in runs.select("id", F.explode(linededup.chunks_of(F.col("lines"))).alias("c")).collect()}
+    assert got == brute_lines.chunks(rows)
+    assert sum(n for _, _, n in got) / len(got) > 2  # chunks of several lines
 
 
 def test_moved_passage_goes(spark):

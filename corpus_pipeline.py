@@ -31,16 +31,26 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, or that with as many underscores as it takes to clash with no column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.model_of(spark, sf_dir, docs)
     return quality.score(_rows(docs), model, id="row").where("predicted = 1").select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_passages(docs)
-    emptied = (F.size("removed_lines") > 0) & (F.trim(F.translate("text", "\n\t", "  ")) == "")
-    changed = F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*docs.columns)
+    removed = _unused(docs, "removed_lines")
+    out = linededup.dedup(docs, removed=removed)
+    emptied = (F.size(removed) > 0) & (F.trim(F.translate("text", "\n\t", "  ")) == "")
+    out = out.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediasift.operators.components import components
+from mediasift.operators.joins import with_one
 from mediasift.sources.shared import stored
 
 STRATEGIES = ("max_size", "latest", "max_res", "max_bitrate")
@@ -17,46 +20,76 @@ def group_members(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("component").alias("group_id"), F.col("node").alias("id"))
 
 
+#: Similarities are summed in whole numbers of this part, so that sums don't depend on their order; means that differ by less
+#: than TIE of them are equal.
+_UNIT, TIE = 10**9, 1000
+
+
+def ejected(rows: pd.DataFrame, floor: float) -> list:
+    """The members that stay of one component, given as pairs (a, b, similarity, more_a, more_b): as long as any two members
+    are linked with less than ``floor``, or not at all, the one with the lowest mean similarity goes (the smallest id on ties).
+
+    ``more`` is the number of further equal items that a member stands for. They have the same mean and are next in turn as
+    soon as one of them is (each that goes takes a similarity of 1 from the others of its kind, and less from all else), so
+    they go together. Sums are kept up to date in a heap; a step costs what the member is linked with.
+    """
+    near: dict = {}
+    more: dict = {}
+    for a, b, s, m, n in zip(rows["a"], rows["b"], rows["similarity"], rows["more_a"], rows["more_b"], strict=True):
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = (round(s * _UNIT), s >= floor)
+        more[a], more[b] = m, n
+    sums = {x: more[x] * _UNIT + sum(s * (1 + more[y]) for y, (s, _) in v.items()) for x, v in near.items()}
+    fits = {x: sum(good for _, good in v.values()) for x, v in near.items()}
+    bad = sum(len(near) - 1 - n for n in fits.values()) // 2
+    key = lambda x: (round(sums[x] / TIE), x, sums[x])
+    heap = [key(x) for x in near]
+    heapq.heapify(heap)
+    while bad:
+        _, worst, s = heapq.heappop(heap)
+        if worst not in near or s != sums[worst]:
+            continue
+        bad -= len(near) - 1 - fits[worst]
+        for other, (t, good) in near.pop(worst).items():
+            del near[other][worst]
+            sums[other] -= t * (1 + more[worst])
+            fits[other] -= good
+            heapq.heappush(heap, key(other))
+    return sorted(near)
+
+
 def split_groups(links: DataFrame, floor: float, copies: DataFrame | None = None) -> DataFrame:
     """(group_id, id) so that every pair of a group is linked with at least ``floor`` (absent pairs count as 0).
 
-    Links below the floor are cut and components made anew. Components that are cliques stay; from each other one, the
-    member with the lowest mean similarity is ejected (the largest id on ties) until what remains is a clique. Groups of
-    one go. Ejection is sequential by definition, so a component's links come to one task; cutting keeps them small.
+    Links below the floor don't join components, but count at their value inside one. Components in which all pairs reach
+    the floor stay as they are; the others are split by :func:`ejected`, which is sequential by definition, so the links of
+    one component come to one task. Groups of one go.
 
     ``copies`` (a, b) are the equal items b of a representative a (a star). They are left out of the links, weigh in its mean
     similarity, and follow it into its group; if it is in none, it makes one with them.
     """
     copies = links.where("false").select("a", "b") if copies is None else copies.select("a", "b")
-    counts = copies.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    strong = links.where(F.col("similarity") >= floor).select("a", "b", "similarity")
-    strong = strong.join(counts.select("a", F.col("n").alias("more_a")).hint("merge"), "a", "left").join(counts.select(F.col("a").alias("b"), F.col("n").alias("more_b")).hint("merge"), "b", "left")
-    strong = stored(strong.na.fill(0, ["more_a", "more_b"]), "strong-links")
-    members = group_members(strong)
-    inside = strong.join(members.withColumnRenamed("id", "a").hint("merge"), "a")
+    counts = stored(copies.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "copy-counts")
+    weighed = links.select("a", "b", "similarity").join(counts.select("a", F.col("n").alias("more_a")).hint("merge"), "a", "left").join(counts.select(F.col("a").alias("b"), F.col("n").alias("more_b")).hint("merge"), "b", "left")
+    weighed = stored(weighed.na.fill(0, ["more_a", "more_b"]), "weighed-links")
+    members = stored(group_members(weighed.where(F.col("similarity") >= floor)), "members")
+    of = lambda side: members.select(F.col("group_id").alias(f"group_{side}"), F.col("id").alias(side)).hint("merge")
+    inside = stored(weighed.join(of("a"), "a").join(of("b"), "b").where("group_a = group_b").select(F.col("group_a").alias("group_id"), *weighed.columns), "inside-links")
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    edges = inside.groupBy("group_id").agg(F.countDistinct("a", "b").alias("m"))
-    whole = sizes.join(edges.hint("merge"), "group_id").where("2 * m = n * (n - 1)").select("group_id")
+    edges = inside.where(F.col("similarity") >= floor).groupBy("group_id").agg(F.count(F.lit(1)).alias("m"))
+    whole = stored(sizes.join(edges.hint("merge"), "group_id").where("2 * m = n * (n - 1)").select("group_id"), "whole")
 
     def eject(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        more: dict = {}
-        for a, b, s, m, n in zip(rows["a"], rows["b"], rows["similarity"], rows["more_a"], rows["more_b"], strict=True):
-            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
-            more[a], more[b] = m, n
-        while len(near) > 1 and any(len(v) < len(near) - 1 for v in near.values()):
-            worst = min(sorted(near, reverse=True), key=lambda x: more[x] + sum(s * (1 + more[y]) for y, s in near[x].items()))
-            for other in near.pop(worst):
-                near[other].pop(worst, None)
-        kept = sorted(near) if len(near) > 1 else []
+        kept = ejected(rows, floor)
+        kept = kept if len(kept) > 1 else []
         return pd.DataFrame({"group_id": kept[:1] * len(kept), "id": kept})
 
     kind = members.schema["id"].dataType.simpleString()
     others = inside.join(whole.hint("merge"), "group_id", "left_anti").groupBy("group_id").applyInPandas(eject, f"group_id {kind}, id {kind}")
     kept = stored(members.join(whole.hint("merge"), "group_id", "left_semi").select("group_id", "id").unionByName(others), "split")
     lone = counts.select(F.col("a").alias("id")).join(kept.select("id").hint("merge"), "id", "left_anti")
-    heads = kept.unionByName(lone.select(F.col("id").alias("group_id"), "id"))
-    return heads.unionByName(copies.join(heads.withColumnRenamed("id", "a").hint("merge"), "a").select("group_id", F.col("b").alias("id")))
+    heads = stored(kept.unionByName(lone.select(F.col("id").alias("group_id"), "id")), "heads")
+    follow = with_one(stored(copies, "copies"), heads.withColumnRenamed("id", "a").join(counts.hint("merge"), "a"), ["a"])
+    return heads.unionByName(follow.select("group_id", F.col("b").alias("id")))
 
 
 def bitrate(size: Column, duration: Column) -> Column:
@@ -72,10 +105,24 @@ def retention(members: DataFrame, strategy: str = "max_size") -> DataFrame:
         "max_res": (F.col("width") * F.col("height")).cast("double"),
         "max_bitrate": bitrate(F.col("size"), F.col("duration")),
     }[strategy]
-    best = members.groupBy("group_id").agg(F.max(F.struct(metric.alias("metric"), (-F.col("id")).alias("id"))).alias("best")).select("group_id", (-F.col("best.id")).alias("_kept"))
-    marked = members.join(best.hint("merge"), "group_id").withColumn("retained", F.col("id") == F.col("_kept")).drop("_kept")
-    w = Window.partitionBy("group_id").orderBy(F.desc("retained"), F.desc("size"), "id")
-    return marked.withColumn("rank", F.row_number().over(w))
+    members = stored(members, "members")
+    best = members.groupBy("group_id").agg(F.max(F.struct(metric.alias("metric"), (-F.col("id")).alias("id"))).alias("best"), F.count(F.lit(1)).alias("n")).select("group_id", (-F.col("best.id")).alias("_kept"), "n")
+    marked = with_one(members, stored(best, "kept"), ["group_id"]).withColumn("retained", F.col("id") == F.col("_kept")).drop("_kept")
+    return ranked(marked, "group_id", [F.desc("retained"), F.desc("size"), F.asc("id")])
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``rank``, from 1 within each group in that order, however many rows a group has.
+
+    Rows are dealt to ranges of (group, order), so a large group lies in several tasks; each ranks its own part, and the
+    parts' sizes, one row a task and group, give where it begins.
+    """
+    dealt = stored(rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select(group, "_part", before.alias("_before"))
+    inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    return inside.join(begins.hint("merge"), [group, "_part"]).withColumn("rank", (F.col("_inside") + F.col("_before")).cast("long")).drop("_part", "_inside", "_before")
 
 
 def group_similarity(links: DataFrame, members: DataFrame) -> DataFrame:

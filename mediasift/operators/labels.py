@@ -1,22 +1,26 @@
 """Label consistency: how alike the items of a label are, and which items look mislabelled.
 
-Every statistic is over all pairs of labelled items, as it is defined; the work grows with their square. Pairs come from
-blocks: items are dealt into blocks, block meets block, and no task holds more than two of them.
+Every statistic is over all pairs of labelled items, as it is defined; the work grows with their square, but pairs are
+summed in the blocks in which they meet (:mod:`blocks`), so what is shuffled is a row for each item, label and block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions import hashes as H
 from mediasift.functions import scalars as S
+from mediasift.operators import blocks as B
+from mediasift.operators.joins import against
 
 #: Fixed values.
 W_HASH, W_MOTION, W_CLIP = 0.6, 0.4, 0.5
 SUSPECT, BETTER_BY, Z_LIMIT = 0.5, 0.1, 2.0
 STATIC_RATIO = 0.015
-BLOCK_ITEMS = 512
+BLOCK_ITEMS = 1024
 
 
 def motion_scale(items: DataFrame) -> DataFrame:
@@ -39,57 +43,103 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def blocked_pairs(items: DataFrame, columns: list[str], block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(a_*, b_*) of all pairs a < b: an equi-join on pairs of blocks, each item copied once for each block."""
-    blocks = max(1, -(-items.count() // block_items))
-    dealt = items.select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = lambda df: df.select("*", F.explode(every).alias("_other")).select("*", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"))
-    a, b = cells(dealt).alias("a"), cells(dealt).alias("b")
-    on = (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y")) & (F.col("a.id") < F.col("b.id"))
-    fit = (F.col("a._other") == F.col("b._block")) & (F.col("b._other") == F.col("a._block"))
-    return a.join(b.hint("merge"), on & fit).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}" if c != "id" else s) for s in "ab" for c in ["id", *columns]])
-
-
-def label_pairs(items: DataFrame, use_clip: bool = True) -> DataFrame:
-    """(a, b, a_label, b_label, sim) over all pairs of items (id, label, phash, dhash, motion_mean, emb)."""
-    scale = motion_scale(items)
-    pairs = blocked_pairs(items, ["label", "phash", "dhash", "motion_mean", "emb"]).crossJoin(F.broadcast(scale))  # one row
-    c = F.col
-    hashes = (H.symmetric_similarity("a_phash", "b_phash") + H.symmetric_similarity("a_dhash", "b_dhash")) / 2
-    motion = motion_similarity(c("a_motion_mean"), c("b_motion_mean"), c("scale"))
-    total, weight = hashes * W_HASH + motion * W_MOTION, W_HASH + W_MOTION
+def _alike(x: pd.DataFrame, y: pd.DataFrame, scale: float, use_clip: bool) -> np.ndarray:
+    """Similarity of every row of ``x`` to every row of ``y``."""
+    hashes = 0.0
+    for c in ("phash", "dhash"):
+        a, b = B.padded(x[c]), B.padded(y[c])
+        there, back = B.nearest_sums(a, b)
+        na, nb = a[1][:, None], b[1][None]
+        both = (1 - there / (np.maximum(na, 1) * float(H.BITS)) + (1 - back / (np.maximum(nb, 1) * float(H.BITS)))) / 2
+        hashes = hashes + np.where((na > 0) & (nb > 0), both, 0.0)
+    gap = np.abs(np.log1p(x["motion_mean"].to_numpy(float))[:, None] - np.log1p(y["motion_mean"].to_numpy(float))[None])
+    motion = (gap <= 1e-9).astype(float) if scale <= 1e-9 else np.maximum(0.0, 1 - gap / scale)
+    total, weight = hashes / 2 * W_HASH + motion * W_MOTION, W_HASH + W_MOTION
     if use_clip:
-        total, weight = total + cosine(c("a_emb"), c("b_emb")) * W_CLIP, weight + W_CLIP
-    return pairs.select("a", "b", "a_label", "b_label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / weight)).alias("sim"))
+        a, b = (np.stack(v["emb"].to_list()).astype(float) for v in (x, y))
+        size = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None]
+        total, weight = total + np.where(size > 0, a @ b.T / np.where(size > 0, size, 1.0), 0.0) * W_CLIP, weight + W_CLIP
+    return np.clip(total / weight, 0.0, 1.0)
+
+
+def _cells(items: DataFrame) -> tuple[DataFrame, float]:
+    rows = items.select("id", "label", "phash", "dhash", "motion_mean", "emb")
+    return B.in_cells(rows, block_items=BLOCK_ITEMS), float(motion_scale(items).first()["scale"])
+
+
+def label_pairs(items: DataFrame, use_clip: bool = True, least: float = 0.0) -> DataFrame:
+    """(a, b, a_label, b_label, sim) of the pairs of items (id, label, phash, dhash, motion_mean, emb) with ``least`` or more."""
+    cells, scale = _cells(items)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, same = B.sides(rows)
+        sim = _alike(x, y, scale, use_clip) if len(x) and len(y) else np.zeros((len(x), len(y)))
+        a, b = x["id"].to_numpy(), y["id"].to_numpy()
+        i, j = np.nonzero((sim >= least) & ((a[:, None] < b[None]) if same else True))
+        swap = a[i] > b[j]
+        la, lb = x["label"].to_numpy()[i], y["label"].to_numpy()[j]
+        return pd.DataFrame({"a": np.where(swap, b[j], a[i]), "b": np.where(swap, a[i], b[j]), "a_label": np.where(swap, lb, la), "b_label": np.where(swap, la, lb), "sim": sim[i, j]})
+
+    kind, label = (items.schema[c].dataType.simpleString() for c in ("id", "label"))
+    return cells.groupBy("cell").applyInPandas(run, f"a {kind}, b {kind}, a_label {label}, b_label {label}, sim double")
+
+
+def label_sums(items: DataFrame, use_clip: bool = True) -> DataFrame:
+    """(id, label, other, total, n, least): of every item, over all items of every label (itself left out), the sum of the
+    similarities, their number and the smallest. Pairs are summed where they meet and never become rows."""
+    cells, scale = _cells(items)
+
+    def summed(x: pd.DataFrame, labels: np.ndarray, sim: np.ndarray, use: np.ndarray) -> list[pd.DataFrame]:
+        out = []
+        for name in np.unique(labels):
+            s, u = sim[:, labels == name], use[:, labels == name]
+            some = u.any(axis=1)
+            out.append(pd.DataFrame({"id": x["id"], "label": x["label"], "other": name, "total": np.where(u, s, 0.0).sum(axis=1), "n": u.sum(axis=1), "least": np.where(u, s, 2.0).min(axis=1)})[some])
+        return out
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, same = B.sides(rows)
+        out = [pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": [], "least": []})]
+        if len(x) and len(y):
+            sim = _alike(x, y, scale, use_clip)
+            use = ~np.eye(len(x), dtype=bool) if same else np.ones(sim.shape, bool)
+            out = summed(x, y["label"].to_numpy(), sim, use) + ([] if same else summed(y, x["label"].to_numpy(), sim.T, use.T)) or out
+        return pd.concat(out)
+
+    kind, label = (items.schema[c].dataType.simpleString() for c in ("id", "label"))
+    parts = cells.where("label is not null").groupBy("cell").applyInPandas(run, f"id {kind}, label {label}, other {label}, total double, n long, least double")
+    return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
+def item_means(sums: DataFrame) -> DataFrame:
+    """(id, label, other, mean, n): mean similarity of every item to every label, its own included."""
+    return sums.select("id", "label", "other", (F.col("total") / F.col("n")).alias("mean"), "n")
 
 
-def item_means(pairs: DataFrame) -> DataFrame:
-    """(id, label, other, mean, n): mean similarity of every item to every label, its own included."""
-    one = pairs.select(F.col("a").alias("id"), F.col("a_label").alias("label"), F.col("b_label").alias("other"), "sim")
-    two = pairs.select(F.col("b").alias("id"), F.col("b_label").alias("label"), F.col("a_label").alias("other"), "sim")
-    return one.unionByName(two).groupBy("id", "label", "other").agg(F.avg("sim").alias("mean"), F.count(F.lit(1)).alias("n"))
+def _mean() -> Column:
+    return F.sum("total") / F.sum("n")
 
 
-def label_stats(items: DataFrame, pairs: DataFrame, means: DataFrame) -> DataFrame:
+def label_stats(items: DataFrame, sums: DataFrame) -> DataFrame:
     """(label, n, intra_mean, intra_min, motion_mean, motion_std, outlier_std)."""
-    own = pairs.where("a_label = b_label").groupBy(F.col("a_label").alias("label")).agg(F.avg("sim").alias("intra_mean"), F.min("sim").alias("intra_min"))
-    out = means.where("label = other").groupBy("label").agg(F.stddev_pop("mean").alias("outlier_std"))
+    same = sums.where("label = other")
+    own = same.groupBy("label").agg(_mean().alias("intra_mean"), F.min("least").alias("intra_min"), F.stddev_pop(F.col("total") / F.col("n")).alias("outlier_std"))
     base = items.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("motion_mean").alias("motion_mean"), F.avg("motion_std").alias("motion_std"))
-    return base.join(own.hint("merge"), "label", "left").join(out.hint("merge"), "label", "left").withColumn("outlier_std", F.coalesce("outlier_std", F.lit(0.0)))
+    return base.join(own.hint("merge"), "label", "left").withColumn("outlier_std", F.coalesce("outlier_std", F.lit(0.0)))
 
 
-def separation(pairs: DataFrame) -> DataFrame:
+def separation(sums: DataFrame) -> DataFrame:
     """One row: mean similarity inside labels, across labels, and their difference."""
-    same = F.col("a_label") == F.col("b_label")
-    both = pairs.agg(F.coalesce(F.avg(F.when(same, F.col("sim"))), F.lit(0.0)).alias("intra"), F.coalesce(F.avg(F.when(~same, F.col("sim"))), F.lit(0.0)).alias("inter"))
+    same = F.col("label") == F.col("other")
+    mean = lambda these: F.coalesce(F.sum(F.when(these, F.col("total"))) / F.sum(F.when(these, F.col("n"))), F.lit(0.0))
+    both = sums.agg(mean(same).alias("intra"), mean(~same).alias("inter"))
     return both.withColumn("separation", F.col("intra") - F.col("inter"))
 
 
-def confusion(pairs: DataFrame) -> DataFrame:
+def confusion(sums: DataFrame) -> DataFrame:
     """(label_a, label_b, sim): mean similarity of the items of two labels."""
-    p = pairs.where("a_label <> b_label")
-    return p.groupBy(F.least("a_label", "b_label").alias("label_a"), F.greatest("a_label", "b_label").alias("label_b")).agg(F.avg("sim").alias("sim"))
+    p = sums.where("label <> other")
+    return p.groupBy(F.least("label", "other").alias("label_a"), F.greatest("label", "other").alias("label_b")).agg(_mean().alias("sim"))
 
 
 def suspects(means: DataFrame, stats: DataFrame, threshold: float = SUSPECT) -> DataFrame:
@@ -136,10 +186,10 @@ def grade(items: Column, n_suspects: Column, mixed: Column, groups: Column) -> C
 def negatives(items: DataFrame, prompts: DataFrame, empty: DataFrame, marker: str = "neg", margin: float = 0.03) -> DataFrame:
     """(id, token, gap) of items marked as negative whose best behaviour prompt beats the empty scene by the margin.
 
-    ``prompts`` (token, emb) and ``empty`` (one emb) are hand-written lists of a few rows, and broadcast as such.
+    ``prompts`` (token, emb) is a list, ``empty`` (emb) one row.
     """
     neg = items.where(F.array_contains(S.label_tokens(F.col("label")), marker)).select("id", F.col("emb").alias("e"))
-    scored = neg.crossJoin(F.broadcast(prompts)).select("id", "e", "token", dot(F.col("e"), F.col("emb")).alias("s"))
+    scored = against(neg, prompts).select("id", "e", "token", dot(F.col("e"), F.col("emb")).alias("s"))
     best = scored.groupBy("id").agg(F.max(F.struct("s", "token")).alias("best"), F.first("e").alias("e"))
     gap = F.col("best.s") - dot(F.col("e"), F.col("empty"))
-    return best.crossJoin(F.broadcast(empty.select(F.col("emb").alias("empty")))).select("id", F.col("best.token").alias("token"), gap.alias("gap")).where(F.col("gap") > margin)
+    return against(best, empty.limit(1).select(F.col("emb").alias("empty"))).select("id", F.col("best.token").alias("token"), gap.alias("gap")).where(F.col("gap") > margin)

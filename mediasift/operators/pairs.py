@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions import hashes as H
+from mediasift.operators import blocks as B
+from mediasift.operators.joins import with_one
 from mediasift.sources.shared import stored
 
-#: Items up to which all pairs are compared.
-ALL_PAIRS_UP_TO = 50
-
-
 def _both(left: DataFrame, right: DataFrame, on: Column, strategy: str = "merge") -> DataFrame:
     """Sizes after an explode are guesses, so the strategy is set."""
     return left.alias("a").join(right.alias("b").hint(strategy), on)
@@ -26,24 +28,23 @@ def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     return _sides(_both(queries, items, F.col("a.id") < F.col("b.id"), "shuffle_replicate_nl"), queries.columns)
 
 
-def candidates(items: DataFrame, bucket_count: int | None = None) -> DataFrame:
-    """All pairs of a few items; of more, those that share a band."""
-    few = items.limit(ALL_PAIRS_UP_TO + 1).count() <= ALL_PAIRS_UP_TO
-    return all_pairs(items, items) if few else lsh_candidates(items, bucket_count)
-
-
-def lsh_candidates(items: DataFrame, bucket_count: int | None = None, hash_list: str = "phash", also: Column | None = None) -> DataFrame:
+def lsh_candidates(items: DataFrame, bucket_count: int | None = None, hash_list: str = "phash") -> DataFrame:
     """(a_*, b_*) of the items whose first hash agrees in a band, once for each pair (in its lowest common band).
 
-    Items without a hash share a bucket of their own. ``bucket_count`` folds bands to so many values; None keeps their
-    16 bits, which is what scales. ``also`` is a further condition of the join, on columns of ``a`` and ``b``.
+    Candidates alone: what is alike beyond a band's bits is not among them (:func:`recall` measures how much), and no
+    similarity is worked out. Items without a hash share a bucket of their own. ``bucket_count`` folds bands to so many
+    values; None keeps their 16 bits. Ids and bands meet first, the other columns are fetched for the pairs.
     """
     keys = F.when(F.size(hash_list) > 0, H.band_keys(F.get(hash_list, 0), bucket_count)).otherwise(F.array(F.lit(-1).cast("long")))
-    keyed = items.withColumn("_keys", keys).select("*", F.posexplode("_keys").alias("_band", "_key"))
+    keyed = stored(items.select("id", keys.alias("_keys")), "band-keys")
+    banded = keyed.select("*", F.posexplode("_keys").alias("_band", "_key"))
     same = (F.col("a._band") == F.col("b._band")) & (F.col("a._key") == F.col("b._key")) & (F.col("a.id") < F.col("b.id"))
     lowest = F.array_position(F.zip_with("a._keys", "b._keys", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(True)) == F.col("a._band") + 1
-    on = same & lowest if also is None else same & lowest & also
-    return _sides(_both(keyed, keyed, on), items.columns)
+    found = _both(banded, banded, same & lowest).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    rest = [c for c in items.columns if c != "id"]
+    for side in "ab" if rest else "":
+        found = found.join(items.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in rest]).hint("merge"), side)
+    return found.select("a", *[f"a_{c}" for c in rest], "b", *[f"b_{c}" for c in rest])
 
 
 def duration_compatible(pairs: DataFrame, ratio: float = 0.2) -> DataFrame:
@@ -61,30 +62,96 @@ def representatives(items: DataFrame) -> DataFrame:
     return items.groupBy("phash", "dhash", "audio", "duration").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "phash", "dhash", "audio", "duration", "copies")
 
 
-def similar_pairs(items: DataFrame, threshold: float = 0.7, bucket_count: int | None = None, skip: DataFrame | None = None) -> DataFrame:
-    """(a, b, distance, similarity) of the pairs of distinct signatures at or above the threshold; items with equal
-    signatures are represented by their smallest id (see :func:`copy_links` for their links)."""
-    reps = representatives(items).drop("copies")
-    pairs = duration_compatible(lsh_candidates(reps, bucket_count))
+def _similarity(x: pd.DataFrame, y: pd.DataFrame, weights: tuple[float, float]) -> np.ndarray:
+    """Fused similarity without sound of every row of ``x`` with every row of ``y``, from the smaller id to the larger."""
+    forward = x["id"].to_numpy()[:, None] < y["id"].to_numpy()[None]
+    parts, has = [], []
+    for c in ("phash", "dhash"):
+        a, b = B.padded(x[c]), B.padded(y[c])
+        there, back = B.nearest_sums(a, b)
+        n = np.where(forward, a[1][:, None], b[1][None])
+        parts.append(np.where((a[1][:, None] > 0) & (b[1][None] > 0), 1 - np.where(forward, there, back) / (np.maximum(n, 1) * float(H.BITS)), 0.0))
+        has.append(n > 0)
+    (p, d), (has_p, has_d) = parts, has
+    return np.where(has_p & has_d, p * weights[0] + d * weights[1], np.where(has_p, p, np.where(has_d, d, 0.0)))
+
+
+def _quieter(s: float, x, y, factor: float) -> float:
+    """A similarity as the sound of two items (of the smaller id first) leaves it."""
+    if x is None or y is None or not len(x) or not len(y):
+        return s
+    heard = 1 - sum(min(((int(p) ^ int(q)) & (1 << 64) - 1).bit_count() for q in y) for p in x) / (len(x) * float(H.BITS))
+    return s * factor if heard < H.AUDIO_GATE else s
+
+
+def _compare(threshold: float, weights: tuple[float, float], audio_factor: float, ratio: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, same = B.sides(rows)
+        out: list[tuple] = []
+        length = max((len(v) for c in ("phash", "dhash") for v in y[c] if v is not None), default=1)
+        for cut in B.tiles(len(x), len(y) * max(1, length)):
+            part = x.iloc[cut]
+            a, b = part["id"].to_numpy(), y["id"].to_numpy()
+            s = _similarity(part, y, weights)
+            u, v = np.nan_to_num(part["duration"].to_numpy(float))[:, None], np.nan_to_num(y["duration"].to_numpy(float))[None]
+            apart = (u > 0) & (v > 0) & (np.abs(u - v) / np.maximum(np.maximum(u, v), 1e-300) > ratio)
+            keep = (s >= threshold) & ~apart & ((a[:, None] < b[None]) if same else True)
+            sound = part["audio"].to_numpy(), y["audio"].to_numpy()
+            for i, j in zip(*np.nonzero(keep), strict=True):
+                first, second = (sound[0][i], sound[1][j]) if a[i] < b[j] else (sound[1][j], sound[0][i])
+                heard = max(0.0, min(1.0, _quieter(float(s[i, j]), first, second, audio_factor)))
+                if heard >= threshold:
+                    out.append((min(a[i], b[j]), max(a[i], b[j]), heard))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return run
+
+
+def pairs_above(items: DataFrame, threshold: float = 0.7, fresh: Column | None = None, weights: tuple[float, float] = (H.P_WEIGHT, H.D_WEIGHT), audio_factor: float = H.AUDIO_FACTOR, ratio: float = 0.2) -> DataFrame:
+    """(a, b, similarity) of all pairs of ``items`` (id, phash, dhash, audio, duration) at or above the threshold.
+
+    At 0.7 two lists may differ in 19 of 64 bits, which no index of hashes prunes without losing pairs; so all pairs are
+    compared, in blocks. Only items whose durations can fit meet (logarithmic bands; unknown durations meet all). With
+    ``fresh`` only pairs with such an item. Ids are distinct; a null list is as an empty one.
+    """
+    known = F.when(F.col("duration") > 0, F.floor(F.log("duration") / F.lit(-math.log(1 - ratio))).cast("int"))
+    rows = items.select("id", "phash", "dhash", "audio", "duration", (F.lit(True) if fresh is None else fresh).alias("fresh"))
+    kind = items.schema["id"].dataType.simpleString()
+    cells = B.in_cells(rows, known, F.col("fresh"))
+    return cells.groupBy("cell").applyInPandas(_compare(threshold, weights, audio_factor, ratio), f"a {kind}, b {kind}, similarity double")
+
+
+def similar_pairs(items: DataFrame, threshold: float = 0.7, skip: DataFrame | None = None) -> DataFrame:
+    """(a, b, distance, similarity) of the pairs of distinct signatures at or above the threshold, none left out; items
+    with equal signatures are represented by their smallest id (see :func:`copy_links` for their links)."""
+    found = pairs_above(representatives(items).drop("copies"), threshold)
     if skip is not None:
-        pairs = pairs.join(skip.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    found = scored(pairs).where(F.col("similarity") >= threshold)
+        found = found.join(skip.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
     return found.select("a", "b", (1 - F.col("similarity")).alias("distance"), "similarity")
 
 
+def recall(items: DataFrame, threshold: float = 0.7, bucket_count: int | None = None, every: int = 100) -> DataFrame:
+    """One row (pairs, found): of the pairs at or above the threshold with an item whose id is divisible by ``every``, how
+    many there are and how many of them the bands have as candidates."""
+    reps = stored(representatives(items).drop("copies"), "representatives")
+    asked = (F.col("id") % every == 0).alias("asked")
+    true = pairs_above(reps, threshold, fresh=asked).where(f"a % {every} = 0 or b % {every} = 0")
+    banded = lsh_candidates(reps.select("id", "phash"), bucket_count).select("a", "b", F.lit(1).alias("met"))
+    return true.join(banded.hint("merge"), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("met").alias("found"))
+
+
 def copy_links(items: DataFrame) -> DataFrame:
     """(a, b) from the representative of each signature to every other item that has it: a star, not all pairs."""
-    reps = representatives(items).where("copies > 1 and size(phash) + size(dhash) > 0").select(F.col("id").alias("a"), "phash", "dhash", "audio", "duration")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in ("phash", "dhash", "audio", "duration")]
-    return reps.alias("r").join(items.alias("i").hint("merge"), same).where("r.a < i.id").select("r.a", F.col("i.id").alias("b"))
+    signed = stored(items.where("size(phash) + size(dhash) > 0").select("id", F.struct("phash", "dhash", "audio", "duration").alias("sig")), "signed")
+    heads = stored(signed.groupBy("sig").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+    return with_one(signed, heads, ["sig"]).where("a < id").select("a", F.col("id").alias("b"))
 
 
 def metadata_candidates(files: DataFrame) -> DataFrame:
-    """(a, b) of neighbours among files of equal size and whole-second time: each with the next id of its group."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("size", F.bround("mtime", 0)).orderBy("id")
-    return files.select(F.col("id").alias("a"), F.lead("id").over(w).alias("b")).where("b is not null")
+    """(a, b) from the first file (smallest id) of equal size and whole-second time to each other one: a star for each group."""
+    keyed = stored(files.select("id", "size", F.bround("mtime", 0).alias("second")), "sizes-and-times")
+    heads = stored(keyed.groupBy("size", "second").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+    return with_one(keyed, heads, ["size", "second"]).where("a < id").select("a", F.col("id").alias("b"))
 
 
 def candidate_statistics(items: DataFrame, bucket_count: int | None = 32) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.operators.joins import against
 from mediasift.operators.labels import cosine, dot
+from mediasift.sources.shared import stored
 
 UNKNOWN = "unknown"
 #: Fixed values.
@@ -28,9 +30,9 @@ def pooled(frames: DataFrame) -> DataFrame:
 def zero_shot_tags(items: DataFrame, prompts: DataFrame, top: int = 3) -> DataFrame:
     """(id, kind, rank, label, score): the best labels of each kind by mean similarity to their prompts.
 
-    ``prompts`` (kind, label, emb) is a hand-written list of at most some hundred rows, and broadcast as such.
+    ``prompts`` (kind, label, emb) is a list.
     """
-    scores = items.select("id", F.col("emb").alias("_e")).crossJoin(F.broadcast(prompts)).select("id", "kind", "label", dot(F.col("_e"), F.col("emb")).alias("s"))
+    scores = against(items.select("id", F.col("emb").alias("_e")), prompts).select("id", "kind", "label", dot(F.col("_e"), F.col("emb")).alias("s"))
     mean = scores.groupBy("id", "kind", "label").agg(F.avg("s").alias("score"))
     w = Window.partitionBy("id", "kind").orderBy(F.desc("score"), "label")
     return mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -76,7 +78,8 @@ def kmeans(items: DataFrame, k: int, tries: int = 10, seed: int = 42, rounds: in
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = items.select("id", array_to_vector(F.col("emb").cast("array<double>")).alias("features"))
+    items = stored(items.select("id", F.col("emb").cast("array<double>").alias("emb")), "vectors")  # read in every round of every try
+    rows = items.select("id", array_to_vector("emb").alias("features"))
     models = [KMeans(k=k, seed=seed + t, maxIter=rounds).fit(rows) for t in range(tries)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select("id", F.col("prediction").cast("int").alias("cluster"))

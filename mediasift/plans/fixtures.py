@@ -5,6 +5,8 @@ Documents stand for media items: runs of 72 characters are frames, their bits fi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +26,37 @@ def _codes(c: Column) -> Column:
     return F.transform(F.split(c, ""), lambda x: F.ascii(x))
 
 
-def _hash(codes: Column, left, right) -> Column:
-    """Bit q is set if the code at right(q) is above that at left(q)."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, q: h.bitwiseOR(F.when(F.get(codes, right(q)) > F.get(codes, left(q)), F.call_function("shiftleft", F.lit(1).cast("long"), q)).otherwise(F.lit(0).cast("long"))))
+#: Frame places whose codes are compared, for each of 64 bits: set if the code at the second is above that at the first.
+_AT = np.arange(64) // 8 * 9 + np.arange(64) % 8
+LEFT = {"phash": _AT, "dhash": np.arange(64)}
+RIGHT = {"phash": _AT + 1, "dhash": np.arange(64) + 8}
 
 
-def phash_of(codes: Column) -> Column:
-    at = lambda q: (q / 8).cast("int") * 9 + q % 8
-    return _hash(codes, at, lambda q: at(q) + 1)
+def _hashes(frames: list[str], kind: str) -> np.ndarray:
+    """64-bit fingerprints of frames of FRAME characters, all at once."""
+    codes = np.frombuffer("".join(frames).encode("utf-32-le"), np.uint32).reshape(-1, FRAME)
+    bits = (codes[:, RIGHT[kind]] > codes[:, LEFT[kind]]).astype(np.uint64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def dhash_of(codes: Column) -> Column:
-    return _hash(codes, lambda q: q, lambda q: q + 8)
+def hash_of(frame: Column, kind: str) -> Column:
+    """Fingerprint of a frame (a text of FRAME characters)."""
+    return F.pandas_udf(lambda s: pd.Series(_hashes(s.to_list(), kind), index=s.index), "long")(frame)
+
+
+def hashes_of(frames: Column, kind: str) -> Column:
+    """Fingerprints of an array of frames."""
+
+    def run(lists):
+        sizes = [len(x) for x in lists]
+        parts = np.split(_hashes([f for x in lists for f in x], kind), np.cumsum(sizes)[:-1])
+        return pd.Series(parts if len(sizes) else [], index=lists.index, dtype=object)
+
+    return F.pandas_udf(run, "array<long>")(frames)
+
+
+def frame_at(text: Column, at: Column) -> Column:
+    return F.rpad(F.substr(text, at + 1, F.lit(FRAME)), FRAME, " ")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,17 +64,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, i, codes) of at most four frames of each document."""
+    """(doc_id, i, frame, codes) of at most four frames of each document."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.posexplode(uniform_places(F.length("text"), FRAMES)).alias("i", "at"))
-    return docs.select("doc_id", "i", _codes(F.rpad(F.substr("text", F.col("at") + 1, F.lit(FRAME)), FRAME, " ")).alias("codes"))
+    cut = docs.select("doc_id", "i", frame_at(F.col("text"), F.col("at")).alias("frame"))
+    return cut.withColumn("codes", _codes(F.col("frame")))
 
 
 def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, phash, dhash, audio, duration, width, height, fps), arrays in frame order, worked out row by row."""
     docs = documents(spark, sf_dir)
-    cut = F.transform(uniform_places(F.length("text"), FRAMES), lambda at: _codes(F.rpad(F.substr(F.col("text"), at + 1, F.lit(FRAME)), FRAME, " ")))
-    d = docs.select(F.col("doc_id").alias("id"), "n_chars", cut.alias("codes"))
-    d = d.select("id", "n_chars", F.transform("codes", phash_of).alias("phash"), F.transform("codes", dhash_of).alias("dhash"))
+    cut = F.transform(uniform_places(F.length("text"), FRAMES), lambda at: frame_at(F.col("text"), at))
+    d = docs.select(F.col("doc_id").alias("id"), "n_chars", cut.alias("frames"))
+    d = d.select("id", "n_chars", hashes_of(F.col("frames"), "phash").alias("phash"), hashes_of(F.col("frames"), "dhash").alias("dhash"))
     first = F.get("phash", 0)
     audio = F.when(F.col("id") % 3 == 0, F.array(first)).when(F.col("id") % 3 == 1, F.array(F.bitwise_not(first)))
     shape = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in SHAPES]), (F.col("id") % 6 + 1).cast("int"))
@@ -92,12 +114,21 @@ def store(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
 def label_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, phash, dhash, motion_mean, motion_std, motion_ratio, emb) from embeddings."""
     e = F.col("embedding")
-    bits = lambda test: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, q: h.bitwiseOR(F.when(test(q), F.call_function("shiftleft", F.lit(1).cast("long"), q)).otherwise(F.lit(0).cast("long"))))
+
+    def bits(test) -> Column:
+        """Bit q is set where ``test`` of a vector matrix holds in column q."""
+
+        def run(vectors):
+            held = test(np.stack(vectors.to_list())) if len(vectors) else np.zeros((0, 64), bool)
+            return pd.Series((held.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64), index=vectors.index)
+
+        return F.array(F.pandas_udf(run, "long")(e))
+
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"),
-        F.array(bits(lambda q: F.get(e, q) > 0)).alias("phash"),
-        F.array(bits(lambda q: F.get(e, (q + 1) % 64) > F.get(e, q))).alias("dhash"),
+        bits(lambda v: v[:, :64] > 0).alias("phash"),
+        bits(lambda v: np.roll(v[:, :64], -1, axis=1) > v[:, :64]).alias("dhash"),
         (F.abs(F.get(e, 0).cast("double")) * 10).alias("motion_mean"),
         F.abs(F.get(e, 1).cast("double")).alias("motion_std"),
         (F.abs(F.get(e, 2).cast("double")) / 5).alias("motion_ratio"),

@@ -42,11 +42,11 @@ def groups_from_store(store: DataFrame, threshold: float = 0.85) -> dict[str, Da
 
 def verify_labels(items: DataFrame, threshold: float = L.SUSPECT) -> dict[str, DataFrame]:
     """Label statistics and suspects over items (id, label, phash, dhash, motion_mean, motion_std, motion_ratio, emb)."""
-    pairs = stored(L.label_pairs(items), "label-pairs")
-    means = stored(L.item_means(pairs), "label-means")
-    stats = stored(L.label_stats(items, pairs, means), "label-stats")
-    apart = L.separation(pairs)
-    return {"stats": stats, "suspects": L.suspects(means, stats, threshold), "confusion": L.confusion(pairs), "separation": apart, "silhouette": L.silhouette(means), "verdicts": L.verdicts(stats, apart), "balance": L.balance(items)}
+    sums = stored(L.label_sums(items), "label-sums")
+    means = L.item_means(sums)
+    stats = stored(L.label_stats(items, sums), "label-stats")
+    apart = L.separation(sums)
+    return {"stats": stats, "suspects": L.suspects(means, stats, threshold), "confusion": L.confusion(sums), "separation": apart, "silhouette": L.silhouette(means), "verdicts": L.verdicts(stats, apart), "balance": L.balance(items)}
 
 
 def health_check(items: DataFrame, groups: dict[str, DataFrame], labels: dict[str, DataFrame], pattern: str) -> DataFrame:

@@ -8,7 +8,10 @@ from mediasift.functions.samplers import check_places
 from mediasift.operators import frames as P
 from mediasift.plans import fixtures as X
 from mediasift.plans import pipelines
+from mediasift.plans.q_labels import LABELS, SUSPECTED, THRESHOLD
+from mediasift.plans.q_pairs import groups_sql, kept
 from mediasift.plans.registry import query
+from mediasift.sources.shared import stored
 
 
 def pixels(spark, sf_dir):
@@ -64,22 +67,32 @@ def _(spark, sf_dir):
     return m.select("id", F.coalesce(label_of("folder"), label_of("prefix")).alias("label"))
 
 
-@query("l1_dedup_scan", "SELECT count(*) AS files, count(*) FILTER (fresh) AS computed FROM (SELECT n.id, NOT coalesce(n.size = o.size AND abs(n.mtime - o.mtime) < 1, false) AS fresh FROM store_new n LEFT JOIN store_old o USING (path))")
+FRESH = "NOT coalesce(n.size = o.size AND abs(n.mtime - o.mtime) < 1, false)"
+
+
+@query("l1_dedup_scan", f"SELECT m.group_id, m.id, m.retained, {FRESH} AS computed FROM marked m JOIN store_new n USING (id) LEFT JOIN store_old o ON o.path = n.path", kept("size", groups_sql("store_new", "store_new")))
 def _(spark, sf_dir):
-    new, old = X.store(spark, sf_dir, new=True), X.store(spark, sf_dir, new=False)
+    """Members of the groups after a scan, and whether their signature had to be worked out."""
+    new, old = stored(X.store(spark, sf_dir, new=True), "new"), stored(X.store(spark, sf_dir, new=False), "old")
     out = pipelines.dedup_scan(new.select("id", "path", "size", "mtime"), old, lambda files: new.join(files.select("path").hint("merge"), "path", "left_semi"))
-    fresh = pipelines.T.to_compute(new.select("path", "size", "mtime"), old)
-    return out["store"].agg(F.count(F.lit(1)).alias("files")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("computed")))
+    fresh = pipelines.T.to_compute(new.select("id", "path", "size", "mtime"), old).select("id", F.lit(True).alias("computed"))
+    return out["members"].join(fresh.hint("merge"), "id", "left").select("group_id", "id", "retained", F.coalesce("computed", F.lit(False)).alias("computed"))
+
+
+@query("l1_scan_summary", "SELECT (SELECT count(*) FROM store_new) AS files, (SELECT count(DISTINCT group_id) FROM members) AS groups, (SELECT count(*) FROM marked WHERE NOT retained) AS redundant, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM marked WHERE NOT retained) AS reclaimable_bytes, CASE WHEN (SELECT count(*) FROM members) > 0 THEN 1 ELSE 0 END AS exit_code", kept("size", groups_sql("store_new", "store_new")))
+def _(spark, sf_dir):
+    new, old = stored(X.store(spark, sf_dir, new=True), "new"), stored(X.store(spark, sf_dir, new=False), "old")
+    return pipelines.dedup_scan(new.select("id", "path", "size", "mtime"), old, lambda files: new.join(files.select("path").hint("merge"), "path", "left_semi"))["summary"]
 
 
-@query("l2_groups_from_store")
+@query("l2_groups_from_store", "SELECT group_id, id, retained, row_number() OVER (PARTITION BY group_id ORDER BY retained DESC, size DESC, id) AS rank FROM marked", kept("size", groups_sql("store_new", "store_new", 0.85)))
 def _(spark, sf_dir):
-    return pipelines.groups_from_store(X.store(spark, sf_dir, new=True))["members"].select("group_id", "id", "retained", "rank")
+    return pipelines.groups_from_store(stored(X.store(spark, sf_dir, new=True), "new"))["members"].select("group_id", "id", "retained", "rank")
 
 
-@query("l3_verify_labels")
+@query("l3_verify_labels", SUSPECTED, LABELS)
 def _(spark, sf_dir):
-    return pipelines.verify_labels(X.label_signature(spark, sf_dir), 0.44)["suspects"]
+    return pipelines.verify_labels(stored(X.label_signature(spark, sf_dir), "label-signature"), THRESHOLD)["suspects"].withColumn("score", F.round("score", 6))
 
 
 @query("l4_auto_classify")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediasift.operators import groups as G
 from mediasift.operators import labels as L
 from mediasift.plans import fixtures as X
 from mediasift.plans import q_pairs
@@ -40,15 +41,10 @@ def _items(spark, sf_dir):
     return stored(X.label_signature(spark, sf_dir), "label-signature")
 
 
-def _pairs(spark, sf_dir):
-    return stored(L.label_pairs(_items(spark, sf_dir)), "label-pairs")
-
-
 def _all(spark, sf_dir):
     items = _items(spark, sf_dir)
-    pairs = stored(L.label_pairs(items), "label-pairs")
-    means = stored(L.item_means(pairs), "label-means")
-    return items, pairs, means, L.label_stats(items, pairs, means)
+    sums = stored(L.label_sums(items), "label-sums")
+    return items, sums, L.item_means(sums), L.label_stats(items, sums)
 
 
 @query("d12_symmetric_similarity", f"SELECT a.id AS a, b.id AS b, round({SYM('phash')}, 9) AS sim FROM label_signature a JOIN label_signature b ON a.id % 100 = 0 AND a.id < b.id")
@@ -67,7 +63,7 @@ def _(spark, sf_dir):
 
 @query("d15_label_pairs", "SELECT count(*) AS pairs, round(avg(sim), 6) AS mean, round(min(sim), 6) AS least, round(max(sim), 6) AS most FROM lp", LABELS)
 def _(spark, sf_dir):
-    return _pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.min("sim"), 6).alias("least"), F.round(F.max("sim"), 6).alias("most"))
+    return L.label_pairs(_items(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.min("sim"), 6).alias("least"), F.round(F.max("sim"), 6).alias("most"))
 
 
 @query("e14_label_stats", "SELECT label, n, round(intra_mean, 6) AS intra_mean, round(intra_min, 6) AS intra_min, round(motion_mean, 6) AS motion_mean, round(motion_std, 6) AS motion_std, round(outlier_std, 6) AS outlier_std FROM st", LABELS)
@@ -78,20 +74,23 @@ def _(spark, sf_dir):
 
 @query("e15_separation", "SELECT round(avg(sim) FILTER (la = lb), 6) AS intra, round(avg(sim) FILTER (la <> lb), 6) AS inter, round(avg(sim) FILTER (la = lb) - avg(sim) FILTER (la <> lb), 6) AS separation FROM lp", LABELS)
 def _(spark, sf_dir):
-    return L.separation(_pairs(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("intra", "inter", "separation")])
+    return L.separation(_all(spark, sf_dir)[1]).select(*[F.round(c, 6).alias(c) for c in ("intra", "inter", "separation")])
 
 
 @query("e16_confusion", "SELECT least(la, lb) AS label_a, greatest(la, lb) AS label_b, round(avg(sim), 6) AS sim FROM lp WHERE la <> lb GROUP BY 1, 2", LABELS)
 def _(spark, sf_dir):
-    return L.confusion(_pairs(spark, sf_dir)).select("label_a", "label_b", F.round("sim", 6).alias("sim"))
+    return L.confusion(_all(spark, sf_dir)[1]).select("label_a", "label_b", F.round("sim", 6).alias("sim"))
 
 
 @query("e17_item_means", "SELECT id, label, other, round(mean, 6) AS mean FROM im", LABELS)
 def _(spark, sf_dir):
-    return L.item_means(_pairs(spark, sf_dir)).select("id", "label", "other", F.round("mean", 6).alias("mean"))
+    return _all(spark, sf_dir)[2].select("id", "label", "other", F.round("mean", 6).alias("mean"))
+
+
+SUSPECTED = "SELECT id, label, round(score, 6) AS score, reasons, coalesce(suggested, '') AS suggested FROM sus WHERE reasons <> ''"
 
 
-@query("e18_suspects", "SELECT id, label, round(score, 6) AS score, reasons, coalesce(suggested, '') AS suggested FROM sus WHERE reasons <> ''", LABELS)
+@query("e18_suspects", SUSPECTED, LABELS)
 def _(spark, sf_dir):
     _, _, means, stats = _all(spark, sf_dir)
     return L.suspects(means, stats, THRESHOLD).withColumn("score", F.round("score", 6))
@@ -104,8 +103,8 @@ def _(spark, sf_dir):
 
 @query("e27_label_verdicts", "SELECT label, n, CASE WHEN n < 2 OR intra_mean IS NULL THEN 'insufficient' WHEN intra_mean >= greatest(0.7::DOUBLE, inter + 0.15::DOUBLE) THEN 'consistent' WHEN intra_mean >= greatest(0.5::DOUBLE, inter + 0.05::DOUBLE) THEN 'mostly_consistent' ELSE 'suspicious' END AS verdict FROM st, (SELECT avg(sim) AS inter FROM lp WHERE la <> lb)", LABELS)
 def _(spark, sf_dir):
-    _, pairs, _, stats = _all(spark, sf_dir)
-    return L.verdicts(stats, L.separation(pairs))
+    _, sums, _, stats = _all(spark, sf_dir)
+    return L.verdicts(stats, L.separation(sums))
 
 
 @query("e28_balance", "SELECT round(sum(s) / sum(n), 6) AS static_ratio, max(n) AS largest, min(n) AS smallest, count(*) AS verifiable, max(n) >= 3 * min(n) AS uneven FROM (SELECT label, count(*) AS n, sum((motion_ratio < 0.015::DOUBLE)::INT) AS s FROM label_signature GROUP BY label) WHERE n >= 2")
@@ -147,7 +146,8 @@ def _(spark, sf_dir):
     from mediasift.operators.review import resolve
 
     _, _, means, stats = _all(spark, sf_dir)
-    ranked = L.suspects(means, stats, THRESHOLD).selectExpr("*", "row_number() over (order by score, id) as k")
+    found = L.suspects(means, stats, THRESHOLD).withColumn("all", F.lit(0))
+    ranked = G.ranked(found, "all", [F.asc("score"), F.asc("id")]).withColumnRenamed("rank", "k")
     verdict = F.element_at(F.array(*map(F.lit, ("ok", "wrong", "manual", "skip"))), (F.col("k") % 4 + 1).cast("int"))
     given = ranked.select("id", F.col("label").alias("orig"), "suggested", verdict.alias("verdict"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("manual"))
     return resolve(given).select("id", "verdict", "final")

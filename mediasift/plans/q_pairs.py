@@ -32,25 +32,36 @@ DURATION = "NOT (a.duration > 0 AND b.duration > 0 AND abs(a.duration - b.durati
 BANDS = "(" + " OR ".join(f"((a.phash[1] >> {16 * k}) & 65535) = ((b.phash[1] >> {16 * k}) & 65535)" for k in range(4)) + ")"
 BANDS32 = "(" + " OR ".join(f"((a.phash[1] >> {16 * k}) & 65535) % 32 = ((b.phash[1] >> {16 * k}) & 65535) % 32" for k in range(4)) + ")"
 
-PAIRS = f"""
-reps AS MATERIALIZED (SELECT min(id) AS id, phash, dhash, audio, duration, count(*) AS copies FROM signature GROUP BY phash, dhash, audio, duration),
-pairs AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, {fused()} AS similarity FROM reps a JOIN reps b ON a.id < b.id AND {BANDS} AND {DURATION}) WHERE similarity >= {THRESHOLD}::DOUBLE),
-copies AS (SELECT r.id AS a, s.id AS b FROM reps r JOIN signature s ON r.phash = s.phash AND r.dhash = s.dhash AND r.audio IS NOT DISTINCT FROM s.audio AND r.duration = s.duration AND r.id < s.id),
+
+
+def pairs_sql(source: str = "signature", threshold: float = THRESHOLD) -> str:
+    """Pairs and links of the distinct signatures of a table, over all pairs."""
+    return f"""
+reps AS MATERIALIZED (SELECT min(id) AS id, phash, dhash, audio, duration, count(*) AS copies FROM {source} GROUP BY phash, dhash, audio, duration),
+pairs AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, {fused()} AS similarity FROM reps a JOIN reps b ON a.id < b.id AND {DURATION}) WHERE similarity >= {threshold}::DOUBLE),
+copies AS (SELECT r.id AS a, s.id AS b FROM reps r JOIN {source} s ON r.phash = s.phash AND r.dhash = s.dhash AND r.audio IS NOT DISTINCT FROM s.audio AND r.duration = s.duration AND r.id < s.id),
 links AS MATERIALIZED (SELECT a, b, similarity FROM pairs UNION ALL SELECT a, b, 1.0::DOUBLE FROM copies),
 """
-GROUPS = (
-    PAIRS
-    + """
+
+
+def groups_sql(source: str = "signature", detail: str = "media_file JOIN (SELECT id, duration, width, height FROM signature) USING (id)", threshold: float = THRESHOLD) -> str:
+    """Groups of the links, and the members with their file data."""
+    return (
+        pairs_sql(source, threshold)
+        + f"""
 both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT x AS node, x AS root FROM both_ways UNION SELECT y, root FROM reach JOIN both_ways ON node = x),
 members AS MATERIALIZED (SELECT node AS id, min(root) AS group_id FROM reach GROUP BY node),
-detail AS MATERIALIZED (SELECT * FROM members JOIN media_file USING (id) JOIN (SELECT id, duration, width, height FROM signature) USING (id)),
+detail AS MATERIALIZED (SELECT * FROM members JOIN {detail} USING (id)),
 """
-)
+    )
 
 
-def kept(order: str) -> str:
-    return GROUPS + f"marked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {order} DESC, id) = 1 AS retained FROM detail),"
+PAIRS, GROUPS = pairs_sql(), groups_sql()
+
+
+def kept(order: str, groups: str = GROUPS) -> str:
+    return groups + f"marked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {order} DESC, id) = 1 AS retained FROM detail),"
 
 
 MARKED = kept("size")
@@ -61,7 +72,9 @@ def sig(spark, sf_dir) -> DataFrame:
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    return P.similar_pairs(sig(spark, sf_dir), THRESHOLD)
+    from mediasift.sources.shared import stored
+
+    return stored(P.similar_pairs(sig(spark, sf_dir), THRESHOLD), "pairs")
 
 
 def links(spark, sf_dir) -> DataFrame:
@@ -99,7 +112,7 @@ def _(spark, sf_dir):
 @query("c4_frame_hashes", "SELECT id, i, p AS phash, d AS dhash FROM hashed")
 def _(spark, sf_dir):
     f = X.frames(spark, sf_dir)
-    return f.select(F.col("doc_id").alias("id"), F.col("i").cast("long").alias("i"), X.phash_of(F.col("codes")).alias("phash"), X.dhash_of(F.col("codes")).alias("dhash"))
+    return f.select(F.col("doc_id").alias("id"), F.col("i").cast("long").alias("i"), *[X.hash_of(F.col("frame"), k).alias(k) for k in ("phash", "dhash")])
 
 
 @query("c12_signature", "SELECT id, array_to_string(phash, ',') AS phash, array_to_string(dhash, ',') AS dhash, len(phash) AS frames, duration FROM signature")
@@ -130,9 +143,22 @@ def _(spark, sf_dir):
     return c.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(~H.duration_too_different("a_duration", "b_duration")).alias("compatible"))
 
 
-@query("d4_metadata_candidates", "SELECT a, b FROM (SELECT id AS a, lead(id) OVER (PARTITION BY size, round_even(mtime, 0) ORDER BY id) AS b FROM media_file) WHERE b IS NOT NULL")
+@query("d2_recall", f"SELECT count(*) AS pairs, count(*) FILTER ({BANDS}) AS found FROM pairs p JOIN reps a ON a.id = p.a JOIN reps b ON b.id = p.b WHERE p.a % 100 = 0 OR p.b % 100 = 0", PAIRS)
+def _(spark, sf_dir):
+    """How many of the true pairs of ids divisible by 100 the whole bands have as candidates."""
+    return P.recall(sig(spark, sf_dir), THRESHOLD)
+
+
+@query("d2_recall_32", f"SELECT count(*) AS pairs, count(*) FILTER ({BANDS32}) AS found FROM pairs p JOIN reps a ON a.id = p.a JOIN reps b ON b.id = p.b WHERE p.a % 100 = 0 OR p.b % 100 = 0", PAIRS)
+def _(spark, sf_dir):
+    return P.recall(sig(spark, sf_dir), THRESHOLD, 32)
+
+
+@query("d4_metadata_candidates", "SELECT first AS a, id AS b FROM (SELECT id, min(id) OVER (PARTITION BY size, round_even(1700000000 + n_chars % 50 + (id % 3) / 10.0, 0)) AS first FROM media_file JOIN (SELECT doc_id AS id, n_chars FROM documents) USING (id)) WHERE first < id")
 def _(spark, sf_dir):
-    return P.metadata_candidates(X.media_file(spark, sf_dir))
+    """Files of equal size here have times within a second of each other."""
+    times = X.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), (1.7e9 + F.col("n_chars") % 50 + F.col("id") % 3 / 10.0).alias("mtime"))
+    return P.metadata_candidates(X.media_file(spark, sf_dir).drop("mtime").join(times.hint("merge"), "id"))
 
 
 @query("d5_skip_pairs", "SELECT a, b, round(similarity, 9) AS similarity FROM pairs WHERE (a + b) % 3 <> 0", PAIRS)
@@ -171,9 +197,11 @@ def _(spark, sf_dir):
     return g.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("n > 1")
 
 
-@query("d11_name_size_duplicates", "SELECT ext AS name, size, count(*) AS n FROM media_file GROUP BY ext, size HAVING count(*) > 1")
+@query("d11_name_size_duplicates", "SELECT lang || '_' || (size // 1024) % 97 || '.' || ext AS name, size, count(*) AS n FROM media_file GROUP BY ALL HAVING count(*) > 1")
 def _(spark, sf_dir):
-    return X.media_file(spark, sf_dir).groupBy(F.col("ext").alias("name"), "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Files of the same name in different folders; names here are by language and length."""
+    name = F.concat("lang", F.lit("_"), ((F.col("size") / 1024).cast("long") % 97).cast("string"), F.lit("."), "ext")
+    return X.media_file(spark, sf_dir).groupBy(name.alias("name"), "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("e1_components", "SELECT id, group_id FROM members", GROUPS)

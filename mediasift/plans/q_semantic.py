@@ -100,7 +100,7 @@ def samples(spark, sf_dir, pairs):
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     d = X.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     t = d.select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.length("text") / 64)) - 1)).alias("t"))
-    return t.select("id", "t", X.phash_of(X._codes(F.rpad(F.substr("text", (F.col("t") * 64 + 1).cast("int"), F.lit(72)), 72, " "))).alias("h"))
+    return t.select("id", "t", X.hash_of(X.frame_at(F.col("text"), (F.col("t") * 64).cast("int")), "phash").alias("h"))
 
 
 def matches(spark, sf_dir):

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -35,3 +35,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_and_seen(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`stored`, and aggregates of the rows."""
+    out = stored(df, name)
+    return out, out.agg(*metrics).first().asDict()

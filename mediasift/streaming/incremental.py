@@ -1,13 +1,21 @@
-"""Signatures that arrive as a stream: exact repeats are dropped, and new items are compared with the store."""
+"""Signatures that arrive as a stream: exact repeats are dropped, and new items are compared with the store.
+
+The store is a log of batches: the newest row of a path stands, so a changed file's old entry goes with the batch that
+brings the new one. A batch that is run again reads only the batches before it and writes its own folders anew, so it
+leaves the same rows and pairs however often it runs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from mediasift.operators.pairs import duration_compatible, lsh_candidates, scored
+from mediasift.operators.joins import with_one
+from mediasift.operators.pairs import pairs_above
 from mediasift.operators.store import to_compute
+from mediasift.sources.shared import stored
 
 SIGNATURE = "id bigint, path string, size bigint, mtime double, phash array<bigint>, dhash array<bigint>, audio array<bigint>, duration double"
 
@@ -23,29 +31,60 @@ def distinct_signatures(stream: DataFrame, time: str, lateness: str = "1 hour")
 
 
 def new_against_store(new: DataFrame, store: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity) of similar pairs with at least one new item."""
-    columns = ["id", "phash", "dhash", "audio", "duration"]
-    both = store.select(*columns, F.lit(False).alias("fresh")).unionByName(new.select(*columns, F.lit(True).alias("fresh")))
-    pairs = lsh_candidates(both, also=F.col("a.fresh") | F.col("b.fresh"))
-    return scored(duration_compatible(pairs)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    """(a, b, similarity) of the similar pairs with at least one new item; no two items of the store meet.
+
+    Items of equal signatures are represented by their smallest id and linked to it as a star.
+    """
+    columns = ["phash", "dhash", "audio", "duration"]
+    both = store.select("id", F.struct(*columns).alias("sig"), F.lit(False).alias("fresh")).unionByName(new.select("id", F.struct(*columns).alias("sig"), F.lit(True).alias("fresh")))
+    both = stored(both, "old-and-new")
+    heads = stored(both.groupBy("sig").agg(F.min("id").alias("head"), F.max("fresh").alias("any_fresh"), F.min_by("fresh", "id").alias("head_fresh"), F.count(F.lit(1)).alias("n")), "heads")
+    found = pairs_above(heads.select(F.col("head").alias("id"), "sig.*", "any_fresh"), threshold, fresh=F.col("any_fresh"))
+    shown = heads.where("n > 1 and size(sig.phash) + size(sig.dhash) > 0")
+    copies = with_one(both, shown, ["sig"]).where("head < id and (fresh or head_fresh)")
+    return found.unionByName(copies.select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def _batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of a log with their ``batch``; none if nothing has been written."""
+    wide = StructType([*schema.fields]).add("batch", "long")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop) or not fs.listStatus(hadoop):
+        return spark.createDataFrame([], wide)
+    return spark.read.schema(wide).parquet(path)
+
+
+def current_store(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The newest row of every path, with its ``batch``, of the batches before that number (default: of all)."""
+    rows = _batches(spark, path, schema)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    newest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(newest.hint("merge"), ["path", "batch"]).select(*rows.columns)
+
+
+def current_pairs(spark: SparkSession, pairs_path: str, store: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs whose items both still stand as they were compared; ``store`` as :func:`current_store`."""
+    kind = store.schema["id"].dataType.simpleString()
+    rows = _batches(spark, pairs_path, StructType.fromDDL(f"a {kind}, b {kind}, similarity double"))
+    now = store.select(F.col("id"), F.col("batch").alias("since"))
+    for side in "ab":
+        rows = rows.join(now.withColumnRenamed("id", side).hint("merge"), side).where("batch >= since").drop("since")
+    return rows.select("a", "b", "similarity")
 
 
 def incremental_scan(stream: DataFrame, store_path: str, pairs_path: str, checkpoint: str, threshold: float = 0.7) -> StreamingQuery:
     """Start a query that, for every batch, keeps what the store lacks or has outdated, writes its similar pairs and adds it
-    to the store. The batch number names the folder it writes, so that a batch that is run again replaces its own rows."""
+    to the store, both in the batch's own folder (``batch=<number>``). Of a path that comes twice in a batch, the row with
+    the latest time counts. Read the results with :func:`current_store` and :func:`current_pairs`."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{store_path}/*") if _parts(spark, store_path, number) else spark.createDataFrame([], batch.schema)
-        new = to_compute(batch, stored).dropDuplicates(["path"])
-        new_against_store(new, stored, threshold).write.mode("overwrite").parquet(f"{pairs_path}/batch={number}")
+        known = stored(current_store(spark, store_path, batch.schema, number).drop("batch"), "known")
+        latest = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), F.struct("mtime", "size", "id")).alias("r")).select("r.*")
+        new = stored(to_compute(latest, known), "new")
+        still = known.join(new.select("path").hint("merge"), "path", "left_anti")
+        new_against_store(new, still, threshold).write.mode("overwrite").parquet(f"{pairs_path}/batch={number}")
         new.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _parts(spark: SparkSession, path: str, number: int) -> bool:
-    """Is there any batch of the store yet?"""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop) and len(fs.listStatus(hadoop)) > 0

@@ -103,25 +103,6 @@ def test_components_random(spark):
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for e in edges for x in e}
 
 
-def test_weak_chain_is_split(spark):
-    links = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.85), (0, 2, 0.5), (5, 6, 0.9)], "a long, b long, similarity double")
-    groups = {}
-    for r in G.split_groups(links, 0.8).collect():
-        groups.setdefault(r["group_id"], set()).add(r["id"])
-    assert not any({0, 2} <= g for g in groups.values()) and {5, 6} in groups.values()
-
-
-def test_split_gives_cliques(spark):
-    rng = np.random.default_rng(9)
-    rows = [(a, b, float(s)) for a in range(14) for b in range(a + 1, 14) if (s := rng.random()) > 0.3]
-    sims = {(a, b): s for a, b, s in rows}
-    groups = {}
-    for r in G.split_groups(spark.createDataFrame(rows, "a long, b long, similarity double"), 0.5).collect():
-        groups.setdefault(r["group_id"], []).append(r["id"])
-    for g in groups.values():
-        assert all(sims.get((min(a, b), max(a, b)), 0) >= 0.5 for a in g for b in g if a != b) and len(g) > 1
-
-
 def test_retention_ties(spark):
     rows = [(1, 7, 10, 1.0, 4, 4, 2.0), (1, 3, 10, 2.0, 2, 2, 1.0), (1, 9, 5, 3.0, 8, 8, 0.0)]
     m = spark.createDataFrame(rows, "group_id long, id long, size long, mtime double, width int, height int, duration double")
@@ -130,6 +111,48 @@ def test_retention_ties(spark):
     assert [r["id"] for r in G.retention(m).orderBy("rank").collect()] == [3, 7, 9]
 
 
-def test_few_items_are_compared_with_all(spark):
-    items = spark.createDataFrame([(i, [i * 0x0101010101010101], [i], None, 10.0) for i in range(5)], SIG)
-    assert P.candidates(items).count() == 10
+def plain_similarity(x, y):
+    """From x to y, by loops."""
+    bits = lambda p, q: ((p ^ q) & (1 << 64) - 1).bit_count()
+    one = lambda a, b: 1 - sum(min(bits(p, q) for q in b) for p in a) / (len(a) * 64) if a and b else 0.0
+    p, d = one(x[1], y[1]), one(x[2], y[2])
+    s = p * 0.7 + d * 0.3 if x[1] and x[2] else p if x[1] else d if x[2] else 0.0
+    if x[3] and y[3] and one(x[3], y[3]) < 0.3:
+        s *= 0.8
+    fits = not (x[4] and y[4] and abs(x[4] - y[4]) / max(x[4], y[4]) > 0.2)
+    return s if fits else -1.0
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_all_pairs_above_are_found(spark, monkeypatch, block):
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 6)]
+
+    def near():
+        h = base[int(rng.integers(0, 6))]
+        for b in rng.choice(63, int(rng.integers(0, 22)), replace=False):
+            h ^= 1 << int(b)
+        return h
+
+    lists = lambda: None if rng.random() < 0.08 else [near() for _ in range(int(rng.integers(0, 4)))]
+    rows = [(i, lists(), lists(), lists() if i % 2 else None, [None, 0.0, 8.0, 10.0, 12.4, 30.0][int(rng.integers(0, 6))]) for i in range(150)]
+    want = {(x[0], y[0]): s for x in rows for y in rows if x[0] < y[0] and (s := plain_similarity(x, y)) >= 0.7}
+    monkeypatch.setattr(P.B.in_cells, "__defaults__", (None, None, block))
+    monkeypatch.setattr(P.B, "TILE", 1 << 8 if block < 100 else 8 << 20)
+    items = spark.createDataFrame(rows, SIG)
+    got = {(r["a"], r["b"]): r["similarity"] for r in P.pairs_above(items).collect()}
+    assert got == pytest.approx(want) and len(want) > 100
+    fresh = P.pairs_above(items, fresh=F.col("id") < 20).collect()
+    assert {(r["a"], r["b"]) for r in fresh} == {p for p in want if p[0] < 20}
+
+
+def test_recall_counts_lost_pairs(spark):
+    items = spark.createDataFrame([(0, [0], [0], None, 1.0), (1, [0x0001000100010001], [0], None, 1.0), (2, [1], [0], None, 1.0)], SIG)
+    r = P.recall(items).first()
+    assert (r["pairs"], r["found"]) == (2, 1)
+
+
+def test_metadata_star(spark):
+    rows = [(i, 5, 100.0 + i % 2 * 0.2) for i in range(6)] + [(6, 5, 200.0), (7, 6, 100.0)]
+    got = P.metadata_candidates(spark.createDataFrame(rows, "id long, size long, mtime double")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(0, i) for i in range(1, 6)]

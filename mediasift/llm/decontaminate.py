@@ -23,8 +23,10 @@ from mediasift.llm.fmindex import FMIndex
 from mediasift.llm.textbytes import LOWER, blocks
 
 WINDOW = 13
-BLOCK_ITEMS_BYTES = 16 << 20
+BLOCK_ITEMS_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
+#: Bytes of whole texts whose words are hashed at once (some 50 bytes of memory each).
+HASH_BYTES = 1 << 20
 #: Contaminated: hit words times this are at least the document's words.
 SHARE = 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -112,9 +114,34 @@ def _runs(h: np.ndarray, first: np.ndarray, vocabulary: np.ndarray, shortest: in
     return symbol, number
 
 
-def _shard(data: np.ndarray, offsets: np.ndarray, p: Phrases, up: np.ndarray, down: np.ndarray):
+class Powers:
+    """Powers of the base and of its inverse, as many as asked for so far."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = _powers(_P, n), _powers(_P_BACK, n)
+        return self.up, self.down
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_word_hashes`, by parts of whole texts."""
+    hashes, counts, row = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while row < len(offsets) - 1:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + HASH_BYTES, "right")) - 1)
+        part = data[offsets[row] : offsets[end]]
+        h, first = _word_hashes(part, offsets[row : end + 1] - offsets[row], *powers(len(part) + 1))
+        hashes.append(h)
+        counts.append(np.diff(first))
+        row = end
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
+
+
+def _shard(data: np.ndarray, offsets: np.ndarray, p: Phrases, powers: Powers):
     """(word count of each text, {row: (merged spans of words, item ids)}) of one shard."""
-    h, first = _word_hashes(data, offsets, up, down)
+    h, first = _hashed(data, offsets, powers)
     number = np.diff(first)
     if not len(h) or not p.shortest:
         return number, {}
@@ -174,13 +201,11 @@ def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
 
         def run(batches, shared=shared, drop=last and not carry_text):
             p = shared.value
-            up = down = np.zeros(0, np.uint64)
+            powers = Powers()
             for batch in batches:
                 n_words, spans, names = [], batch.column(3).to_pylist(), batch.column(4).to_pylist()
                 for first, _, data, offsets in blocks(batch.column(1), SHARD_BYTES):
-                    if len(up) < len(data) + 1:
-                        up, down = _powers(_P, len(data) + 1), _powers(_P_BACK, len(data) + 1)
-                    number, hits = _shard(data, offsets, p, up, down)
+                    number, hits = _shard(data, offsets, p, powers)
                     n_words += number.tolist()
                     for r, (s, i) in hits.items():
                         had = [(x["start"], x["end"]) for x in spans[first + r]]

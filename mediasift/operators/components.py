@@ -43,7 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links are dealt to parts of bounded size, and each part's are joined up by union-find, which leaves one link from each
     node to the smallest of its part. If there is more than one part, rounds follow: each node takes the smallest label
-    among its own and its neighbours', and then the label of that label, so that long chains shorten by doubling. A node
+    among its own and its neighbours', passes it on to the node that its label names, and then takes the label of that label,
+    so that components join as wholes and long chains shorten by doubling. A node
     with very many neighbours and a label that very many nodes share are hot keys of these joins, and are joined as such
     (:func:`with_one`); messages are reduced before the shuffle. Rounds are written to the shared folder.
 
@@ -63,7 +64,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels, degree_sizes = stored_and_seen(labels, "labels", *key_sizes())
     while True:
         heard = with_one(links, labels, ["y"], sizes=degree_sizes).groupBy("x").agg(F.min("label").alias("heard"))
-        mine = labels.join(heard.hint("merge"), labels["y"] == heard["x"], "left").select("y", "n", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("low"))
+        told = labels.join(heard.hint("merge"), labels["y"] == heard["x"], "left").select("y", "n", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("low"))
+        told = stored(told, "labels")
+        passed_on = told.groupBy(F.col("old").alias("root")).agg(F.min("low").alias("passed"))
+        mine = told.join(passed_on.hint("merge"), told["y"] == passed_on["root"], "left").select("y", "n", "old", F.least("low", F.coalesce("passed", "low")).alias("low"))
         mine = stored(mine, "labels")
         named = mine.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
         lower = named.join(mine.select(F.col("y").alias("low"), F.col("low").alias("lower")).hint("merge"), "low")  # every label is a node

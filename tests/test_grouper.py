@@ -95,7 +95,7 @@ def test_ranks(spark):
 def test_hub_and_giant_component(spark, monkeypatch):
     monkeypatch.setattr(joins, "HOT_ROWS", 20)
     monkeypatch.setattr(components_module, "PART_LINKS", 100)
-    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 1060), (2000, 2001)]
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1500)] + [(5, 1500), (2000, 2001)]
     with plain_plans(spark):
         got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {x: 2000 if x >= 2000 else 0 for e in edges for x in e}

@@ -12,6 +12,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from itertools import product
 
 import numpy as np
@@ -26,7 +28,8 @@ ADDED = ("person", "ssn", "iban", "tel", "birth", "street")
 KINDS = BASE + ADDED
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: As the plain expression, in linear time: a match starts where a run of digits does, and never gives digits back.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,6 +51,9 @@ CANDIDATES = {
 _DIGIT = re.compile(r"[0-9]")
 WINDOW = 40
 LABELERS = ("form", "gazetteer", "context", "counter", "check")
+#: Values of the features of a candidate: kind, known name, word for, word against, check, all upper case, character before
+#: and after (none or blank, mark, letter or digit), length (under 10, 14, 20, or more), blanks, hash of the word before.
+FEATURES = (6, 2, 2, 2, 3, 2, 3, 3, 4, 4, 8)
 
 
 def luhn(digits: str) -> bool:
@@ -92,16 +98,36 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _kind_of(c: str) -> int:
+    return 0 if not c or c.isspace() else 2 if c.isalnum() else 1
+
+
+def _features(kind: str, text: str, a: int, b: int, known: bool, for_: bool, against: bool, check: int) -> tuple[int, ...]:
+    """Small values of a span and of what is beside it, see :data:`FEATURES`."""
+    span = text[a:b]
+    length = sum(b - a >= n for n in (10, 14, 20))
+    before = re.search(r"([^\W\d_]+)[\W\d_]*$", text[max(0, a - WINDOW) : a])
+    word = zlib.crc32(before[1].lower().encode()) % 7 + 1 if before else 0
+    return (ADDED.index(kind), int(known), int(for_), int(against), check + 1, int(span == span.upper()), _kind_of(text[a - 1 : a] if a else ""), _kind_of(text[b : b + 1]), length, min(3, span.count(" ")), word)
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]]:
     """(kind, start, end, votes, features) of the spans that no base span overlaps."""
     out = []
     digits = _DIGIT.search(text) is not None
+    apart: list[list[int]] = []  # base spans, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if apart and a < apart[-1][1]:
+            apart[-1][1] = max(b, apart[-1][1])
+        else:
+            apart.append([a, b])
     for kind, pattern in CANDIDATES.items():
         if kind != "person" and not digits:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(a < e and s < b for _, s, e in taken):
+            k = bisect_left(apart, [b]) - 1  # the last that starts before this span's end
+            if k >= 0 and apart[k][1] > a:
                 continue
             words = m[0].split()
             near = text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW]
@@ -111,7 +137,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             for_, against = FOR.search(near) is not None, AGAINST.search(near) is not None
             check = {"iban": lambda: 1 if _iban_ok(m[0]) else -1, "ssn": lambda: -1 if m[0][:3] in ("000", "666") or m[0][0] == "9" else 1}.get(kind, lambda: 0)()
             votes = (1 if kind != "person" else 0, (1 if known else -1) if kind == "person" else 0, 1 if for_ else 0, -1 if against else 0, check)
-            out.append((kind, a, b, votes, (ADDED.index(kind), int(known), int(for_), int(against), check + 1, int(m[0] == m[0].upper()))))
+            out.append((kind, a, b, votes, _features(kind, text, a, b, known, for_, against, check)))
     return out
 
 
@@ -153,12 +179,15 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple
 
 
 def _encoded(features: np.ndarray) -> np.ndarray:
+    """One column for each value of each feature, for a context word with each kind, and one for all."""
     kinds = np.eye(len(ADDED))[features[:, 0]]
-    return np.concatenate([kinds, features[:, 1:4], np.eye(3)[features[:, 4]], features[:, 5:6], kinds * features[:, 2:3], np.ones((len(features), 1))], axis=1)
+    values = [np.eye(n)[features[:, k]] for k, n in enumerate(FEATURES)]
+    return np.concatenate([*values, kinds * features[:, 2:3], np.ones((len(features), 1))], axis=1)
 
 
 def classifier(counts: dict[tuple, tuple[float, float]], steps: int = 400) -> dict[tuple, float]:
-    """Logistic regression on feature patterns, each with (weight, mean likelihood); gives the score of each pattern."""
+    """Logistic regression on feature patterns, each with (weight, mean likelihood); gives the score of each pattern. There
+    are at most as many patterns as values of the features go together, whatever the number of spans."""
     if not counts:
         return {}
     patterns = sorted(counts)

@@ -1,4 +1,5 @@
 import re
+import time
 
 import brute_lines
 import numpy as np
@@ -177,6 +178,52 @@ def test_emails_as_the_expression(text):
     assert list(pii._emails(text)) == [m.span() for m in pii.EMAIL.finditer(text)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("019. a", max_size=40))
+def test_ips_as_the_expression(text):
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_long_digits_take_linear_time():
+    began = time.process_time()
+    assert pii.base_spans("7" * 2_000_000 + " 1.2.3.4 " + "1." * 300_000)[0] == ("ip", 2_000_001, 2_000_008)
+    assert time.process_time() - began < 20
+
+
+def test_base_spans_of_the_table_are_the_plain_expressions(spark):
+    """All four kinds, by the expressions as they are stated, over whole texts."""
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[ -]", "", s)) <= 19 and pii.luhn(re.sub("[ -]", "", s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    }
+    rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    want = {r["doc_id"]: [f"{k}:{m.start()}:{m.end()}" for k, (x, fits) in plain.items() for m in re.finditer(x, r["text"] or "") if fits(m[0])] for r in rows}
+    got = pii.find(spark.createDataFrame(rows)).collect()
+    assert {r["doc_id"]: r["base"] for r in got} == want and sum(map(len, want.values())) > 50
+
+
+def test_added_kinds_are_found_and_others_left(spark):
+    """Planted spans of the added kinds and look-alikes; precision and recall of 0.9 at least."""
+    rng = np.random.default_rng(3)
+    n = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+    real = [lambda: ("tel", f"Please call (0{n(2)}) {n(3)}-{n(4)}", f"(0"), lambda: ("ssn", f"her ssn is {n(3)}-{n(2)}-{n(4)}", None), lambda: ("person", f"My name is Anna {rng.choice(['Keller', 'Novak', 'Smith'])}", None), lambda: ("birth", f"born {n(1)}.{n(1)}.19{n(2)} in town", None)]
+    fake = [lambda: f"see figure {n(3)}-{n(2)}-{n(4)} of section {n(1)}", lambda: f"order {n(3)} {n(3)} {n(3)} of invoice {n(5)}", lambda: f"build 20{n(2)}-0{n(1)}-1{n(1)} of version {n(1)}", lambda: "The Quick Brown fox of page 3"]
+    rows, planted = [], {}
+    for k in range(400):
+        if k % 2:
+            planted[k], text, _ = real[k // 2 % len(real)]()
+        else:
+            text = fake[k // 2 % len(fake)]()
+        rows.append((k, f"Some words before. {text} and some after."))
+    got = {r["doc_id"]: [s.split(":")[0] for s in r["added"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(planted[k] in got[k] for k in planted)
+    wrong = sum(len(got[k]) for k in got if k not in planted)
+    assert hit / len(planted) >= 0.9 and hit / max(1, hit + wrong) >= 0.9, (hit, wrong, len(planted))
+
+
 def test_unreliable_labelers_are_found():
     rng = np.random.default_rng(0)
     counts = {}

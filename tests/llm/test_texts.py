@@ -1,8 +1,10 @@
+import hashlib
 import re
 import time
 
 import brute_lines
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +168,66 @@ def test_trigram_queries():
     assert trigrams.trigram_query("(?:foo|ba[rz]s)x?") == sorted([frozenset({"foo"}), frozenset({"bar", "ars"}), frozenset({"baz", "azs"})], key=sorted)
 
 
+def plain_fingerprint(text):
+    """Closed syncmers, one k-mer after the other: {hash: first place}."""
+    data, k, n = text.encode(), fingerprint.K, fingerprint.S
+    mask, mix = (1 << 64) - 1, lambda x: int(fingerprint._mix(np.array([x], np.uint64))[0])
+    inner = [mix(int.from_bytes(data[i : i + n], "big")) for i in range(len(data) - n + 1)]
+    out = {}
+    for i in range(len(data) - k + 1):
+        own = inner[i : i + k - n + 1]
+        if min(own) in (own[0], own[-1]):
+            h = own[0]
+            for j in sorted({*range(n, k - n + 1, n), k - n}):
+                h = mix((h * 0x100000001B3 + inner[i + j]) & mask)
+            out.setdefault(h, i)
+    if not out:
+        return {int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big"): 0}, mask
+    low = sorted(out)
+    low = low[: max(fingerprint.ANCHORS, sum(h < fingerprint.SHARE for h in low))]
+    return {h: out[h] for h in low}, mask if len(low) == len(out) else low[-1]
+
+
+def plain_likeness(a, b):
+    bound = min(a[1], b[1])
+    x, y = ({h: p for h, p in s[0].items() if h <= bound} for s in (a, b))
+    shifts = sorted(y[h] - x[h] for h in x if h in y)
+    near = [d for d in shifts if abs(d - shifts[len(shifts) // 2]) <= fingerprint.SLACK] if shifts else []
+    return len(near) / len({*x, *y})
+
+
+def test_fingerprints_are_the_plain_ones(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").where("length(text) < 4000").limit(40).select("doc_id", "text").collect()]
+    rows += [(10_000, "x" * 30), (10_001, ""), (10_002, None), (10_003, "short"), (10_004, "".join(chr(97 + k * k % 23) for k in range(140_000)))]
+    docs = sorted(rows, reverse=True)
+    texts = [t or "" for _, t in docs]
+    got = {r["doc_id"]: r for r in fingerprint.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, _) in enumerate(docs):
+        text, after = texts[k], texts[(k + 1) % len(docs)]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        own, changed, other = (plain_fingerprint(x) for x in (text, edited, after))
+        show = lambda s: ",".join(f"{h:016x}@{s[0][h]}" for h in sorted(s[0]))
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (show(own), show(changed))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((plain_likeness(own, changed), plain_likeness(own, other)))
+
+
+def test_texts_of_any_two_lengths_share_anchors():
+    base = " ".join(f"word{k} of {k * k}" for k in range(40))
+    a, b = fingerprint.sketches(pa.array([base[:150], base[:110]]))
+    assert fingerprint.likeness(a, b) > 0.5
+
+
+def test_nameless_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 2000)
+    rows = [(None, f"text {k} " * 30) for k in range(60)] + [(k, f"named {k} " * 20) for k in range(60)] + [(-(1 << 63), "low")]
+    got = fingerprint.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 121
+    after = {r["doc_id"]: r for r in got}
+    edited = "named 9 " * 20
+    edited = edited[: len(edited) - len(edited) // 3] + ("named 8 " * 20)[: len(edited) // 3]
+    assert after[9]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_base_spans():
     t = "Mail a.b@c.d.e or x@y; 1.2.3.4 999.1.1.1, 4111 1111 1111 1111, +1 (017) 555-7713. a@@b.c q@r.s"
     got = {(k, t[a:b]) for k, a, b in pii.base_spans(t)}

@@ -8,7 +8,8 @@
    pivot, the smallest id that it shares a bucket with, and the links found are turned into components. Only then are
    buckets that still hold more than one component joined, across components alone, and only where the elements that
    each has in common with any other candidate, and the signatures, allow for the threshold; these pairs are verified
-   too, so no link between components is lost.
+   too, so no link between components is lost that shares a bucket and whose signatures agree as they should (both fail
+   with a chance below 1e-7 at a threshold of 0.85). Buckets and classes of very many texts are split around hot keys.
 4. Links are confirmed on the full sets, as integers. Components of the links, carried to all members of the classes,
    give one row for each document.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mediasift.llm.textbytes import LOWER, blocks
 from mediasift.operators.components import components
+from mediasift.operators.joins import with_one
 from mediasift.sources.shared import stored
 
 SHINGLE = 5
@@ -32,6 +34,8 @@ SLOTS = BANDS * ROWS
 #: A pair at a threshold of 0.8 or more agrees in so much less of its slots with a chance below 1e-7.
 MARGIN = 0.18
 
+#: Classes of a bucket that are compared with as many others in one task.
+BLOCK = 2000
 #: Elements whose permutations are held at once.
 PART = 1 << 17
 
@@ -225,11 +229,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     sketched = stored(sketches(texts, "id", "text", shingle), "sketches")
     known = sketched.where("n > 0 and id is not null")
-    reps = stored(known.groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("r")).select("set_key", "r.id", "r.sig"), "classes")
+    reps = stored(known.groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("r"), F.count(F.lit(1)).alias("copies")).select("set_key", "r.id", "r.sig", "copies"), "classes")
 
-    in_band = reps.select("id", "sig").mapInArrow(*_bands(kind))
-    shared = in_band.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("bucket", "pivot")
-    members = stored(in_band.join(shared.hint("merge"), "bucket"), "buckets")
+    in_band = stored(reps.select("id", "sig").mapInArrow(*_bands(kind)), "bands")
+    shared = in_band.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("pivot < top").select("bucket", "pivot", "n")
+    members = stored(with_one(in_band, stored(shared, "shared"), ["bucket"]), "buckets")
     sets = stored(_sets(texts, members.select("id").distinct(), shingle, kind), "sets")
 
     first = members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
@@ -239,17 +243,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     # buckets that hold more than one component still: pairs across components that can reach the threshold, by what
     # each has in common with any other candidate and by their signatures
     tagged = members.join(found.hint("merge"), members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = stored(tagged.join(mixed.hint("merge"), "bucket"), "mixed")
+    tagged = stored(tagged, "tagged")
+    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("bucket", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    open_ = stored(with_one(tagged, stored(mixed, "mixed"), ["bucket"]), "mixed-buckets")
     shared_part = _shared_part(sets, open_.select("id").distinct(), kind)
     able = stored(shared_part.where(F.col("shared") * 100 >= F.col("n") * percent), "able")
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substring("sig", i * 2 + 1, F.lit(2)))
     own = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # a bucket for each band at most
     wide = able.join(reps.select("id", "sig").hint("merge"), "id").join(own.hint("merge"), "id").select("id", "n", "shared", "buckets", slots.alias("sig"))
     rest = open_.join(wide.hint("merge"), "id")
-    x, y = rest.alias("x"), rest.alias("y")
+    # a large bucket is dealt into blocks, and block meets block: no task has more than two of them
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = dealt.alias("x"), dealt.alias("y")
     alike = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     reach = F.least("x.shared", "y.shared") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")  # of the buckets that a pair shares, one gives it
     pairs = x.join(y.hint("merge"), across & reach & once & (alike >= int((percent / 100 - MARGIN) * SLOTS))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -257,8 +264,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     if not more.isEmpty():
         found = components(links.union(more))
 
-    of_class = reps.select("set_key", F.col("id").alias("rep")).join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    rows = sketched.select("id", "n", "set_key").join(of_class.hint("merge"), "set_key", "left")
+    of_class = reps.select("set_key", "copies", F.col("id").alias("rep")).join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_key", F.col("copies").alias("n_rows"), F.coalesce("component", "rep").alias("component"))
+    linked = with_one(known.select("id", "n", "set_key"), stored(of_class, "components-of-classes"), ["set_key"], "n_rows")
+    alone = sketched.where("not (n > 0 and id is not null)").select("set_key", "id", "n", F.lit(None).cast(kind).alias("component"))
+    rows = linked.select("set_key", "id", "n", "component").unionByName(alone)
     component = F.coalesce("component", "id")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

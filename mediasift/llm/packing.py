@@ -28,8 +28,6 @@ VOCABULARY = "byte_bpe_50k"
 GROUP_PIECES = 8_000
 #: Cached words of a task.
 CACHE_WORDS = 500_000
-#: Rounds of local search over a group.
-ROUNDS = 3
 #: Characters that both tokenizer libraries class alike, beyond Latin-1.
 KNOWN = re.compile(r"[^\n -~\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 #: Blanks other than single ones inside a line, and what might begin a special token.
@@ -146,65 +144,82 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Local search: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
+class _Underfull:
+    """The bins of a group with room, their pieces by length, and the exchanges between them."""
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.open = [b for b in range(len(bins)) if bins[b] and self.fill[b] < capacity]
+        self.at = {i: b for b in self.open for i in bins[b]}
+        self.pool = sorted((size[i], i) for i in self.at)
+        self.rooms = sorted((capacity - self.fill[b], b) for b in self.open)
+
+    def put(self, pieces: tuple[int, ...], source: int, target: int) -> None:
+        for i in pieces:
+            self.bins[source].remove(i)
+            self.bins[target].append(i)
+            self.at[i] = target
+            self.fill[source] -= self.size[i]
+            self.fill[target] += self.size[i]
+
+    def noted(self, *bins: int) -> None:
+        for b in bins:
+            insort(self.rooms, (self.capacity - self.fill[b], b))
+
+    def move(self, i: int, b: int) -> bool:
+        """A piece into the fullest other bin with room, if that is then fuller than its own bin was."""
+        k = bisect_left(self.rooms, (self.size[i], -1))
+        while k < len(self.rooms):
+            room, c = self.rooms[k]
+            if self.capacity - self.fill[c] != room:  # an old note
+                del self.rooms[k]
+            elif c == b:
+                k += 1
+            else:
+                break
+        if k == len(self.rooms) or self.fill[c] + self.size[i] <= self.fill[b]:
+            return False
+        self.put((i,), b, c)
+        self.noted(b, c)
+        return True
+
+    def exchange(self, out: tuple[int, ...], b: int) -> bool:
+        """One or two pieces for one longer piece of a bin that is less full than this one becomes: the longest that fits."""
+        mass, room = sum(self.size[i] for i in out), self.capacity - self.fill[b]
+        k = bisect_left(self.pool, (mass + room + 1, -1)) - 1
+        while k >= 0 and (length := self.pool[k][0]) > mass:
+            j = self.pool[k][1]
+            c = self.at[j]
+            if c != b and self.fill[b] + length - mass > self.fill[c]:
+                self.put((j,), c, b)
+                self.put(out, b, c)
+                self.noted(b, c)
+                return True
+            k -= 1
+        return False
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, until there is none.
 
-    Moving ``d`` tokens from a bin of fill ``a`` to one of fill ``b`` raises it if ``b + d > a``. Partners are looked up
-    by length (a sorted list of the pieces in underfull bins), so a round takes about n log n steps.
+    Moving ``d`` tokens from a bin of fill ``a`` to one of fill ``b`` raises it if ``b + d > a``. Every piece of every
+    underfull bin is tried for a move, and every piece and every two pieces (one of each length) for an exchange, against
+    the pieces of all other underfull bins, by length. The sum is a whole number that is bounded, so the search ends.
     """
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
     size = [int(x) for x in lengths]
-    for _ in range(rounds):
-        changed = False
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        at = {i: b for b in under for i in bins[b]}
-        pool = sorted((size[i], i) for i in at)  # by length
-        rooms = sorted((capacity - fill[b], b) for b in under)
-        for b in under:
+    changed = True
+    while changed:
+        changed, state = False, _Underfull(bins, size, capacity)
+        for b in sorted(state.open, key=lambda b: state.fill[b]):
             for i in list(bins[b]):
-                # move: into the fullest other bin with room
-                k = bisect_left(rooms, (size[i], -1))
-                while k < len(rooms) and (rooms[k][1] == b or capacity - fill[rooms[k][1]] != rooms[k][0]):
-                    k += 1
-                if k < len(rooms) and fill[(c := rooms[k][1])] + size[i] > fill[b]:
-                    bins[b].remove(i)
-                    bins[c].append(i)
-                    fill[b] -= size[i]
-                    fill[c] += size[i]
-                    at[i] = c
-                    insort(rooms, (capacity - fill[c], c))
-                    insort(rooms, (capacity - fill[b], b))
-                    changed = True
-            if not bins[b]:
-                continue
-            # exchange: this bin gets a longer piece for a shorter one, or one piece for two shorter ones, up to its room
-            room = capacity - fill[b]
-            mine = sorted(bins[b], key=lambda i: size[i])
-            for out in [(i,) for i in mine[:4]] + [tuple(mine[:2])]:
-                mass = sum(size[i] for i in out)
-                k = bisect_left(pool, (mass + room + 1, -1)) - 1  # the longest that fits
-                while k >= 0 and pool[k][0] > mass and (at[pool[k][1]] == b or fill[at[pool[k][1]]] - pool[k][0] + mass > capacity or fill[b] + pool[k][0] - mass <= fill[at[pool[k][1]]]):
-                    k -= 1
-                    if k >= 0 and pool[k][0] + 32 < mass + room:
-                        k = -1
-                if k >= 0 and pool[k][0] > mass:
-                    j = pool[k][1]
-                    c, gain = at[j], size[j] - mass
-                    for i in out:
-                        bins[b].remove(i)
-                        bins[c].append(i)
-                        at[i] = c
-                    bins[c].remove(j)
-                    bins[b].append(j)
-                    at[j] = b
-                    fill[b] += gain
-                    fill[c] -= gain
-                    insort(rooms, (capacity - fill[c], c))
-                    insort(rooms, (capacity - fill[b], b))
-                    changed = True
-                    break
-        if not changed:
-            break
+                changed |= state.move(i, b)
+            again = True
+            while again and bins[b] and state.fill[b] < capacity:
+                ones = list({size[i]: i for i in bins[b]}.values())
+                twos = {size[i] + size[j]: (i, j) for n, i in enumerate(bins[b]) for j in bins[b][:n]}
+                again = any(state.exchange((i,), b) for i in ones) or any(state.exchange(x, b) for x in twos.values())
+                changed |= again
     return [b for b in bins if b]
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import time
+import zlib
 
 import brute_lines
 import numpy as np
@@ -304,3 +305,50 @@ def test_added_personal_data(spark):
     added = {r["doc_id"]: r["added"] for r in got}
     assert all(any(s.startswith("tel:") for s in added[k]) for k in range(20)) and not any(added[k] for k in range(20, 60))
     assert pii.masked("call 1.2.3.4 now", ["ip:5:12"]) == "call <ip> now"
+
+
+def test_every_document_can_be_rebuilt(spark):
+    """All pieces of the table: ids by the whole tokenizer, cuts, checksums, and places without gaps."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows, pieces = docs.collect(), {}
+    for r in packing.packed(docs).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    places: dict = {}
+    for r in rows:
+        ids = np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        own = sorted(pieces[r["doc_id"]], key=lambda p: p["piece"])
+        assert [p["piece"] for p in own] == list(range(len(own))) and (len(own) > 1) == (len(ids) > 1024)
+        assert [p["length"] for p in own[1:]] == [1024] * (len(own) - 1)
+        at = 0
+        for p in own:
+            assert p["start"] == at and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+            places.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        assert at == len(ids)
+    for seq in places.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(seq)])
+        assert [o for o, _ in sorted(seq)] == ends[:-1].tolist() and ends[-1] <= 1024
+    least = -(-sum(n for seq in places.values() for _, n in seq) // 1024)
+    assert len(places) <= 1.01 * least
+
+
+def test_search_ends_where_no_exchange_helps():
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(300, 420, 120)
+    bins = packing.improve(packing.best_fit(lengths, 1024), lengths, 1024)
+    fill = [int(lengths[b].sum()) for b in bins]
+    gain = lambda a, b, d: max(fill[a], fill[b]) < max(fill[a] - d, fill[b] + d) <= 1024
+    for a, x in enumerate(bins):
+        for b, y in enumerate(bins):
+            if a == b or 1024 in (fill[a], fill[b]):
+                continue
+            outs = [(i,) for i in x] + [(i, j) for n, i in enumerate(x) for j in x[:n]]
+            for out in outs:
+                mass = int(lengths[list(out)].sum())
+                assert not (len(out) == 1 and gain(a, b, mass))
+                assert not any(lengths[j] > mass and fill[a] - mass + lengths[j] <= 1024 and fill[a] + lengths[j] - mass > fill[b] for j in y)
+    assert sorted(i for b in bins for i in b) == list(range(120))

@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, and inheritance along paths.
 
 1. Units (lines, or sentences of long lines) with a licence cue are cut from every whole text, as term counts. A licence
-   file is one unit as a whole.
+   file gives two more: its header (the first two lines, as titles run over two) and its whole.
 2. Terms are weighted by inverse document frequency over all units and templates; the cosine of a unit to every template
    is a sum over the terms that they share. A file has the licence of its best unit, if the cosine is high enough.
 3. A file without a licence of its own has that of the licence file in the nearest ancestor directory: directories are
@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.operators.joins import with_one
 from mediasift.sources.shared import stored
 
-#: Licence names and the sentences that announce them.
+#: Licence names and the sentences that announce them, and the full texts of short licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -33,13 +34,34 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "MIT",
+        "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
-CUE = "[Ll][Ii][Cc][Ee][Nn][SsCc][Ee]|[Pp]ublic domain|[Pp]ermission is hereby granted|[Rr]edistribution and use"
+#: Words without which no unit of a known corpus came near a template (see the tests); a unit without any is not looked at.
+CUE = "[Ll][Ii][Cc][Ee][Nn][SsCc][Ee]|[Pp]ublic domain|[Pp]ermission|[Rr]edistribution|[Cc]opyright|COPYRIGHT|(?:AS|as) (?:IS|is)\\b|CC BY"
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 UNIT_END = "\n|[.;!?] "
 #: A text of no more words, with a cue, is a licence file in the registered query.
 SHORT_WORDS = 60
 LEAST = 0.6
+#: Directories up to which their licences are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _counts(units: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -52,11 +74,11 @@ def cosines(units: DataFrame, key: str = "unit", text: str = "text") -> DataFram
     spark = units.sparkSession
     named = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(TEMPLATES)], "template int, text string")
     mine = stored(_counts(units.select(F.col(key).alias("unit"), F.col(text).alias("text")), ["unit"], "text"), "terms")
-    theirs = _counts(named, ["template"], "text")
+    theirs = stored(_counts(named, ["template"], "text"), "template-terms")
     count = mine.select("unit").distinct().count() + len(TEMPLATES)
     frequency = mine.select("term").union(theirs.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = frequency.select("term", (F.log(F.lit(1.0 + count) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weigh = lambda rows: rows.join(idf.hint("merge"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    idf = stored(frequency.select("term", (F.log(F.lit(1.0 + count) / (1.0 + F.col("df"))) + 1.0).alias("idf"), F.col("df").alias("n")), "terms-of-all")
+    weigh = lambda rows: with_one(rows, idf, ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
     mine = stored(weigh(mine), "weights")
     theirs = weigh(theirs)
     size = mine.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
@@ -88,7 +110,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", licence_file:
     cued = rows.where(F.col("text").rlike(CUE))
     whole = F.coalesce(F.col("is_file"), F.lit(False))
     cut = F.filter(F.split("text", UNIT_END), lambda u: u.rlike(CUE))
-    units = cued.select("path", whole.alias("is_file"), F.posexplode(F.when(whole, F.array("text")).otherwise(cut)).alias("n", "text"))
+    title = F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 2), " ")
+    header = F.filter(F.array(title), lambda u: u.rlike(CUE))
+    units = cued.select("path", whole.alias("is_file"), F.posexplode(F.when(whole, F.concat(F.array("text"), header, cut)).otherwise(cut)).alias("n", "text"))
     units = stored(units.select(F.struct("path", "n", F.xxhash64("text").alias("h")).alias("unit"), "path", "is_file", "text"), "units")
     best = F.max(F.struct("cosine", (-F.col("template")).alias("t")))
     found = cosines(units.select("unit", "text").dropDuplicates(["unit"])).withColumn("cosine", F.round("cosine", 6))
@@ -102,21 +126,26 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", licence_file:
     parts = F.split("directory", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
     above = directories.select("directory", F.explode(ancestors).alias("a")).select("directory", "a.depth", "a.ancestor")
-    resolved = stored(above.join(of_directory.hint("merge"), "ancestor").groupBy("directory").agg(F.max_by("inherited", "depth").alias("inherited")), "directories")
+    below = above.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"))
+    holders = stored(of_directory.join(below.hint("merge"), "ancestor"), "licence-directories")
+    resolved = stored(with_one(stored(above, "ancestors"), holders, ["ancestor"]).groupBy("directory").agg(F.max_by("inherited", "depth").alias("inherited")), "directories")
 
     left = rows.select("path", _directory(F.col("path")).alias("directory"))
-    out = left.join(own.select("path", "own", "score").hint("merge"), "path", "left").join(resolved.hint("merge"), "directory", "left")
+    out = left.join(own.select("path", "own", "score").hint("merge"), "path", "left")
+    few = resolved.count() <= BROADCAST_ROWS  # a directory may hold very many files; beyond that Spark splits such partitions
+    out = out.join(F.broadcast(resolved) if few else resolved.hint("merge"), "directory", "left")
     return out.select(F.col("path").alias(path), "own", "score", "inherited", F.coalesce("own", "inherited").alias("license"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Licences of the documents, each a file in the directory of its thousand ids, language and source; texts of a few
-    words are taken as licence files."""
+    """Licences of the documents, each a file in the directory of its thousand ids, language and source, some in one of the
+    directories above; texts of a few words are taken as licence files."""
     from mediasift.sources.tables import table
 
     docs = table(spark, sf_dir, "documents")
     shelf = F.floor(F.col("doc_id") / 1000).cast("string")
-    files = docs.select(F.concat_ws("/", F.lit(""), "source", "lang", shelf, F.col("doc_id").cast("string")).alias("path"), "text")
+    above = F.when(F.col("doc_id") % 50 == 0, F.array("source")).when(F.col("doc_id") % 10 == 1, F.array("source", "lang")).otherwise(F.array(F.col("source"), F.col("lang"), shelf))
+    files = docs.select(F.concat_ws("/", F.lit(""), above, F.col("doc_id").cast("string")).alias("path"), "text")
     found = scan(files, licence_file=F.size(F.split(F.trim("text"), "[ \n]+")) <= SHORT_WORDS)
     return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "path", "own", "score", "inherited", "license")
 
@@ -126,11 +155,11 @@ def sql() -> str:
     values = ", ".join(f"({k}, {quoted(n)}, {quoted(t)})" for k, (n, t) in enumerate(TEMPLATES))
     return rf"""
 WITH t AS (SELECT * FROM (VALUES {values}) AS v(template, name, text)),
-f AS (SELECT doc_id, '/' || source || '/' || lang || '/' || CAST(floor(doc_id / 1000.0) AS BIGINT) AS dir, coalesce(text, '') AS text,
+f AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '/' || source WHEN doc_id % 10 = 1 THEN '/' || source || '/' || lang ELSE '/' || source || '/' || lang || '/' || CAST(floor(doc_id / 1000.0) AS BIGINT) END AS dir, coalesce(text, '') AS text,
   len(string_split_regex(trim(coalesce(text, ''), ' '), '[ \n]+')) <= {SHORT_WORDS} AS is_file FROM documents),
-u AS (SELECT doc_id, dir, is_file, n, CASE WHEN is_file THEN text ELSE parts[n] END AS unit
-  FROM (SELECT *, unnest(range(1, CASE WHEN is_file THEN 2 ELSE len(parts) + 1 END)) AS n FROM (SELECT *, string_split_regex(text, {quoted(UNIT_END)}) AS parts FROM f WHERE regexp_matches(text, {quoted(CUE)})))
-  WHERE regexp_matches(CASE WHEN is_file THEN text ELSE parts[n] END, {quoted(CUE)})),
+u AS (SELECT doc_id, dir, is_file, n, parts[n] AS unit
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT * REPLACE (CASE WHEN is_file THEN list_prepend(text, list_prepend(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:2], ' '), parts)) ELSE parts END AS parts) FROM (SELECT *, string_split_regex(text, {quoted(UNIT_END)}) AS parts FROM f WHERE regexp_matches(text, {quoted(CUE)}))))
+  WHERE regexp_matches(parts[n], {quoted(CUE)})),
 mine AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(regexp_extract_all(lower(unit), {quoted(TERM)})) AS term FROM u) GROUP BY ALL),
 theirs AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), {quoted(TERM)})) AS term FROM t) GROUP BY ALL),
 total AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id, n FROM mine)) + {len(TEMPLATES)} AS n),

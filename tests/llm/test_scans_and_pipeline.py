@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediasift.llm import licenses, queries, secrets
+from mediasift.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +47,30 @@ def stages(spark, tmp_path_factory):
     return {name: (before, after) for name, before, after in out}
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Some Body
+
+""" + licenses.TEMPLATES[14][1][12:].replace(". ", ".\n\n")
+
+
+def test_whole_licence_files_are_known(spark):
+    gpl = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n" + "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. " * 40
+    files = [("/m/LICENSE", MIT_FILE), ("/m/a/b/c.txt", "no licence here"), ("/g/COPYING", gpl), ("/g/x/y.txt", None), ("/m/a/NOTICE", "Licensed under the Apache License, Version 2.0."), ("/z.txt", "words")]
+    got = {r["path"]: (r["own"], r["license"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["/m/LICENSE"] == ("MIT", "MIT") and got["/g/COPYING"][0] == "GPL-3.0"
+    assert got["/m/a/b/c.txt"] == (None, "Apache-2.0") and got["/g/x/y.txt"] == (None, "GPL-3.0") and got["/z.txt"] == (None, None)
+
+
+def test_units_without_a_cue_are_near_no_template(spark):
+    """Every unit of every text against all templates: what comes near one has a cue."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    units = docs.select("doc_id", F.posexplode(F.split("text", licenses.UNIT_END)).alias("n", "text"))
+    units = units.select(F.struct("doc_id", "n").alias("unit"), "text")
+    near = licenses.cosines(units).where(F.col("cosine") >= licenses.LEAST).select("unit").distinct().join(units, "unit")
+    assert near.where(F.col("text").rlike(licenses.CUE)).count() > 20 and near.where(~F.col("text").rlike(licenses.CUE)).count() == 0
+
+
 def test_columns_stay(stages):
     for name, (before, after) in stages.items():
         if name != "packing":

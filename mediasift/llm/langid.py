@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediasift.llm.textbytes import BLOCK_BYTES, LOWER, SPACE, blocks, parts
@@ -147,7 +147,10 @@ def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, e
             rate = 0.5 * (1 - steps / total)
             out -= rate * mean.T @ p / len(pick) * 4
             bias -= rate * p.mean(axis=0)
-            np.subtract.at(emb, idx, rate * np.repeat(back, lens, axis=0) * val[:, None] * 4)
+            change = rate * np.repeat(back, lens, axis=0) * val[:, None] * 4
+            by = np.argsort(idx, kind="stable")  # each bucket is changed once
+            new = np.flatnonzero(np.diff(idx[by], prepend=-1))
+            emb[idx[by][new]] -= np.add.reduceat(change[by], new, axis=0)
             steps += 1
     emb[0] = 0
     return emb, out, bias
@@ -164,7 +167,7 @@ def train(
 ) -> LanguageModel:
     """Learn from the rows that have both a text and a label.
 
-    At most about ``rows_per_language`` rows of each language are used, chosen by a hash of the text. A table without
+    At most ``rows_per_language`` different texts of each language are used, chosen by a hash of the text. A table without
     any usable row gives a model that knows no language (every prediction is ``und``).
     """
     rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).where("label is not null and text is not null")
@@ -172,7 +175,8 @@ def train(
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col("label") == name, float(min(1.0, rows_per_language / n))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["label", "text"])
+    picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "text"))).where(F.col("k") <= rows_per_language).drop("k")
     got = picked.mapInArrow(_features, "label string, bucket array<int>, share array<float>").toArrow()
     names = sorted(set(got.column("label").to_pylist()))
     if not names:

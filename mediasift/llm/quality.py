@@ -53,8 +53,12 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         size = np.maximum(np.bincount(at, minlength=m), 1)[:, None]
         low = LOWER[data].astype(np.uint32)
         code = np.zeros(n, np.uint32)
-        for i in range(min(3, n)):
-            code[: n - i] = (code[: n - i] ^ low[i:]) * np.uint32(0x01000193)
+        for i in range(3):
+            later = np.zeros(n, np.uint32)  # the byte i further on; 0 beyond a text's end, so that its neighbours don't count
+            later[: max(0, n - i)] = low[i:]
+            for j in range(1, i + 1):
+                later[(offsets[1:] - j)[offsets[1:] >= j]] = 0
+            code = (code ^ later) * np.uint32(0x01000193)
         grams = np.bincount(at * BINS + (code ^ code >> np.uint32(13)) % np.uint32(BINS), minlength=m * BINS).reshape(m, BINS) / size
         kinds = np.bincount(at * (len(CLASSES) + 1) + _CLASS[data], minlength=m * (len(CLASSES) + 1)).reshape(m, -1) / size
         x[:, :BINS] = np.sqrt(grams)
@@ -170,7 +174,7 @@ def score(docs: DataFrame, model: QualityModel | float, id: str = "doc_id", text
             if not isinstance(m, float):
                 for first, last, data, offsets in blocks(batch.column(1), BLOCK):
                     s[first:last] = _score(m, data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(s, 9)), pa.array((np.round(s, 9) >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id)

@@ -67,3 +67,14 @@ def test_attention_sums_to_one():
 def test_one_label_only(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) == 1.0
+
+
+def test_neighbours_do_not_count():
+    """A text's features are the same alone and in any block."""
+    texts = ["One text here.", "x", "", "Another one, a bit longer. " * 60, "ab", "One text here."]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t) for t in texts)])
+    together, first = quality.passages(data, offsets)
+    for k, t in enumerate(texts):
+        alone, _ = quality.passages(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert np.array_equal(alone, together[first[k] : first[k + 1]])

@@ -53,6 +53,12 @@ def symmetric_similarity(a: Column | str, b: Column | str) -> Column:
     return (list_similarity(a, b) + list_similarity(b, a)) / 2
 
 
+def symmetric_with_foreground(a: Column | str, b: Column | str, fa: Column | str, fb: Column | str) -> Column:
+    """Symmetric similarity of the whole frames and of their foregrounds, half each, if both items have a foreground."""
+    whole = symmetric_similarity(a, b)
+    return F.when(_present(fa) & _present(fb), (whole + symmetric_similarity(fa, fb)) / 2).otherwise(whole)
+
+
 def fused_similarity(pa: Column, da: Column, aa: Column, pb: Column, db: Column, ab: Column, weights: tuple[float, float] = (P_WEIGHT, D_WEIGHT), audio_factor: float = AUDIO_FACTOR) -> Column:
     """Weighted pHash and dHash similarity; one of them alone if side a lacks the other; lowered if the sound differs."""
     p, d = list_similarity(pa, pb), list_similarity(da, db)

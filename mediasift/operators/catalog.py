@@ -9,9 +9,10 @@ from mediasift.functions import scalars as S
 
 
 def glob_regex(rule: Column) -> Column:
-    """A pattern with * and ? as a regular expression over the whole string."""
+    """A pattern with *, ? and sets (``[abc]``, ``[!abc]``) as a regular expression over the whole string."""
     quoted = F.regexp_replace(rule, r"([.^$+(){}|\\])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    sets = F.replace(F.regexp_replace(quoted, r"\[\^", r"[\\^"), F.lit("[!"), F.lit("[^"))  # a leading ^ is itself in file patterns
+    return F.concat(F.lit("(?s)^"), F.replace(F.replace(sets, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
 def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.functions.hashes import BITS, hamming
+from mediasift.functions.hashes import BITS
+from mediasift.operators.blocks import tiles
+from mediasift.sources.shared import stored
+
+
+def _nearest(parts):
+    """For each second of a, the first of the most similar seconds of b; distances are worked out in tiles."""
+    for part in parts:
+        out = []
+        for a, b, t1, h1, t2, h2 in zip(*(part[c] for c in ("a", "b", "ta", "ha", "tb", "hb")), strict=True):
+            x, y = np.asarray(h1, np.int64).view(np.uint64), np.asarray(h2, np.int64).view(np.uint64)
+            for cut in tiles(len(x), len(y)):
+                d = np.bitwise_count(x[cut, None] ^ y[None])
+                best = d.argmin(axis=1)
+                out.append(pd.DataFrame({"a": a, "b": b, "t1": np.asarray(t1)[cut], "t2": np.asarray(t2)[best], "sim": 1 - d.min(axis=1) / BITS}))
+        yield pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "t1": [], "t2": [], "sim": []})
 
 
 def best_matches(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """(a, b, t1, t2, sim): for each second of a, the most similar second of b (the first on ties). ``samples`` (id, t, h)."""
-    left = pairs.join(samples.select(F.col("id").alias("a"), F.col("t").alias("t1"), F.col("h").alias("ha")).hint("merge"), "a")
-    of_b = samples.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("list")).select(F.col("id").alias("b"), "list")  # an item's own seconds
-    near = F.array_min(F.transform("list", lambda s: F.struct(hamming("ha", s["h"]).alias("d"), s["t"].alias("t"))))
-    return left.join(of_b.hint("merge"), "b").select("a", "b", "t1", near.alias("n")).select("a", "b", "t1", F.col("n.t").alias("t2"), (1 - F.col("n.d") / BITS).alias("sim"))
+    """(a, b, t1, t2, sim): for each second of a, the most similar second of b (the first on ties). ``samples`` (id, t, h).
+
+    A pair is one row with the seconds of both items, which are as long as the items are.
+    """
+    ids, seconds = (t.schema[c].dataType.simpleString() for t, c in ((pairs, "a"), (samples, "t")))
+    lists = stored(samples.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("l")).select("id", "l.t", "l.h"), "seconds-of-items")
+    of = lambda side: lists.select(F.col("id").alias(side), F.col("t").alias(f"t{side}"), F.col("h").alias(f"h{side}")).hint("merge")
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "ta", "ha", "tb", "hb").mapInPandas(_nearest, f"a {ids}, b {ids}, t1 {seconds}, t2 {seconds}, sim double")
 
 
 def similar_intervals(matches: DataFrame, threshold: float) -> DataFrame:

@@ -90,8 +90,8 @@ BAD = "CASE WHEN id % 31 = 0 THEN 'zero_frames' WHEN id % 41 = 0 THEN 'decode_er
 
 @query("a19_bad_media", f"SELECT error_type, count(*) AS n FROM (SELECT {BAD} AS error_type FROM media_file) WHERE error_type IS NOT NULL GROUP BY 1")
 def _(spark, sf_dir):
-    bad = X.media_file(spark, sf_dir).select("path", F.when(F.col("id") % 31 == 0, "zero_frames").when(F.col("id") % 41 == 0, "decode_error").alias("error_type"))
-    return bad.where("error_type is not null").groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.when(F.col("id") % 31 == 0, "zero_frames").when(F.col("id") % 41 == 0, "decode_error")
+    return R.bad_media(X.media_file(spark, sf_dir).withColumn("error_type", kinds))
 
 
 @query("a23_tags", "SELECT id, CASE WHEN id % 3 = 0 THEN source ELSE lang || '|' || source END AS tags FROM media_file")
@@ -131,8 +131,7 @@ def _(spark, sf_dir):
 
 @query("e10_totals", "SELECT purpose, count(*) AS n, count(*) FILTER (semantic_conf >= 0.25 AND quality_score >= 0.4) AS ready FROM store_new GROUP BY purpose")
 def _(spark, sf_dir):
-    ready = (F.col("semantic_conf") >= 0.25) & (F.col("quality_score") >= 0.4)
-    return new(spark, sf_dir).groupBy("purpose").agg(F.count(F.lit(1)).alias("n"), F.count_if(ready).alias("ready"))
+    return R.totals(new(spark, sf_dir), (F.col("semantic_conf") >= 0.25) & (F.col("quality_score") >= 0.4))
 
 
 @query("e11_value_distribution", "SELECT v AS value, count(*) AS n FROM (SELECT unnest([scene, object, action]) AS v FROM semantic) WHERE trim(v) <> '' GROUP BY v")
@@ -145,7 +144,7 @@ FULL = "SELECT count(*) AS items, count(*) FILTER (action IS NOT NULL) AS tagged
 
 @query("e12_full_report", FULL)
 def _(spark, sf_dir):
-    return X.semantic(spark, sf_dir).agg(F.count(F.lit(1)).alias("items"), F.count("action").alias("tagged"), F.count_if(F.col("quality_score") >= 0.6).alias("ready"), F.count_if(F.col("quality_score") < 0.5).alias("low_quality"))
+    return R.full_report(X.semantic(spark, sf_dir))
 
 
 @query("e13_quality_report", "SELECT round(100.0::DOUBLE * ready / n, 6) AS ready_rate, CASE WHEN 100.0 * ready / n >= 80 THEN 'good' WHEN 100.0 * ready / n >= 60 THEN 'fair' ELSE 'poor' END AS grade, round(balance, 6) AS balance, round(top, 6) AS max_share FROM (SELECT count(*) AS n, count(*) FILTER (quality_score >= 0.6) AS ready FROM store_new), (SELECT 1 - sum(abs(p - 1.0::DOUBLE / k)) / 2 AS balance, max(p) AS top FROM (SELECT count(*) / (sum(count(*)) OVER ())::DOUBLE AS p, count(*) OVER () AS k FROM store_new GROUP BY purpose))")
@@ -155,7 +154,7 @@ def _(spark, sf_dir):
 
 @query("e23_dataset_stats", "SELECT count(*) AS n, round(avg(quality_score), 6) AS quality, round(avg(semantic_conf), 6) AS confidence, round(100.0::DOUBLE * count(*) FILTER (quality_score >= 0.6) / count(*), 6) AS ready_percent FROM store_new")
 def _(spark, sf_dir):
-    return new(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 6).alias("quality"), F.round(F.avg("semantic_conf"), 6).alias("confidence"), F.round(F.lit(100.0) * F.count_if(F.col("quality_score") >= 0.6) / F.count(F.lit(1)), 6).alias("ready_percent"))
+    return R.dataset_stats(new(spark, sf_dir))
 
 
 @query("e25_store_health", "SELECT count(*) AS entries, round(100.0::DOUBLE * count(*) FILTER (len(phash) > 0) / count(*), 6) AS hash, round(100.0::DOUBLE * count(*) FILTER (duration > 0) / count(*), 6) AS duration, round(100.0::DOUBLE * count(audio) / count(*), 6) AS audio, count(*) FILTER (coalesce(len(phash), 0) = 0) AS corrupted, count(purpose) AS classified FROM store_new")
@@ -165,8 +164,7 @@ def _(spark, sf_dir):
 
 @query("e26_score_counters", "SELECT count(*) FILTER (q >= 0.7) AS good, count(*) FILTER (q < 0.4) AS poor, round(100.0::DOUBLE * count(q) / count(*), 6) AS scored_percent FROM (SELECT CASE WHEN id % 9 <> 0 THEN quality_score END AS q FROM semantic)")
 def _(spark, sf_dir):
-    q = F.when(F.col("id") % 9 != 0, F.col("quality_score"))
-    return X.semantic(spark, sf_dir).agg(F.count_if(q >= 0.7).alias("good"), F.count_if(q < 0.4).alias("poor"), F.round(F.lit(100.0) * F.count(q) / F.count(F.lit(1)), 6).alias("scored_percent"))
+    return R.score_counters(X.semantic(spark, sf_dir), F.when(F.col("id") % 9 != 0, F.col("quality_score")))
 
 
 @query("e31_root_statistics", "SELECT source AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM media_file GROUP BY source")

@@ -29,16 +29,32 @@ def scan(spark: SparkSession, roots: list[str], recursive: bool = True, extensio
     return rows.where(good if most is None else good & (F.col("size") <= most))
 
 
+def simple_scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, name) of the media files under a root, ordered by path."""
+    return scan(spark, [root], extensions=extensions).select("path", "name").orderBy("path")
+
+
+def _there(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
 def batch_scan(spark: SparkSession, listing: str) -> tuple[DataFrame, DataFrame]:
-    """(files with their ``root``, (root, files, bytes)) of the directories in a text file; ``#`` starts a comment."""
+    """(files with their ``root``, (root, status, files, bytes)) of the directories in a text file; ``#`` starts a comment.
+
+    A directory that isn't there has the status ``missing`` and no files; the others (``ok``) are scanned all the same.
+    """
     roots = [r["value"].strip() for r in spark.read.text(listing).collect()]  # a hand-written list
     roots = [r.rstrip("/") for r in roots if r and not r.startswith("#")]
-    files = scan(spark, roots)
+    found = {r: _there(spark, r) for r in roots}
+    good = [r for r in roots if found[r]]
+    files = scan(spark, good) if good else spark.createDataFrame([], "path string, name string, dir string, ext string, size long, mtime double")
     root = F.coalesce(*[F.when(F.startswith("path", F.lit(f"{r}/")), F.lit(r)) for r in sorted(roots, key=len, reverse=True)])
     files = files.withColumn("root", root)
     counted = files.groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-    every = spark.createDataFrame([(r,) for r in roots], "root string")
-    return files, every.join(F.broadcast(counted), "root", "left").select("root", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    every = spark.createDataFrame([(r, "ok" if found[r] else "missing") for r in roots], "root string, status string")
+    return files, every.join(F.broadcast(counted), "root", "left").select("root", "status", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def legacy_store(spark: SparkSession, paths: str | list[str]) -> DataFrame:

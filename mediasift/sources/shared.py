@@ -10,15 +10,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Tables that this process has written.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local session, as in tests) a temporary folder is made and set.
+    Only where a local session (as in tests) names none a temporary folder is made and set; on a cluster that is an error.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="mediasift-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, found)
@@ -33,10 +37,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process. For after a job's results are written: DataFrames that still read the
+    tables are of no use afterwards."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_and_seen(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
     """:func:`stored`, and aggregates of the rows."""
     out = stored(df, name)

@@ -24,6 +24,36 @@ def test_scan(spark, tmp_path):
     assert {(r["root"][-1], r["files"]) for r in counts.collect()} == {("a", 1), ("b", 1)}
 
 
+def test_batch_goes_on_past_a_missing_root(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("z.mp4", "b.mov"):
+        (tmp_path / "a" / name).write_bytes(b"v")
+    listing = tmp_path / "dirs.txt"
+    listing.write_text(f"{tmp_path}/nowhere\n{tmp_path}/a\n")
+    files, counts = M.batch_scan(spark, str(listing))
+    assert files.count() == 2
+    assert {(r["root"].rsplit("/", 1)[1], r["status"], r["files"]) for r in counts.collect()} == {("nowhere", "missing", 0), ("a", "ok", 2)}
+    assert [r["name"] for r in M.simple_scan(spark, str(tmp_path)).collect()] == ["b.mov", "z.mp4"]
+
+
+def test_suspects_come_back(spark, tmp_path):
+    rows = [("2", "dog", 0.3, "low;closer", "cat"), ("1", "cat", 0.25, "outlier", None)]
+    M.write_suspects(spark.createDataFrame(rows, "id string, label string, score double, reasons string, suggested string"), str(tmp_path / "s"))
+    assert [tuple(r) for r in M.read_suspects(spark, str(tmp_path / "s")).collect()] == [rows[1], rows[0]]
+
+
+def test_sets_in_ignore_rules(spark):
+    files = spark.createDataFrame([(n, f"/v/{n}") for n in ("a1.mp4", "b1.mp4", "c1.mp4", "^1.mp4", "a2.mp4")], "name string, path string")
+    left = lambda rule: sorted(r["name"] for r in C.without_ignored(files, spark.createDataFrame([(rule,)], "rule string")).collect())
+    assert left("[!ab]1.mp4") == ["a1.mp4", "a2.mp4", "b1.mp4"]
+    assert left("[ab]?.mp4") == ["^1.mp4", "c1.mp4"] and left("[^a]1.mp4") == ["a2.mp4", "b1.mp4", "c1.mp4"]
+
+
+def test_save_drops_pixels(spark, tmp_path):
+    T.save(spark.createDataFrame([("p", 1, b"x")], "path string, size long, pixels binary"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).columns == ["path", "size"]
+
+
 def test_legacy_store(spark, tmp_path):
     p = tmp_path / "cache.json"
     p.write_text(json.dumps({"_version": "2.0", "/v/a.mp4": {"size": 3, "mtime": 1.5, "phash": ["ffffffffffffffff"], "dhash": ["1"], "duration": 2.0}}))

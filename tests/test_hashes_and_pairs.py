@@ -38,6 +38,12 @@ def test_audio_lowers(spark):
     assert one(spark, H.fused_similarity(a, none, none, lit(1), a, none)) == 0.984375
 
 
+def test_foreground_counts_half(spark):
+    none = F.lit(None).cast("array<long>")
+    assert one(spark, H.symmetric_with_foreground(lit(0), lit(0), lit(0), lit(-1))) == 0.5
+    assert one(spark, H.symmetric_with_foreground(lit(0), lit(1), lit(0), none)) == 0.984375
+
+
 def test_duration(spark):
     assert not one(spark, H.duration_too_different(F.lit(0.0), F.lit(9.0)))
     assert not one(spark, H.duration_too_different(F.lit(8.0), F.lit(10.0)))

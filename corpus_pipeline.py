@@ -39,11 +39,15 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at 0.5 or more. It learns from those of ``docs`` that have labels; null and empty texts
+    are scored like any other, and rows that repeat fare alike."""
     model = quality.model_of(spark, sf_dir, docs)
     return quality.score(_rows(docs), model, id="row").where("predicted = 1").select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur before, and ``n_chars`` (if there is one) of what is left of a changed text. A
+    document of which nothing but blanks is left goes; null texts and texts that were empty stay."""
     removed = _unused(docs, "removed_lines")
     out = linededup.dedup(docs, removed=removed)
     emptied = (F.size(removed) > 0) & (F.trim(F.translate("text", "\n\t", "  ")) == "")
@@ -54,17 +58,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group the rows of the smallest id. Documents without words, or without an id, are in no group and stay; rows that
+    repeat an id stay or go together."""
     found = minhash.near_duplicates(docs, percent=PERCENT)
     gone = found.where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated, as they were. Null and empty texts have no words and stay."""
     found = decontaminate.find(_rows(docs), table(spark, sf_dir, "benchmark"), id="row")
     return decontaminate.verdicts(found).where("not contaminated").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in the sequences; a null or empty text is one piece, its end."""
     return packing.packed(docs)
 
 

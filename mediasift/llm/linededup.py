@@ -34,13 +34,16 @@ ENDINGS, NOT_ENDINGS = ("\n", ". ", "! ", "? "), (".. ", "!! ", "?? ")
 MARK = "\x01"
 #: A chunk ends after one of so many lines.
 ENDS_OF = 4
-#: A passage that counts has two lines or more of so many characters together, or is one line of so many.
-LEAST_MATCH, LONG_LINE = 60, 250
-#: Words of one long line at least, if it has fewer characters than that.
-LONG_WORDS = 50
-#: A window is its first line times this plus its number of lines, which LEAST_MATCH bounds as no line is empty.
-WINDOW = 64
-#: Rows up to which a table of repeated hashes is broadcast (some 32 bytes each in memory); more are joined around hot keys.
+#: A line weighs as many as its characters, or as this for each of its words if that is more.
+WORD = 6
+#: A passage that counts has two lines or more of so much weight together (25 words or 150 characters, half of what is to be
+#: found whole, as a passage may begin and end inside a line; shorter lines that many texts share stay)...
+LEAST_MATCH = 25 * WORD
+#: ... or is one line of so many characters or words.
+LONG_LINE, LONG_WORDS = 250, 50
+#: A window is its first line times this plus its number of lines, which is 25 at most, as a line weighs a word or more.
+WINDOW, WIDEST = 64, LEAST_MATCH // WORD
+#: Rows up to which a table of repeated hashes is broadcast (some 80 bytes each in memory, so 160 MB); more are joined around hot keys.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -64,9 +67,16 @@ def lines_of(text: Column) -> Column:
     return F.filter(_cut(text), lambda line: line != "")
 
 
+def _words(line: Column) -> Column:
+    return F.length(F.trim(line)) - F.length(F.replace(F.trim(line), F.lit(" "), F.lit(""))) + 1
+
+
+def _weight(line: Column) -> Column:
+    return F.greatest(F.length(line), WORD * _words(line))
+
+
 def _is_long(line: Column) -> Column:
-    n, words = F.length(line), F.length(F.trim(line)) - F.length(F.replace(F.trim(line), F.lit(" "), F.lit(""))) + 1
-    return (n >= LONG_LINE) | (n >= 2 * LONG_WORDS - 1) & (words >= LONG_WORDS)
+    return (F.length(line) >= LONG_LINE) | (F.length(line) >= 2 * LONG_WORDS - 1) & (_words(line) >= LONG_WORDS)
 
 
 def _joined(rows: DataFrame, repeated: DataFrame, on: list[str]) -> DataFrame:
@@ -77,21 +87,21 @@ def _joined(rows: DataFrame, repeated: DataFrame, on: list[str]) -> DataFrame:
 
 
 def repeated_lines(packed: DataFrame) -> DataFrame:
-    """(id, th, pos, h, h2, chars, long) of the lines of ``packed`` (id, th, text) that occur more than once, bytes compared."""
+    """(id, th, pos, h, h2, weight, long) of the lines of ``packed`` (id, th, text) that occur more than once, bytes compared."""
     lines = packed.select("id", "th", F.posexplode(_cut(F.col("text"))).alias("pos", "line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
     counted = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = _joined(lines, stored(counted, "repeated-lines"), ["h"])
-    held = stored(held.select("id", "th", "pos", "h", F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("chars"), _is_long(F.col("line")).alias("long"), "line"), "held-lines")
+    held = stored(held.select("id", "th", "pos", "h", F.xxhash64(F.lit(1), "line").alias("h2"), _weight(F.col("line")).alias("weight"), _is_long(F.col("line")).alias("long"), "line"), "held-lines")
     unlike = stored(held.groupBy("h", "h2").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("h", "h2"), "unlike-lines")
     held = held.drop("line")
     return held if unlike.isEmpty() else held.join(unlike.hint("merge"), ["h", "h2"], "left_anti")
 
 
 def runs_of(held: DataFrame) -> DataFrame:
-    """(id, th, lines): runs of neighbouring repeated lines, as arrays of (pos, h, h2, chars, long), that can hold a passage."""
+    """(id, th, lines): runs of neighbouring repeated lines, as arrays of (pos, h, h2, weight, long), that can hold a passage."""
     w = Window.partitionBy("id", "th").orderBy("pos")
     run = held.withColumn("run", F.col("pos") - F.dense_rank().over(w))  # equal rows have equal ranks
-    runs = run.groupBy("id", "th", "run").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "h2", "chars", "long"))).alias("lines"))
+    runs = run.groupBy("id", "th", "run").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "h2", "weight", "long"))).alias("lines"))
     return runs.where((F.size("lines") > 1) | F.get("lines", F.lit(0))["long"]).drop("run")
 
 
@@ -100,8 +110,8 @@ def _unit(lines: Column, first: Column, size: Column) -> Column:
     return _let(F.slice(lines, first + 1, size), lambda own: F.struct(F.xxhash64(F.transform(own, lambda x: x["h"])).alias("h"), F.xxhash64(F.transform(own, lambda x: x["h2"])).alias("h2"), F.get(own, F.lit(0))["pos"].alias("first"), F.size(own).alias("size")))
 
 
-def _chars(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda n, x: n + x["chars"])
+def _sum(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda n, x: n + x["weight"])
 
 
 def chunks_of(lines: Column) -> Column:
@@ -110,7 +120,7 @@ def chunks_of(lines: Column) -> Column:
     rolling = lambda x, i: F.pmod(F.xxhash64(F.coalesce(F.get(lines, i - 1)["h"], F.lit(0).cast("long")), x["h"]), F.lit(ENDS_OF)) == 0
     ends_here = F.transform(lines, lambda x, i: F.when((i == last) | x["long"] | F.coalesce(F.get(lines, i + 1)["long"], F.lit(False)) | rolling(x, i), i))
     cut = lambda ends: F.transform(ends, lambda e, k: _let(F.coalesce(F.get(ends, k - 1) + 1, F.lit(0)), lambda first: F.struct(first.alias("first"), (e - first + 1).alias("size"))))
-    counts = lambda c: _let(F.slice(lines, c["first"] + 1, c["size"]), lambda own: F.get(own, F.lit(0))["long"] | (F.size(own) > 1) & (_chars(own) >= LEAST_MATCH))
+    counts = lambda c: _let(F.slice(lines, c["first"] + 1, c["size"]), lambda own: F.get(own, F.lit(0))["long"] | (F.size(own) > 1) & (_sum(own) >= LEAST_MATCH))
     return F.transform(F.filter(_let(F.array_compact(ends_here), cut), counts), lambda c: _unit(lines, c["first"], c["size"]))
 
 
@@ -120,9 +130,9 @@ def windows_of(lines: Column, covered: Column) -> Column:
 
     def enough(sizes: Column) -> Column:
         """How many of the first lines count as a passage, null if even all are too little."""
-        done = lambda a: (a["chars"] >= LEAST_MATCH) & (a["n"] >= 2)
-        start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"))
-        add = lambda a, x: F.when(done(a), a).otherwise(F.struct((a["chars"] + x).alias("chars"), (a["n"] + 1).alias("n")))
+        done = lambda a: (a["weight"] >= LEAST_MATCH) & (a["n"] >= 2)
+        start = F.struct(F.lit(0).alias("weight"), F.lit(0).alias("n"))
+        add = lambda a, x: F.when(done(a), a).otherwise(F.struct((a["weight"] + x).alias("weight"), (a["n"] + 1).alias("n")))
         return F.aggregate(sizes, start, add, lambda a: F.when(done(a), a["n"]))
 
     def code(first: Column, size: Column) -> Column:
@@ -130,15 +140,15 @@ def windows_of(lines: Column, covered: Column) -> Column:
 
     def codes(sizes: Column) -> Column:
         pair = lambda x, i: x + F.coalesce(F.get(sizes, i + 1), F.lit(-LEAST_MATCH - x)) >= LEAST_MATCH
-        onward = lambda x, i: code(i, F.when(pair(x, i), F.lit(2)).otherwise(enough(F.slice(sizes, i + 1, F.lit(LEAST_MATCH)))))
-        near = lambda i: F.least(i + 1, F.lit(LEAST_MATCH))
+        onward = lambda x, i: code(i, F.when(pair(x, i), F.lit(2)).otherwise(enough(F.slice(sizes, i + 1, F.lit(WIDEST)))))
+        near = lambda i: F.least(i + 1, F.lit(WIDEST))
         back = lambda x, i: F.when((i > 0) & (F.get(sizes, F.greatest(i - 1, F.lit(0))) + x < LEAST_MATCH), _let(enough(F.reverse(F.slice(sizes, i - near(i) + 2, near(i)))), lambda n: code(i - n + 1, n)))
         alone = lambda x, i: F.when(F.get(lines, i)["long"], code(i, F.lit(1)))
         return F.array_distinct(F.array_compact(F.concat(*[F.transform(sizes, f) for f in (onward, back, alone)])))
 
     first, size = (lambda c: F.floor(c / WINDOW).cast("int")), (lambda c: F.pmod(c, F.lit(WINDOW)).cast("int"))
     unit = lambda c: _unit(lines, first(c), size(c))
-    units = F.transform(_let(F.transform(lines, lambda x: x["chars"]), codes), unit)
+    units = F.transform(_let(F.transform(lines, lambda x: x["weight"]), codes), unit)
     left = lambda u: F.size(F.array_except(F.sequence(u["first"], u["first"] + u["size"] - 1), covered)) > 0
     return F.when(F.size(covered) == 0, units).otherwise(F.filter(units, left))
 

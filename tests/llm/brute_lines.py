@@ -39,7 +39,7 @@ def chunks(rows):
                 start, before = k, 0
             edge = k + 1 == len(t) or times[t[k + 1]] < 2 or long[k] or long[k + 1]
             if edge or _long(h, _long(before)) % L.ENDS_OF == 0:
-                if long[start] or k > start and sum(map(len, t[start : k + 1])) >= L.LEAST_MATCH:
+                if long[start] or k > start and sum(max(len(y), L.WORD * len(y.strip(" ").split(" "))) for y in t[start : k + 1]) >= L.LEAST_MATCH:
                     out.add((i, start, k - start + 1))
                 start = k + 1
             before = h

@@ -15,6 +15,19 @@ def test_held_out_languages(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_language_scores_are_calibrated(spark):
+    """Scores of held-out texts are right as often as they say, and noise of another kind is rejected more often than text."""
+    docs = table(spark, SF, "documents")
+    got = langid.query(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").toPandas()
+    right = got["lang"] == got["lang_pred"]
+    assert abs(got["score"].mean() - right.mean()) < 0.05
+    model = langid.train(docs)
+    rng = np.random.default_rng(0)
+    noise = [(k, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(30))) for k in range(60)]
+    odd = langid.predict(spark.createDataFrame(noise, "doc_id long, text string"), model).toPandas()
+    assert odd["score"].mean() < got["score"].mean()
+
+
 def test_other_columns_do_not_matter(spark):
     docs = table(spark, SF, "documents").limit(200)
     model = langid.train(docs)

@@ -11,8 +11,8 @@ CUT = re.compile(linededup.LINE_END)
 
 
 def counts(lines):
-    size = sum(map(len, lines))
-    return size >= 60 and len(lines) > 1 or len(lines) == 1 and (size >= 250 or len(lines[0].split()) >= 50)
+    weight = sum(max(len(x), 6 * len(x.strip(" ").split(" "))) for x in lines)
+    return weight >= 150 and len(lines) > 1 or len(lines) == 1 and (len(lines[0]) >= 250 or len(lines[0].split()) >= 50)
 
 
 def removed(rows):
@@ -66,6 +66,17 @@ def test_odd_cases(odd):
     assert linededup.dedup(odd).count() == 12 and linededup.dedup(odd.where("false")).count() == 0
 
 
+def test_short_lines_that_many_texts_share_stay(spark):
+    """Headers and footers of a few words are no passages; a passage whose edge lines run into others is, as far as lines are equal."""
+    rnd = random.Random(3)
+    own = lambda n: " ".join(f"n{rnd.randrange(10**9)}" for _ in range(n))
+    passage = " ".join(f"Sentence {k} of the passage has a few words of its own." for k in range(5))
+    rows = [(k, f"A header of this source, of a dozen words or so at most.\n{own(20)}.\nSee there. And so on. The end.\n") for k in range(30)]
+    rows += [(100 + k, f"{own(6)}. {own(3)} {passage} {own(4)}. {own(9)}.") for k in range(3)]
+    got = {i: list(r["removed_lines"]) for i, r in rows_of(spark, rows).items()}
+    assert not any(got[k] for k in range(30)) and got[100] == [] and got[101] == got[102] == [2, 3, 4, 5]
+
+
 def test_matches_reach_as_far_as_lines_are_equal(spark):
     """Passages of 4 to 9 lines between different neighbours, where an edge chunk can run over into other lines."""
     rnd = random.Random(7)

@@ -97,12 +97,12 @@ def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 4
     obj = F.element_at(F.array(*map(F.lit, OBJECTS)), number + 1)
     action = F.when(F.col("quality") == 1, "moving").when(F.col("quality") == 0, "static")
-    return docs.join(labels, "id", "left").select("id", ((F.col("id") * 7919) % 1000 / 1000.0).alias("quality_score"), ((F.col("id") * 31) % 100 / 100.0).alias("semantic_conf"), scene.alias("scene"), obj.alias("object"), action.alias("action"))
+    return docs.join(labels.hint("merge"), "id", "left").select("id", ((F.col("id") * 7919) % 1000 / 1000.0).alias("quality_score"), ((F.col("id") * 31) % 100 / 100.0).alias("semantic_conf"), scene.alias("scene"), obj.alias("object"), action.alias("action"))
 
 
 def store(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
     """Signature store of an older or a newer scan."""
-    rows = media_file(spark, sf_dir).join(signature(spark, sf_dir), "id").join(semantic(spark, sf_dir), "id")
+    rows = media_file(spark, sf_dir).join(signature(spark, sf_dir).hint("merge"), "id").join(semantic(spark, sf_dir).hint("merge"), "id")
     if not new:
         return rows.where("id % 10 <> 0").withColumn("purpose", F.concat(F.lit("p"), (F.col("id") % 4).cast("string")))
     size = F.when(F.col("id") % 17 == 0, F.col("size") + 1).otherwise(F.col("size"))

@@ -34,8 +34,6 @@ SLOTS = BANDS * ROWS
 #: A pair at a threshold of 0.8 or more agrees in so much less of its slots with a chance below 1e-7.
 MARGIN = 0.18
 
-#: Classes of a bucket that are compared with as many others in one task.
-BLOCK = 2000
 #: Elements whose permutations are held at once.
 PART = 1 << 17
 
@@ -244,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     # each has in common with any other candidate and by their signatures
     tagged = members.join(found.hint("merge"), members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     tagged = stored(tagged, "tagged")
-    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("bucket", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("bucket", "n")
     open_ = stored(with_one(tagged, stored(mixed, "mixed"), ["bucket"]), "mixed-buckets")
     shared_part = _shared_part(sets, open_.select("id").distinct(), kind)
     able = stored(shared_part.where(F.col("shared") * 100 >= F.col("n") * percent), "able")
@@ -252,11 +250,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     own = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # a bucket for each band at most
     wide = able.join(reps.select("id", "sig").hint("merge"), "id").join(own.hint("merge"), "id").select("id", "n", "shared", "buckets", slots.alias("sig"))
     rest = open_.join(wide.hint("merge"), "id")
-    # a large bucket is dealt into blocks, and block meets block: no task has more than two of them
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = dealt.alias("x"), dealt.alias("y")
+    x, y = rest.alias("x"), rest.alias("y")
     alike = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     reach = F.least("x.shared", "y.shared") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")  # of the buckets that a pair shares, one gives it
     pairs = x.join(y.hint("merge"), across & reach & once & (alike >= int((percent / 100 - MARGIN) * SLOTS))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

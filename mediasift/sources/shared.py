@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Tables that this process has written.
 _written: list[str] = []
+#: Where the tables that are still at hand lie.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,15 +42,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table from :func:`stored` that nothing reads any more: the round before the last, say."""
+    if path := _places.pop(table, None):
+        _written.remove(path)
+        _delete(table.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process. For after a job's results are written: DataFrames that still read the
     tables are of no use afterwards."""
+    _places.clear()
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def stored_and_seen(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mediasift.llm import decontaminate, fingerprint, langid, licenses, linededup, minhash, packing, pii, quality, secrets
+from mediasift.llm import decontaminate, fingerprint, langid, licenses, linededup, minhash, mixture, packing, pii, quality, secrets, veccodes
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -16,12 +16,15 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    "op12_mixture_packing": mixture.query,
+    "op13_vector_codes": veccodes.query,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_secrets": secrets.sql(),
     "op10_licenses": licenses.sql(),
+    "op13_vector_codes": veccodes.SQL,
 }
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mediasift.llm import decontaminate, fingerprint, langid, licenses, linededup, minhash, mixture, packing, pii, quality, secrets, veccodes
+from mediasift.llm import conversations, decontaminate, fingerprint, langid, licenses, linededup, minhash, mixture, packing, pii, quality, secrets, veccodes
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    "op11_conversation_repair": conversations.query,
     "op12_mixture_packing": mixture.query,
     "op13_vector_codes": veccodes.query,
     "pipeline": corpus_pipeline.run,
@@ -24,6 +25,7 @@ SQL = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_secrets": secrets.sql(),
     "op10_licenses": licenses.sql(),
+    "op11_conversation_repair": conversations.SQL,
     "op13_vector_codes": veccodes.SQL,
 }
 

@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *s) for s in _emails(text)] if "@" in text else []
     if _DIGIT.search(text) is None:
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):

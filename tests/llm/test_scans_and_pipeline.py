@@ -102,3 +102,9 @@ def test_all_that_is_left_is_packed(stages):
     before, after = stages["packing"]
     assert after.select("doc_id").distinct().count() == before.count()
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+
+
+def test_parts_of_thousands_of_zeros_are_an_address():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.3 and 1.{zeros}9.2.3") == [("ip", 0, 5006), ("ip", 5011, 5011 + 5007)]
+    assert pii.base_spans(f"{zeros}256.1.2.3") == [] and pii.base_spans("0.0.0.0") == [("ip", 0, 7)]

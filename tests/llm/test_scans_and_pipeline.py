@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mediasift.llm import licenses, queries, secrets
+from mediasift.llm import licenses, pii, queries, secrets
 from mediasift.sources.tables import table
 
 SF = "/root/testdata/sf0.001"

@@ -62,18 +62,22 @@ def representatives(items: DataFrame) -> DataFrame:
     return items.groupBy("phash", "dhash", "audio", "duration").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "phash", "dhash", "audio", "duration", "copies")
 
 
-def _similarity(x: pd.DataFrame, y: pd.DataFrame, weights: tuple[float, float]) -> np.ndarray:
-    """Fused similarity without sound of every row of ``x`` with every row of ``y``, from the smaller id to the larger."""
-    forward = x["id"].to_numpy()[:, None] < y["id"].to_numpy()[None]
-    parts, has = [], []
-    for c in ("phash", "dhash"):
-        a, b = B.padded(x[c]), B.padded(y[c])
-        there, back = B.nearest_sums(a, b)
-        n = np.where(forward, a[1][:, None], b[1][None])
-        parts.append(np.where((a[1][:, None] > 0) & (b[1][None] > 0), 1 - np.where(forward, there, back) / (np.maximum(n, 1) * float(H.BITS)), 0.0))
-        has.append(n > 0)
-    (p, d), (has_p, has_d) = parts, has
-    return np.where(has_p & has_d, p * weights[0] + d * weights[1], np.where(has_p, p, np.where(has_d, d, 0.0)))
+def _similarity(x: pd.DataFrame, y: pd.DataFrame, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Fused similarity without sound of every row of ``x`` with every row of ``y``, from ``x`` to ``y`` and back."""
+    lists = {c: (B.padded(x[c]), B.padded(y[c])) for c in ("phash", "dhash")}
+    sums = {c: B.nearest_sums(*v) for c, v in lists.items()}
+    out = []
+    for side in (0, 1):  # the hashes of this side look for their nearest on the other
+        parts, has = [], []
+        for c in ("phash", "dhash"):
+            n = lists[c][side][1]
+            n = n[:, None] if side == 0 else n[None]
+            full = (lists[c][0][1][:, None] > 0) & (lists[c][1][1][None] > 0)
+            parts.append(np.where(full, 1 - sums[c][side] / (np.maximum(n, 1) * float(H.BITS)), 0.0))
+            has.append(n > 0)
+        (p, d), (has_p, has_d) = parts, has
+        out.append(np.where(has_p & has_d, p * weights[0] + d * weights[1], np.where(has_p, p, np.where(has_d, d, 0.0))))
+    return out[0], out[1]
 
 
 def _quieter(s: float, x, y, factor: float) -> float:
@@ -84,7 +88,7 @@ def _quieter(s: float, x, y, factor: float) -> float:
     return s * factor if heard < H.AUDIO_GATE else s
 
 
-def _compare(threshold: float, weights: tuple[float, float], audio_factor: float, ratio: float):
+def _compare(threshold: float, weights: tuple[float, float], audio_factor: float, ratio: float, both: bool = False):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x, y, same = B.sides(rows)
         out: list[tuple] = []
@@ -92,23 +96,28 @@ def _compare(threshold: float, weights: tuple[float, float], audio_factor: float
         for cut in B.tiles(len(x), len(y) * max(1, length)):
             part = x.iloc[cut]
             a, b = part["id"].to_numpy(), y["id"].to_numpy()
-            s = _similarity(part, y, weights)
+            up = a[:, None] < b[None]
+            there, back = _similarity(part, y, weights)
             u, v = np.nan_to_num(part["duration"].to_numpy(float))[:, None], np.nan_to_num(y["duration"].to_numpy(float))[None]
             apart = (u > 0) & (v > 0) & (np.abs(u - v) / np.maximum(np.maximum(u, v), 1e-300) > ratio)
-            keep = (s >= threshold) & ~apart & ((a[:, None] < b[None]) if same else True)
+            best = np.maximum(there, back) if both else np.where(up, there, back)
+            keep = (best >= threshold) & ~apart & (up if same else True)
             sound = part["audio"].to_numpy(), y["audio"].to_numpy()
+            heard = lambda s, p, q: max(0.0, min(1.0, _quieter(float(s), p, q, audio_factor)))
             for i, j in zip(*np.nonzero(keep), strict=True):
-                first, second = (sound[0][i], sound[1][j]) if a[i] < b[j] else (sound[1][j], sound[0][i])
-                heard = max(0.0, min(1.0, _quieter(float(s[i, j]), first, second, audio_factor)))
-                if heard >= threshold:
-                    out.append((min(a[i], b[j]), max(a[i], b[j]), heard))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+                ways = heard(there[i, j], sound[0][i], sound[1][j]), heard(back[i, j], sound[1][j], sound[0][i])
+                first, other = ways if up[i, j] else ways[::-1]
+                if first >= threshold or both and other >= threshold:
+                    out.append((min(a[i], b[j]), max(a[i], b[j]), first, other))
+        found = pd.DataFrame(out, columns=["a", "b", "similarity", "back"])
+        return found if both else found.drop(columns="back")
 
     return run
 
 
-def pairs_above(items: DataFrame, threshold: float = 0.7, fresh: Column | None = None, weights: tuple[float, float] = (H.P_WEIGHT, H.D_WEIGHT), audio_factor: float = H.AUDIO_FACTOR, ratio: float = 0.2) -> DataFrame:
-    """(a, b, similarity) of all pairs of ``items`` (id, phash, dhash, audio, duration) at or above the threshold.
+def pairs_above(items: DataFrame, threshold: float = 0.7, fresh: Column | None = None, weights: tuple[float, float] = (H.P_WEIGHT, H.D_WEIGHT), audio_factor: float = H.AUDIO_FACTOR, ratio: float = 0.2, both: bool = False) -> DataFrame:
+    """(a, b, similarity) of all pairs of ``items`` (id, phash, dhash, audio, duration) at or above the threshold; with ``both``, those
+    that reach it from either side, and ``back``, the similarity from b to a.
 
     At 0.7 two lists may differ in 19 of 64 bits, which no index of hashes prunes without losing pairs; so all pairs are
     compared, in blocks. Only items whose durations can fit meet (logarithmic bands; unknown durations meet all). With
@@ -118,7 +127,7 @@ def pairs_above(items: DataFrame, threshold: float = 0.7, fresh: Column | None =
     rows = items.select("id", "phash", "dhash", "audio", "duration", (F.lit(True) if fresh is None else fresh).alias("fresh"))
     kind = items.schema["id"].dataType.simpleString()
     cells = B.in_cells(rows, known, F.col("fresh"))
-    return cells.groupBy("cell").applyInPandas(_compare(threshold, weights, audio_factor, ratio), f"a {kind}, b {kind}, similarity double")
+    return cells.groupBy("cell").applyInPandas(_compare(threshold, weights, audio_factor, ratio, both), f"a {kind}, b {kind}, similarity double" + ", back double" * both)
 
 
 def similar_pairs(items: DataFrame, threshold: float = 0.7, skip: DataFrame | None = None) -> DataFrame:
@@ -142,7 +151,7 @@ def recall(items: DataFrame, threshold: float = 0.7, bucket_count: int | None =
 
 def copy_links(items: DataFrame) -> DataFrame:
     """(a, b) from the representative of each signature to every other item that has it: a star, not all pairs."""
-    signed = stored(items.where("size(phash) + size(dhash) > 0").select("id", F.struct("phash", "dhash", "audio", "duration").alias("sig")), "signed")
+    signed = stored(items.where("coalesce(size(phash), 0) + coalesce(size(dhash), 0) > 0").select("id", F.struct("phash", "dhash", "audio", "duration").alias("sig")), "signed")
     heads = stored(signed.groupBy("sig").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     return with_one(signed, heads, ["sig"]).where("a < id").select("a", F.col("id").alias("b"))
 

@@ -254,3 +254,30 @@ def _(spark, sf_dir):
 @query("e8_space_report", "SELECT *, CASE WHEN wasted >= 1073741824 THEN 'high' WHEN wasted >= 104857600 THEN 'mid' ELSE 'low' END AS priority FROM (SELECT group_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS total, max(size) AS keep, CAST(sum(size) - max(size) AS BIGINT) AS wasted FROM detail GROUP BY group_id)", GROUPS)
 def _(spark, sf_dir):
     return G.space_report(detail(spark, sf_dir))
+
+
+@query(
+    "j2_incremental_stream",
+    "SELECT a, b, round(similarity, 9) AS similarity FROM links",
+    "standing AS (SELECT id, phash, dhash, audio, duration FROM signature WHERE id % 7 <> 0 OR id % 14 = 0)," + pairs_sql("standing"),
+)
+def _(spark, sf_dir):
+    """Links after four arrivals: a third of the files with hash lists turned round, those as they are, every seventh file gone, and
+    half of these back; as a full scan of what is there has them."""
+    from uuid import uuid4
+
+    from mediasift.sources.shared import shared_dir, stored
+    from mediasift.streaming import incremental as I
+
+    folder = f"{shared_dir(spark)}/incremental-{uuid4().hex}"
+    files = X.media_file(spark, sf_dir).select("id", "path", "size", "mtime")
+    whole = stored(files.join(sig(spark, sf_dir).select("id", "phash", "dhash", "audio", "duration").hint("merge"), "id"), "signatures")
+    later = lambda rows, s: rows.withColumn("mtime", F.col("mtime") + s)
+    turned = whole.withColumns({c: F.when(F.col("id") % 3 == 0, F.transform(F.reverse(c), F.bitwise_not)).otherwise(F.col(c)) for c in ("phash", "dhash")})
+    gone = whole.where("id % 7 = 0").withColumns({"size": F.lit(None).cast("bigint")} | {c: F.lit(None).cast(whole.schema[c].dataType) for c in ("phash", "dhash", "audio", "duration")})
+    for rows in (turned, later(whole.where("id % 3 = 0"), 10), later(gone, 20), later(whole.where("id % 14 = 0"), 30)):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = I.signature_stream(spark, f"{folder}/in", whole.schema)
+        I.incremental_scan(stream, f"{folder}/store", f"{folder}/pairs", f"{folder}/progress", THRESHOLD).awaitTermination()
+    store = I.current_store(spark, f"{folder}/store", whole.schema)
+    return I.current_pairs(spark, f"{folder}/pairs", store, THRESHOLD).select("a", "b", r9("similarity"))

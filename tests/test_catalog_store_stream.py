@@ -109,71 +109,6 @@ def test_tampered_file_conflicts(spark):
     assert {r["source"]: r["restore"] for r in K.restorable(ledger, now).collect()} == {"s1": "ready", "s2": "conflict", "s3": "conflict"}
 
 
-def row(i, h, mtime=1.0):
-    return (i, f"/v/{i}.mp4", 10, mtime, [h], [h], None, 10.0)
-
-
-class Scan:
-    """A stream of files in a folder, run batch by batch."""
-
-    def __init__(self, spark, path):
-        self.spark, self.path = spark, path
-
-    def arrive(self, rows):
-        self.spark.createDataFrame(rows, I.SIGNATURE).coalesce(1).write.mode("append").parquet(str(self.path / "in"))
-        self.go()
-
-    def go(self):
-        stream = I.signature_stream(self.spark, str(self.path / "in"))
-        I.incremental_scan(stream, str(self.path / "store"), str(self.path / "pairs"), str(self.path / "ck")).awaitTermination(120)
-
-    def again(self, number):
-        """Forget that a batch was done, and start anew."""
-        for p in (self.path / "ck" / "commits").glob(f"*{number}*"):
-            p.unlink()
-        self.go()
-
-    def result(self):
-        from pyspark.sql.types import StructType
-
-        store = I.current_store(self.spark, str(self.path / "store"), StructType.fromDDL(I.SIGNATURE))
-        pairs = I.current_pairs(self.spark, str(self.path / "pairs"), store)
-        return sorted((r["id"], r["mtime"]) for r in store.collect()), sorted((r["a"], r["b"]) for r in pairs.collect())
-
-
-def test_incremental_stream(spark, tmp_path):
-    scan = Scan(spark, tmp_path)
-    scan.arrive([row(1, 5), row(2, -99)])
-    scan.arrive([row(3, 4), row(1, 5)])
-    once = scan.result()
-    assert once == ([(1, 1.0), (2, 1.0), (3, 1.0)], [(1, 3)])
-    scan.again(1)
-    assert scan.result() == once
-    (tmp_path / "pairs" / "batch=1").rename(tmp_path / "gone")  # as if it had died between both writes
-    scan.again(1)
-    assert scan.result() == once
-
-
-def test_changed_file_replaces_its_entry(spark, tmp_path):
-    scan = Scan(spark, tmp_path)
-    scan.arrive([row(1, 5), row(2, 4), row(3, 6)])
-    assert scan.result()[1] == [(1, 2), (1, 3), (2, 3)]
-    scan.arrive([row(1, -98, 9.0), row(4, -98)])
-    want = ([(1, 9.0), (2, 1.0), (3, 1.0), (4, 1.0)], [(1, 4), (2, 3)])
-    assert scan.result() == want
-    scan.again(1)
-    assert scan.result() == want
-
-
-def test_repeats_in_a_stream(spark, tmp_path):
-    rows = [(k, "2026-01-01 00:00:00", [k % 3]) for k in range(9)]
-    spark.createDataFrame(rows, "id long, t string, phash array<long>").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, t string, phash array<long>").parquet(str(tmp_path / "in")).withColumn("ts", F.to_timestamp("t"))
-    q = I.distinct_signatures(stream, "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("once").count() == 3
-
-
 def test_entry(spark):
     import __spark_entry__
 

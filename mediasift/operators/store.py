@@ -1,10 +1,16 @@
-"""The incremental signature store: one row for each path."""
+"""The incremental signature store: one row for each path.
+
+A store on disk is a folder of snapshots and a pointer file that names the current one. A write makes a new snapshot beside
+the others and moves the pointer when it is complete, so a store can be read, changed and saved to where it was read from, a
+failed write leaves it as it was, and readers that began before go on with what they had.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediasift.functions.hashes import to_hex
@@ -62,9 +68,93 @@ def hash_backup(store: DataFrame) -> DataFrame:
     return store.select("path", "name", "size", hexes("phash").alias("phash"), hexes("dhash").alias("dhash"), "duration", "width", "height")
 
 
-def save(store: DataFrame, path: str) -> None:
-    """Write the store without transient pixels."""
-    store.drop("frames", "pixels").write.mode("overwrite").parquet(path)
+def merge_counts(stores: list[DataFrame], key: str = "path") -> DataFrame:
+    """(store, added, total): what each store (by its place in the list) brings to :func:`merged`, and how many entries there are in all."""
+    every = reduce(DataFrame.unionByName, [s.select(key, F.lit(k).alias("store")) for k, s in enumerate(stores)])
+    first = every.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("store").alias("store")).groupBy("store").agg(F.count(F.lit(1)).alias("n"))
+    listed = stores[0].sparkSession.range(len(stores)).select(F.col("id").cast("int").alias("store"))
+    counted = listed.join(F.broadcast(first), "store", "left").select("store", F.coalesce("n", F.lit(0)).alias("added"))
+    return counted.select("store", "added", F.sum("added").over(Window.partitionBy()).alias("total"))  # one row a store
+
+
+def invalid_counts(store: DataFrame, catalog: DataFrame, columns: tuple[str, ...] = SEMANTIC, key: str = "path") -> DataFrame:
+    """One row: entries that :func:`without_invalid` removes and keeps, and the semantic fields that are lost with the former."""
+    now = catalog.select(key, F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    good = unchanged(F.col("_size"), F.col("_mtime"), F.col("size"), F.col("mtime"))
+    fields = sum((F.col(c).isNotNull().cast("long") for c in columns if c in store.columns), F.lit(0).cast("long"))
+    marked = store.join(now.hint("merge"), key, "left").select(good.alias("good"), fields.alias("fields"))
+    return marked.agg(F.count_if(~F.col("good")).alias("removed"), F.count_if("good").alias("kept"), F.coalesce(F.sum(F.when(~F.col("good"), F.col("fields"))), F.lit(0)).alias("lost_fields"))
+
+
+POINTER = "CURRENT"
+
+
+class _Folder:
+    """A folder in any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.gateway, self.jvm, self.path = spark.sparkContext._gateway, spark._jvm, path.rstrip("/")
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.at().getFileSystem(self.conf)
+
+    def at(self, name: str = ""):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at())) if self.fs.exists(self.at()) else []
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self.at(name)):
+            return None
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Give a file a new content, all at once."""
+        beside = f".{name}-{uuid4().hex}"
+        stream = self.fs.create(self.at(beside), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.at().toUri(), self.conf).rename(self.at(beside), self.at(name), how)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The name of the snapshot that a store's readers get now; None if nothing has been saved."""
+    return _Folder(spark, path).read(POINTER)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot of a store. It stays what it is while the store is saved anew (see ``keep`` of :func:`save`)."""
+    name = current(spark, path)
+    if name is None:
+        raise FileNotFoundError(f"no store at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{name}")
+
+
+def save(store: DataFrame, path: str, keep: int = 2) -> str:
+    """Write the store, without transient pixels, as a new snapshot, and make it the current one; returns its name.
+
+    ``store`` may have been read from there. Of older snapshots the newest stay, ``keep`` with the current one; others, and
+    what failed writes have left, are deleted. One writer at a time.
+    """
+    folder = _Folder(store.sparkSession, path)
+    numbers = [int(n.split("-")[1]) for n in folder.names() if n.startswith("snapshot-")]
+    name = f"snapshot-{max(numbers, default=0) + 1:08d}-{uuid4().hex}"
+    store.drop("frames", "pixels").write.parquet(f"{folder.path}/{name}")
+    before = folder.read(POINTER)
+    folder.replace(POINTER, name)
+    whole = [n for n in folder.names() if n.startswith("snapshot-") and folder.fs.exists(folder.at(f"{n}/_SUCCESS"))]
+    stay = {name, before, *sorted(whole)[-keep:]} if keep > 1 else {name}
+    for n in folder.names():
+        if n.startswith("snapshot-") and n not in stay:
+            folder.fs.delete(folder.at(n), True)
+    return name
 
 
 def health(store: DataFrame) -> DataFrame:

@@ -52,6 +52,34 @@ def _(spark, sf_dir):
     return T.merged([old(spark, sf_dir), new(spark, sf_dir)]).select("id", "size", "purpose")
 
 
+@query("a6_store_in_place", f"SELECT o.id, o.path, o.size, o.purpose, o.phash FROM store_old o JOIN store_new n USING (path) WHERE {VALID} UNION ALL SELECT id, path, size, purpose, phash FROM store_new WHERE path NOT IN (SELECT path FROM store_old)")
+def _(spark, sf_dir):
+    """A store that is written, rid of invalid entries where it lies, and merged with a newer one, again where it lies."""
+    from uuid import uuid4
+
+    from mediasift.sources.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/store-{uuid4().hex}"
+    T.save(old(spark, sf_dir), path)
+    T.save(T.without_invalid(T.load(spark, path), new(spark, sf_dir)), path)
+    fresh = new(spark, sf_dir).join(old(spark, sf_dir).select("path").hint("merge"), "path", "left_anti")
+    T.save(T.merged([T.load(spark, path), fresh]), path)
+    return T.load(spark, path).select("id", "path", "size", "purpose", "phash")
+
+
+LOST = " + ".join(f"(o.{c} IS NOT NULL)::INT" for c in T.SEMANTIC)
+
+
+@query("a9_invalid_counts", f"SELECT count(*) FILTER (NOT {VALID}) AS removed, count(*) FILTER ({VALID}) AS kept, CAST(coalesce(sum(CASE WHEN NOT {VALID} THEN {LOST} END), 0) AS BIGINT) AS lost_fields FROM store_old o LEFT JOIN store_new n USING (path)")
+def _(spark, sf_dir):
+    return T.invalid_counts(old(spark, sf_dir), new(spark, sf_dir))
+
+
+@query("a11_merge_counts", "SELECT store, added, CAST(sum(added) OVER () AS BIGINT) AS total FROM (SELECT 0 AS store, count(*) AS added FROM store_old UNION ALL SELECT 1, count(*) FROM store_new WHERE path NOT IN (SELECT path FROM store_old))")
+def _(spark, sf_dir):
+    return T.merge_counts([old(spark, sf_dir), new(spark, sf_dir)])
+
+
 @query("a12_clear_semantic", "SELECT count(*) AS entries, count(purpose) AS cleared, count(*) FILTER (len(phash) > 0) AS hashed FROM store_old")
 def _(spark, sf_dir):
     s = old(spark, sf_dir)

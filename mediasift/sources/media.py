@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.functions.hashes import from_hex
+from mediasift.operators.joins import with_one
+from mediasift.sources import listing as L
+from mediasift.sources.listing import reachable
+from mediasift.sources.shared import stored
 
 #: Fixed values.
 EXTENSIONS = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "flv")
@@ -13,20 +20,42 @@ SKIPPED_FOLDERS = ("__pycache__",)
 VERSIONS = ("2.0", "2.1", "2.2", "2.3", "2.4.0", "2.5", "2.6")
 
 
-def scan(spark: SparkSession, roots: list[str], recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = (), least: int = 1, most: int | None = None) -> DataFrame:
-    """(path, name, dir, ext, size, mtime) of the media files under some roots; contents are not read.
+def _listed(spark: SparkSession, roots: list[str], recursive: bool, extensions: tuple[str, ...], exclude: tuple[str, ...], least: int, most: int | None) -> DataFrame:
+    """Files under each root, with that ``root``, listed by the executors."""
+    spark.dataSource.register(L.MediaListing)
+    options = {"roots": json.dumps(roots), "recursive": str(recursive).lower(), "extensions": json.dumps(extensions), "exclude": json.dumps(exclude), "least": str(least), "prefixes": str(L.PREFIXES)}
+    return spark.read.format("media_listing").options(**options, **({} if most is None else {"most": str(most)})).load()
 
-    Hidden and ``~$`` names, skipped and excluded folders (any part of the path, case does not count), empty files and
-    sizes outside the bounds are left out. Size bounds reach the listing as predicates.
-    """
+
+def _listed_by_spark(spark: SparkSession, roots: list[str], recursive: bool, extensions: tuple[str, ...], exclude: tuple[str, ...], least: int, most: int | None) -> DataFrame:
+    """The same by Spark's own reader of binary files, which holds the whole listing on the driver: for file systems that only Spark reaches."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots).drop("content")
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = listing.select(path.alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("us"))
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.select("path", name.alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), "size", (F.col("us") / 1e6).alias("mtime"))
-    bad = F.arrays_overlap(F.split(F.lower("dir"), "/"), F.array(*[F.lit(x.lower()) for x in (*SKIPPED_FOLDERS, *exclude)]))
-    good = F.col("ext").isin(*extensions) & ~bad & ~F.col("name").startswith(".") & ~F.col("name").startswith("~$") & (F.col("size") >= max(1, least))
-    return rows.where(good if most is None else good & (F.col("size") <= most))
+    root = F.coalesce(*[F.when(F.startswith("path", F.lit(f"{re.sub('^file:/+', '/', r)}/")), F.lit(r)) for r in sorted(roots, key=len, reverse=True)])
+    bad = F.arrays_overlap(F.split(F.lower("dir"), "/"), F.array(*map(F.lit, exclude))) if exclude else F.lit(False)
+    return rows.withColumn("root", root).where(F.col("ext").isin(*extensions) & ~bad & (F.col("size") >= least) & (F.lit(True) if most is None else F.col("size") <= most))
+
+
+def scan(spark: SparkSession, roots: list[str], recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = (), least: int = 1, most: int | None = None) -> DataFrame:
+    """(path, name, dir, ext, size, mtime) of the media files under some roots, once each; contents are not read.
+
+    Hidden and ``~$`` names, skipped and excluded folders (any part of the path, case does not count), empty files and
+    sizes outside the bounds are left out. Executors list the trees (:mod:`mediasift.sources.listing`) where Python reaches
+    the file system.
+    """
+    roots = list(dict.fromkeys(r.rstrip("/") or "/" for r in roots))
+    apart = [r for r in roots if not (recursive and any(o != r and r.startswith(f"{o.rstrip('/')}/") for o in roots))]
+    return _scan(spark, apart, recursive, extensions, exclude, least, most).drop("root")
+
+
+def _scan(spark, roots, recursive, extensions, exclude, least, most) -> DataFrame:
+    left_out = tuple(x.lower() for x in (*SKIPPED_FOLDERS, *exclude))
+    listed = _listed if all(map(reachable, roots)) else _listed_by_spark
+    rows = listed(spark, roots, recursive, tuple(x.lower() for x in extensions), left_out, max(1, least), most)
+    return rows.where(~F.col("name").startswith(".") & ~F.col("name").startswith("~$"))
 
 
 def simple_scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -43,30 +72,43 @@ def _there(spark: SparkSession, root: str) -> bool:
 def batch_scan(spark: SparkSession, listing: str) -> tuple[DataFrame, DataFrame]:
     """(files with their ``root``, (root, status, files, bytes)) of the directories in a text file; ``#`` starts a comment.
 
-    A directory that isn't there has the status ``missing`` and no files; the others (``ok``) are scanned all the same.
+    A directory that isn't there has the status ``missing`` and no files; the others (``ok``) are scanned all the same, each by
+    itself: a file in a directory that lies in another one counts for both.
     """
     roots = [r["value"].strip() for r in spark.read.text(listing).collect()]  # a hand-written list
-    roots = [r.rstrip("/") for r in roots if r and not r.startswith("#")]
+    roots = list(dict.fromkeys(r.rstrip("/") for r in roots if r and not r.startswith("#")))
     found = {r: _there(spark, r) for r in roots}
     good = [r for r in roots if found[r]]
-    files = scan(spark, good) if good else spark.createDataFrame([], "path string, name string, dir string, ext string, size long, mtime double")
-    root = F.coalesce(*[F.when(F.startswith("path", F.lit(f"{r}/")), F.lit(r)) for r in sorted(roots, key=len, reverse=True)])
-    files = files.withColumn("root", root)
+    files = _scan(spark, good, True, EXTENSIONS, (), 1, None) if good else spark.createDataFrame([], L.SCHEMA)
     counted = files.groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     every = spark.createDataFrame([(r, "ok" if found[r] else "missing") for r in roots], "root string, status string")
     return files, every.join(F.broadcast(counted), "root", "left").select("root", "status", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
+#: What stands between two entries of a store that is written with an indent of two: no text in it can hold a line break.
+BETWEEN = '\n  },\n  "'
+
+
 def legacy_store(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Import of a JSON store (one or several parts, also gzipped): hex hashes become lists of BIGINT.
 
-    Keys that begin with ``_`` are no entries. A part of an unknown version, or one that can't be read, gives no rows.
+    Keys that begin with ``_`` are no entries. A part of an unknown version, or one that can't be read to its end, gives no rows.
+    Parts with an indent of two, as such stores are written, are cut between entries and may be read by many tasks, wherever Spark
+    splits the file; a part in any other layout is one row. A gzipped part is one task.
     """
     entry = "struct<size:bigint,mtime:double,md5:string,phash:array<string>,dhash:array<string>,audio:array<string>,duration:double,width:int,height:int,fps:double>"
-    whole = spark.read.text(paths, wholetext=True).select("value", F.get_json_object("value", "$._version").alias("version"))
-    known = whole.where(F.col("version").isNull() | F.col("version").isin(*VERSIONS))
-    parts = known.select(F.explode(F.from_json("value", "map<string,string>")).alias("path", "json")).where("not startswith(path, '_')")
-    e = parts.select("path", F.from_json("json", entry).alias("e")).where("e is not null").select("path", "e.*")
+    cut = spark.read.option("lineSep", BETWEEN).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    cut = cut.select("file", "value", F.rtrim("value", F.lit(" \t\r\n")).alias("bare"))
+    first, last = F.startswith(F.ltrim("bare", F.lit(" \t\r\n\ufeff")), F.lit("{")), F.endswith("bare", F.lit("}"))
+    whole = F.concat(F.when(first, "").otherwise('{"'), "bare", F.when(last, "").otherwise("}}"))
+    read = cut.select("file", first.cast("int").alias("first"), last.cast("int").alias("last"), F.from_json(whole, "map<string,string>").alias("entries"))
+    read = stored(read, "store-entries")
+    version = F.try_element_at("entries", F.lit("_version"))
+    parts = read.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("entries").isNull()).alias("unread"), F.sum("first").alias("firsts"), F.sum("last").alias("lasts"), F.max(version).alias("version"))
+    good = parts.where((F.col("unread") == 0) & (F.col("firsts") == 1) & (F.col("lasts") == 1) & (F.col("version").isNull() | F.col("version").isin(*VERSIONS)))
+    rows = with_one(read, stored(good.select("file", "n"), "good-parts"), ["file"])
+    entries = rows.select(F.explode("entries").alias("path", "json")).where("not startswith(path, '_')")
+    e = entries.select("path", F.from_json("json", entry).alias("e")).where("e is not null").select("path", "e.*")
     hexes = lambda c: F.transform(c, lambda x: from_hex(x))
     return e.withColumns({c: hexes(c) for c in ("phash", "dhash", "audio")})
 

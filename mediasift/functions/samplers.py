@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 def uniform_places(total: Column, n: int, low: float = 0.1, high: float = 0.9) -> Column:
     """Array of at most ``n`` evenly spaced places between the shares ``low`` and ``high`` of ``total``, at least one; null for a null.
 
-    ``total`` is worked out once: it may be costly (the length of a text), and the places are made from it one by one."""
+    ``total`` may be costly (the length of a text), so it isn't worked out anew for each place: it is the element that a place is made from.
+    """
 
-    def places(t: Column) -> Column:
+    def place(t: Column, i: Column) -> Column:
         start = F.floor(t * low)
         span = F.greatest(F.lit(1).cast("long"), F.least(t.cast("long"), F.floor(t * high)) - start)
         k = F.least(F.lit(n).cast("long"), span)
-        return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: (start + F.floor(span * i / k)).cast("int"))
+        return F.when(i < k, (start + F.floor(span * i / k)).cast("int"))
 
-    return F.get(F.transform(F.array(total), places), F.lit(0))
+    places = F.filter(F.transform(F.array_repeat(total, n), place), lambda p: p.isNotNull())
+    return F.when(total.isNotNull(), places)
 
 
 def check_places(total: Column, fps: Column, duration: Column, n: int = 5) -> Column:

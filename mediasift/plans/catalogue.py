@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediasift.plans import q_frames, q_labels, q_pairs, q_scalars, q_semantic, q_store
+from mediasift.plans import q_frames, q_labels, q_pairs, q_reports, q_scalars, q_semantic, q_store
 from mediasift.plans.registry import QUERIES, SQL
 
-MODULES = (q_pairs, q_scalars, q_labels, q_semantic, q_store, q_frames)
+MODULES = (q_pairs, q_scalars, q_labels, q_semantic, q_store, q_frames, q_reports)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

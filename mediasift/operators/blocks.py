@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from mediasift.sources.shared import stored
 
-BLOCK_ITEMS = 2048
+#: Items of a block: as few as the first while there are few blocks, so that there is work for all tasks; up to the second, so that an item is
+#: copied to few cells.
+BLOCK_ITEMS, MOST_ITEMS = 2048, 1 << 16
+#: Blocks of a band before they grow.
+FEW_BLOCKS = 8
 #: Distances held at once.
 TILE = 8 << 20
 
 
-def in_cells(items: DataFrame, band: Column | None = None, fresh: Column | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def in_cells(items: DataFrame, band: Column | None = None, fresh: Column | None = None, block_items: int = BLOCK_ITEMS, most_items: int = MOST_ITEMS) -> DataFrame:
     """``items`` (with ``id``), copied to the cells in which their blocks meet others, with ``cell`` and ``side`` (of the
     cell: 0, 1, or 2 if a block meets itself).
 
@@ -28,7 +32,9 @@ def in_cells(items: DataFrame, band: Column | None = None, fresh: Column | None
     """
     band, fresh = F.lit(None).cast("int") if band is None else band, F.lit(True) if fresh is None else fresh
     dealt = stored(items.select(F.struct(*items.columns).alias("row"), "id", band.alias("band"), fresh.alias("fresh")), "dealt")
-    sizes = stored(dealt.groupBy("band", "fresh").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_items)).cast("int").alias("blocks")), "block-counts")
+    n = F.count(F.lit(1))
+    blocks = F.greatest(F.least(F.ceil(n / F.lit(block_items)), F.lit(FEW_BLOCKS)), F.ceil(n / F.lit(most_items)))
+    sizes = stored(dealt.groupBy("band", "fresh").agg(blocks.cast("int").alias("blocks")), "block-counts")
     s, t = sizes.alias("s"), sizes.alias("t")
     near = F.col("s.band").isNull() | F.col("t.band").isNull() | (F.abs(F.col("s.band") - F.col("t.band")) <= 1)
     meets = s.join(F.broadcast(t), near & (F.col("s.fresh") | F.col("t.fresh")))  # bands by bands

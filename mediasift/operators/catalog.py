@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions import scalars as S
+from mediasift.operators.groups import ranked
 
 
 def glob_regex(rule: Column) -> Column:
@@ -18,8 +19,15 @@ def glob_regex(rule: Column) -> Column:
 def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that no rule matches by name or by path. Rules are a hand-written list; empty lines and ``#`` comments go.
 
-    All rules become one regular expression (an aggregate of one row), so that files are looked at once.
+    All rules become one regular expression (an aggregate of one row), so that files are looked at once. If the rules have a ``root``, those with
+    one hold for the files below it alone; there are as many expressions as roots.
     """
+    if "root" in rules.columns:
+        lines = rules.select(F.regexp_replace("root", "/+$", "").alias("root"), F.trim("rule").alias("rule")).where("rule <> '' and not startswith(rule, '#')")
+        of = lines.groupBy("root").agg(F.array_join(F.collect_set(glob_regex(F.col("rule"))), "|").alias("rules"))
+        one = of.agg(F.collect_list(F.struct("root", "rules")).alias("_rules"))
+        hit = F.exists("_rules", lambda r: (r["root"].isNull() | F.startswith(F.col("path"), F.concat(r["root"], F.lit("/")))) & (F.regexp_like(F.col("name"), r["rules"]) | F.regexp_like(F.col("path"), r["rules"])))
+        return files.crossJoin(F.broadcast(one)).where(~hit).drop("_rules")
     lines = rules.select(F.trim("rule").alias("rule")).where("rule <> '' and not startswith(rule, '#')")
     one = lines.agg(F.coalesce(F.array_join(F.collect_set(glob_regex(F.col("rule"))), "|"), F.lit("")).alias("_rules"))
     hit = (F.col("_rules") != "") & (F.expr("name rlike _rules") | F.expr("path rlike _rules"))
@@ -57,8 +65,7 @@ def target_manifest(files: DataFrame, root: str, category: Column, name: str = "
     """``files`` with ``target``: root/category/name, ``_dup1`` and so on before the extension of further files alike."""
     directory = F.concat(F.lit(f"{root}/"), category)
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    k = F.row_number().over(Window.partitionBy("_dir", name).orderBy("id"))
-    placed = files.withColumn("_dir", directory).withColumn("_k", k)
+    placed = ranked(files.withColumn("_dir", directory).withColumn("_at", F.struct("_dir", name)), "_at", [F.asc("id")], "_k").drop("_at")
     suffix = F.when(F.col("_k") > 1, F.concat(F.lit("_dup"), (F.col("_k") - 1).cast("string"))).otherwise("")
     return placed.withColumn("target", F.concat("_dir", F.lit("/"), stem, suffix, ext)).drop("_dir", "_k")
 

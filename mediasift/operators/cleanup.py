@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions.scalars import mask_path
 from mediasift.operators.catalog import without_protected
+from mediasift.operators.groups import ranked
+from mediasift.operators.joins import with_one
 from mediasift.operators.store import unchanged
+from mediasift.sources.shared import stored
 
 
 def plan(marked: DataFrame, folders: DataFrame, action: str = "move") -> DataFrame:
@@ -16,6 +19,14 @@ def plan(marked: DataFrame, folders: DataFrame, action: str = "move") -> DataFra
     return gone.select("group_id", "id", "path", "size", "mtime", F.lit(action).alias("action"))
 
 
+def links(marked: DataFrame) -> DataFrame:
+    """(source, target): each member that goes, and the retained one of its group that a link would lead to; groups may be of any size."""
+    members = stored(marked.select("group_id", "path", "retained"), "linked-members")
+    kept = members.groupBy("group_id").agg(F.max(F.when(F.col("retained"), F.col("path"))).alias("target"), F.count(F.lit(1)).alias("n"))
+    gone = with_one(members, stored(kept, "link-targets"), ["group_id"]).where("not retained and path <> target")
+    return gone.select(F.col("path").alias("source"), "target")
+
+
 def validated(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """``items`` with ``status``: ready, changed or missing in the catalog of now."""
     now = catalog.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
@@ -26,14 +37,13 @@ def validated(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def execution(valid: DataFrame, operation: str, trash: str = "trash") -> DataFrame:
-    """Ledger rows of the ready items: target trash/operation/00000_name, numbered within their folder's part of the plan.
-
-    Numbers run over groups of a plan (``group_id``) so that no task has to see the whole plan; the group is in the target.
-    """
-    ready = valid.where("status = 'ready'")
-    n = F.row_number().over(Window.partitionBy("group_id").orderBy("id")) - 1
+    """Ledger rows of the ready items: target trash/operation/00000_name, numbered over the whole plan by group and id; each task
+    numbers a range of it."""
+    ready = valid.where("status = 'ready'").withColumn("_plan", F.lit(0))
+    numbered = ranked(ready, "_plan", [F.asc("group_id"), F.asc("id")])
     name = F.element_at(F.split("path", "/"), -1)
-    return ready.withColumn("operation_id", F.lit(operation)).withColumn("target", F.concat(F.lit(f"{trash}/{operation}/"), F.col("group_id").cast("string"), F.lit("/"), F.format_string("%05d", n), F.lit("_"), name))
+    target = F.concat(F.lit(f"{trash}/{operation}/"), F.format_string("%05d", F.col("rank") - 1), F.lit("_"), name)
+    return numbered.withColumn("operation_id", F.lit(operation)).withColumn("target", target).drop("_plan", "rank")
 
 
 def restorable(ledger: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -111,8 +111,8 @@ def retention(members: DataFrame, strategy: str = "max_size") -> DataFrame:
     return ranked(marked, "group_id", [F.desc("retained"), F.desc("size"), F.asc("id")])
 
 
-def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """``rows`` with ``rank``, from 1 within each group in that order, however many rows a group has.
+def ranked(rows: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their rank as ``name``, from 1 within each group in that order, however many rows a group has.
 
     Rows are dealt to ranges of (group, order), so a large group lies in several tasks; each ranks its own part, and the
     parts' sizes, one row a task and group, give where it begins.
@@ -122,13 +122,16 @@ def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = sizes.select(group, "_part", before.alias("_before"))
     inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
-    return inside.join(begins.hint("merge"), [group, "_part"]).withColumn("rank", (F.col("_inside") + F.col("_before")).cast("long")).drop("_part", "_inside", "_before")
+    return inside.join(begins.hint("merge"), [group, "_part"]).withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).drop("_part", "_inside", "_before")
 
 
-def group_similarity(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(group_id, max_similarity); 1.0 for a group without a stored pair."""
-    of = links.join(members.select(F.col("id").alias("a"), "group_id").hint("merge"), "a").groupBy("group_id").agg(F.max("similarity").alias("s"))
-    return members.select("group_id").distinct().join(of.hint("merge"), "group_id", "left").select("group_id", F.coalesce("s", F.lit(1.0)).alias("max_similarity"))
+def group_similarity(links: DataFrame, members: DataFrame, min_sim: float = 0.0) -> DataFrame:
+    """(group_id, max_similarity) of the groups that reach ``min_sim``; 1.0 for a group without a stored pair. Links are reduced to one for each
+    first item before they meet the members, however many a star has."""
+    most = links.groupBy("a").agg(F.max("similarity").alias("s"))
+    of = most.join(members.select(F.col("id").alias("a"), "group_id").hint("merge"), "a").groupBy("group_id").agg(F.max("s").alias("s"))
+    every = members.select("group_id").distinct().join(of.hint("merge"), "group_id", "left").select("group_id", F.coalesce("s", F.lit(1.0)).alias("max_similarity"))
+    return every if min_sim <= 0 else every.where(F.col("max_similarity") >= min_sim)
 
 
 def similarity_level(s: Column) -> Column:

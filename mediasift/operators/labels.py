@@ -20,7 +20,8 @@ from mediasift.operators.joins import against
 W_HASH, W_MOTION, W_CLIP = 0.6, 0.4, 0.5
 SUSPECT, BETTER_BY, Z_LIMIT = 0.5, 0.1, 2.0
 STATIC_RATIO = 0.015
-BLOCK_ITEMS = 1024
+#: Items of a block, while there are few blocks and at most (an item carries its vector).
+LEAST_ITEMS, MOST_ITEMS = 1024, 1 << 14
 
 
 def motion_scale(items: DataFrame) -> DataFrame:
@@ -64,7 +65,13 @@ def _alike(x: pd.DataFrame, y: pd.DataFrame, scale: float, use_clip: bool) -> np
 
 def _cells(items: DataFrame) -> tuple[DataFrame, float]:
     rows = items.select("id", "label", "phash", "dhash", "motion_mean", "emb")
-    return B.in_cells(rows, block_items=BLOCK_ITEMS), float(motion_scale(items).first()["scale"])
+    return B.in_cells(rows, block_items=LEAST_ITEMS, most_items=MOST_ITEMS), float(motion_scale(items).first()["scale"])
+
+
+def _tiles(x: pd.DataFrame, y: pd.DataFrame) -> list[slice]:
+    """Slices of ``x`` whose similarities to all of ``y`` are held at once."""
+    longest = max((len(v) for c in ("phash", "dhash") for v in y[c] if v is not None), default=1)
+    return B.tiles(len(x), 4 * len(y) * max(1, longest))
 
 
 def label_pairs(items: DataFrame, use_clip: bool = True, least: float = 0.0) -> DataFrame:
@@ -73,12 +80,16 @@ def label_pairs(items: DataFrame, use_clip: bool = True, least: float = 0.0) ->
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x, y, same = B.sides(rows)
-        sim = _alike(x, y, scale, use_clip) if len(x) and len(y) else np.zeros((len(x), len(y)))
-        a, b = x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = np.nonzero((sim >= least) & ((a[:, None] < b[None]) if same else True))
-        swap = a[i] > b[j]
-        la, lb = x["label"].to_numpy()[i], y["label"].to_numpy()[j]
-        return pd.DataFrame({"a": np.where(swap, b[j], a[i]), "b": np.where(swap, a[i], b[j]), "a_label": np.where(swap, lb, la), "b_label": np.where(swap, la, lb), "sim": sim[i, j]})
+        out = [pd.DataFrame({"a": [], "b": [], "a_label": [], "b_label": [], "sim": []})]
+        for cut in _tiles(x, y) if len(y) else []:
+            part = x.iloc[cut]
+            sim = _alike(part, y, scale, use_clip)
+            a, b = part["id"].to_numpy(), y["id"].to_numpy()
+            i, j = np.nonzero((sim >= least) & ((a[:, None] < b[None]) if same else True))
+            swap = a[i] > b[j]
+            la, lb = part["label"].to_numpy()[i], y["label"].to_numpy()[j]
+            out.append(pd.DataFrame({"a": np.where(swap, b[j], a[i]), "b": np.where(swap, a[i], b[j]), "a_label": np.where(swap, lb, la), "b_label": np.where(swap, la, lb), "sim": sim[i, j]}))
+        return pd.concat(out[1:] or out)
 
     kind, label = (items.schema[c].dataType.simpleString() for c in ("id", "label"))
     return cells.groupBy("cell").applyInPandas(run, f"a {kind}, b {kind}, a_label {label}, b_label {label}, sim double")
@@ -86,25 +97,32 @@ def label_pairs(items: DataFrame, use_clip: bool = True, least: float = 0.0) ->
 
 def label_sums(items: DataFrame, use_clip: bool = True) -> DataFrame:
     """(id, label, other, total, n, least): of every item, over all items of every label (itself left out), the sum of the
-    similarities, their number and the smallest. Pairs are summed where they meet and never become rows."""
+    similarities, their number and the smallest. Pairs are summed where they meet, a tile at a time, and never become rows."""
     cells, scale = _cells(items)
 
-    def summed(x: pd.DataFrame, labels: np.ndarray, sim: np.ndarray, use: np.ndarray) -> list[pd.DataFrame]:
-        out = []
-        for name in np.unique(labels):
-            s, u = sim[:, labels == name], use[:, labels == name]
-            some = u.any(axis=1)
-            out.append(pd.DataFrame({"id": x["id"], "label": x["label"], "other": name, "total": np.where(u, s, 0.0).sum(axis=1), "n": u.sum(axis=1), "least": np.where(u, s, 2.0).min(axis=1)})[some])
-        return out
+    def summed(x: pd.DataFrame, name, total: np.ndarray, n: np.ndarray, least: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"id": x["id"], "label": x["label"], "other": name, "total": total, "n": n, "least": least})[n > 0]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x, y, same = B.sides(rows)
         out = [pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": [], "least": []})]
-        if len(x) and len(y):
-            sim = _alike(x, y, scale, use_clip)
-            use = ~np.eye(len(x), dtype=bool) if same else np.ones(sim.shape, bool)
-            out = summed(x, y["label"].to_numpy(), sim, use) + ([] if same else summed(y, x["label"].to_numpy(), sim.T, use.T)) or out
-        return pd.concat(out)
+        back = {name: [np.zeros(len(y)), np.zeros(len(y), np.int64), np.full(len(y), 2.0)] for name in x["label"].unique()}
+        theirs = y["label"].to_numpy()
+        for cut in _tiles(x, y) if len(y) else []:
+            part = x.iloc[cut]
+            sim = _alike(part, y, scale, use_clip)
+            use = np.arange(len(x))[cut, None] != np.arange(len(y)) if same else np.ones(sim.shape, bool)
+            for name in np.unique(theirs):
+                s, u = sim[:, theirs == name], use[:, theirs == name]
+                out.append(summed(part, name, np.where(u, s, 0.0).sum(axis=1), u.sum(axis=1), np.where(u, s, 2.0).min(axis=1)))
+            mine = part["label"].to_numpy()
+            for name in np.unique(mine) if not same else ():
+                s, sums = sim[mine == name], back[name]
+                sums[0] += s.sum(axis=0)
+                sums[1] += len(s)
+                sums[2] = np.minimum(sums[2], s.min(axis=0))
+        out += [summed(y, name, *sums) for name, sums in back.items()] if not same else []
+        return pd.concat(out[1:] or out)
 
     kind, label = (items.schema[c].dataType.simpleString() for c in ("id", "label"))
     parts = cells.where("label is not null").groupBy("cell").applyInPandas(run, f"id {kind}, label {label}, other {label}, total double, n long, least double")
@@ -183,6 +201,15 @@ def grade(items: Column, n_suspects: Column, mixed: Column, groups: Column) -> C
     return F.when((n_suspects == 0) & (mixed == 0), "A").when(few, "B").otherwise("C")
 
 
+def merged_suspects(found: DataFrame, negative: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, label, score, reasons, suggested, gap): suspects (:func:`suspects`) and items that :func:`negatives` doubts, once each. The latter
+    have the reason ``negative:token`` behind any others; one that is no suspect otherwise has no score."""
+    doubted = negative.select("id", F.concat(F.lit("negative:"), "token").alias("_why"), "gap").join(items.select("id", F.col("label").alias("_label")).hint("merge"), "id")
+    both = found.join(doubted.hint("merge"), "id", "full")
+    reasons = F.concat_ws(";", "reasons", "_why")
+    return both.select("id", F.coalesce("label", "_label").alias("label"), "score", reasons.alias("reasons"), F.coalesce("suggested", F.lit("")).alias("suggested"), "gap")
+
+
 def negatives(items: DataFrame, prompts: DataFrame, empty: DataFrame, marker: str = "neg", margin: float = 0.03) -> DataFrame:
     """(id, token, gap) of items marked as negative whose best behaviour prompt beats the empty scene by the margin.
 

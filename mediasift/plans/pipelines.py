@@ -27,11 +27,18 @@ def groups_of(items: DataFrame, threshold: float, floor: float | None = None, st
     return {"links": links, "members": marked, "similarity": G.group_similarity(links, marked.select("group_id", "id")), "space": G.space_report(marked)}
 
 
-def dedup_scan(catalog: DataFrame, store: DataFrame, compute, rule: str | None = None, threshold: float = 0.7, floor: float | None = None, strategy: str = "max_size") -> dict[str, DataFrame]:
-    """Catalog and store to duplicate groups. ``compute`` makes signature rows of the files that the store lacks."""
+def dedup_scan(catalog: DataFrame, store: DataFrame, compute, rule: str | None = None, threshold: float = 0.7, floor: float | None = None, strategy: str = "max_size", purposes: tuple[str, ...] | None = None, least_quality: float | None = None) -> dict[str, DataFrame]:
+    """Catalog and store to duplicate groups. ``compute`` makes signature rows of the files that the store lacks.
+
+    Before pairs are made, items go that ``rule`` does not hold for, those of other ``purposes``, and analysed ones of less than
+    ``least_quality`` (without a score: 1); items that have not been analysed pass the latter. Both read ``purpose`` and ``quality_score`` of
+    the signatures.
+    """
     new = compute(T.to_compute(catalog, store))
     current = stored(T.merged([new, T.without_invalid(store, catalog)]), "signatures")
     kept = current if rule is None else current.where(S.duration_filter(rule, F.col("duration")))
+    kept = kept if purposes is None else kept.where(F.col("purpose").isin(*purposes))
+    kept = kept if least_quality is None else kept.where(F.coalesce("quality_score", F.lit(1.0)) >= least_quality)
     out = groups_of(kept, threshold, floor, strategy)
     return out | {"store": current, "summary": R.scan_summary(catalog, out["members"])}
 

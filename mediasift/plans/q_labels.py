@@ -153,6 +153,48 @@ def _(spark, sf_dir):
     return resolve(given).select("id", "verdict", "final")
 
 
+def _given(spark, sf_dir):
+    """Verdicts on the suspects, in turn."""
+    _, _, means, stats = _all(spark, sf_dir)
+    found = L.suspects(means, stats, THRESHOLD).withColumn("all", F.lit(0))
+    ranked = G.ranked(found, "all", [F.asc("score"), F.asc("id")]).withColumnRenamed("rank", "k")
+    verdict = F.element_at(F.array(*map(F.lit, ("ok", "wrong", "manual", "skip"))), (F.col("k") % 4 + 1).cast("int"))
+    return ranked.select("id", F.col("label").alias("orig"), "suggested", verdict.alias("verdict"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("manual"))
+
+
+@query("e30_review_counts", f"SELECT verdict, count(*) AS n, count(*) FILTER (final <> '' AND verdict <> 'skip') AS resolved, count(*) FILTER (final <> '' AND verdict <> 'skip' AND final <> label) AS changed FROM (SELECT label, {VERDICT} AS verdict, CASE k % 4 WHEN 0 THEN label WHEN 1 THEN coalesce(suggested, '') WHEN 2 THEN 'm' || id ELSE '' END AS final FROM picked) GROUP BY verdict", LABELS + SUSPECTS)
+def _(spark, sf_dir):
+    from mediasift.operators.review import resolution_counts
+
+    return resolution_counts(_given(spark, sf_dir))
+
+
+DOUBTED = "dou AS (SELECT id, arg_max(token, s) AS token, max(s) - any_value(e) AS gap FROM ns GROUP BY id HAVING max(s) - any_value(e) > 0.03::DOUBLE),"
+
+
+@query("d16_merged_suspects", "SELECT id, coalesce(s.label, i.label) AS label, round(score, 6) AS score, concat_ws(';', s.reasons, 'negative:' || token) AS reasons, coalesce(suggested, '') AS suggested, round(gap, 6) AS gap FROM (SELECT * FROM sus WHERE reasons <> '') s FULL JOIN dou USING (id) JOIN (SELECT id, label FROM label_signature) i USING (id)", LABELS + PROMPTS + DOUBTED)
+def _(spark, sf_dir):
+    items, prompts = _prompts(spark, sf_dir)
+    odd = F.expr("cast(substr(label, 2) as int) % 2 = 1")
+    named = items.withColumn("label", F.concat("label", F.when(odd, "-neg-night").otherwise("-pos-daytime")))
+    doubted = L.negatives(named, prompts, items.where("id = 499").select("emb"))
+    _, _, means, stats = _all(spark, sf_dir)
+    merged = L.merged_suspects(L.suspects(means, stats, THRESHOLD), doubted, items)
+    return merged.withColumns({"score": F.round("score", 6), "gap": F.round("gap", 6)})
+
+
+@query("g1_lowest_suspects", f"SELECT * FROM ({SUSPECTED}) ORDER BY score, id LIMIT 10", LABELS)
+def _(spark, sf_dir):
+    _, _, means, stats = _all(spark, sf_dir)
+    return L.suspects(means, stats, THRESHOLD).withColumn("score", F.round("score", 6)).orderBy("score", "id").limit(10)
+
+
+@query("g1_confusion", "SELECT least(la, lb) AS label_a, greatest(la, lb) AS label_b, round(avg(sim), 6) AS sim FROM lp WHERE la <> lb GROUP BY 1, 2 ORDER BY round(avg(sim), 6) DESC, 1, 2 LIMIT 15", LABELS)
+def _(spark, sf_dir):
+    _, sums, _, _ = _all(spark, sf_dir)
+    return L.confusion(sums).withColumn("sim", F.round("sim", 6)).orderBy(F.desc("sim"), "label_a", "label_b").limit(15)
+
+
 HEALTH = MARKED + LABELS
 
 

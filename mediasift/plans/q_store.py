@@ -141,9 +141,7 @@ def _(spark, sf_dir):
 
 @query("b19_link_manifest", "SELECT m.path AS source, r.path AS target FROM marked m JOIN marked r USING (group_id) WHERE r.retained AND NOT m.retained AND m.path <> r.path", MARKED)
 def _(spark, sf_dir):
-    m = q_pairs.marked(spark, sf_dir)
-    keep = m.where("retained").select("group_id", F.col("path").alias("target"))
-    return m.where("not retained").select("group_id", F.col("path").alias("source")).join(keep.hint("merge"), "group_id").where("source <> target").select("source", "target")
+    return K.links(q_pairs.marked(spark, sf_dir))
 
 
 @query("e9_scan_summary", "SELECT (SELECT count(*) FROM media_file) AS files, (SELECT count(DISTINCT group_id) FROM members) AS groups, (SELECT count(*) FROM marked WHERE NOT retained) AS redundant, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM marked WHERE NOT retained) AS reclaimable_bytes, CASE WHEN (SELECT count(*) FROM members) > 0 THEN 1 ELSE 0 END AS exit_code", MARKED)
@@ -266,7 +264,7 @@ def _(spark, sf_dir):
     return K.validated(_plan(spark, sf_dir), _catalog(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-LEDGER = PLAN + "ledger AS (SELECT id, path, size, 'op' || group_id % 4 AS operation_id, 1700000000.0::DOUBLE + group_id % 60 * 86400 AS created_at, 'trash/op/' || group_id || '/' || printf('%05d', row_number() OVER (PARTITION BY group_id ORDER BY id) - 1) || '_' || name AS target FROM val WHERE status = 'ready'),"
+LEDGER = PLAN + "ledger AS (SELECT id, path, size, 'op' || group_id % 4 AS operation_id, 1700000000.0::DOUBLE + group_id % 60 * 86400 AS created_at, 'trash/op/' || printf('%05d', row_number() OVER (ORDER BY group_id, id) - 1) || '_' || name AS target FROM val WHERE status = 'ready'),"
 
 
 def _ledger(spark, sf_dir):

@@ -32,15 +32,18 @@ def lsh_candidates(items: DataFrame, bucket_count: int | None = None, hash_list:
     """(a_*, b_*) of the items whose first hash agrees in a band, once for each pair (in its lowest common band).
 
     Candidates alone: what is alike beyond a band's bits is not among them (:func:`recall` measures how much), and no
-    similarity is worked out. Items without a hash share a bucket of their own. ``bucket_count`` folds bands to so many
+    similarity is worked out. Items without a hash have nothing to be compared by: they are no pairs of each other, but a star, the first of
+    them with each of the others. ``bucket_count`` folds bands to so many
     values; None keeps their 16 bits. Ids and bands meet first, the other columns are fetched for the pairs.
     """
-    keys = F.when(F.size(hash_list) > 0, H.band_keys(F.get(hash_list, 0), bucket_count)).otherwise(F.array(F.lit(-1).cast("long")))
+    keys = F.when(F.coalesce(F.size(hash_list), F.lit(0)) > 0, H.band_keys(F.get(hash_list, 0), bucket_count))
     keyed = stored(items.select("id", keys.alias("_keys")), "band-keys")
+    bare = keyed.where("_keys is null").select("id")
+    star = bare.crossJoin(F.broadcast(bare.agg(F.min("id").alias("a")))).where("a < id").select("a", F.col("id").alias("b"))  # by one row
     banded = keyed.select("*", F.posexplode("_keys").alias("_band", "_key"))
     same = (F.col("a._band") == F.col("b._band")) & (F.col("a._key") == F.col("b._key")) & (F.col("a.id") < F.col("b.id"))
     lowest = F.array_position(F.zip_with("a._keys", "b._keys", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(True)) == F.col("a._band") + 1
-    found = _both(banded, banded, same & lowest).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    found = _both(banded, banded, same & lowest).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).unionByName(star)
     rest = [c for c in items.columns if c != "id"]
     for side in "ab" if rest else "":
         found = found.join(items.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in rest]).hint("merge"), side)

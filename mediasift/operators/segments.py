@@ -9,32 +9,55 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.hashes import BITS
 from mediasift.operators.blocks import tiles
+from mediasift.operators.groups import ranked
+from mediasift.operators.joins import with_one
 from mediasift.sources.shared import stored
 
+#: Seconds of a block of an item.
+BLOCK_SECONDS = 4096
+
 
 def _nearest(parts):
-    """For each second of a, the first of the most similar seconds of b; distances are worked out in tiles."""
+    """For each second of a block of a, the first of the most similar seconds of a block of b; distances are worked out in tiles."""
     for part in parts:
-        out = []
+        out = [pd.DataFrame({"a": [], "b": [], "t1": [], "gap": [], "t2": []})]
         for a, b, t1, h1, t2, h2 in zip(*(part[c] for c in ("a", "b", "ta", "ha", "tb", "hb")), strict=True):
             x, y = np.asarray(h1, np.int64).view(np.uint64), np.asarray(h2, np.int64).view(np.uint64)
             for cut in tiles(len(x), len(y)):
                 d = np.bitwise_count(x[cut, None] ^ y[None])
-                best = d.argmin(axis=1)
-                out.append(pd.DataFrame({"a": a, "b": b, "t1": np.asarray(t1)[cut], "t2": np.asarray(t2)[best], "sim": 1 - d.min(axis=1) / BITS}))
-        yield pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "t1": [], "t2": [], "sim": []})
+                out.append(pd.DataFrame({"a": a, "b": b, "t1": np.asarray(t1)[cut], "gap": d.min(axis=1).astype(np.int32), "t2": np.asarray(t2)[d.argmin(axis=1)]}))
+        yield pd.concat(out[1:] or out)
 
 
-def best_matches(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+def best_matches(pairs: DataFrame, samples: DataFrame, block: int = BLOCK_SECONDS) -> DataFrame:
     """(a, b, t1, t2, sim): for each second of a, the most similar second of b (the first on ties). ``samples`` (id, t, h).
 
-    A pair is one row with the seconds of both items, which are as long as the items are.
+    Items lie in blocks of at most ``block`` seconds (by rank within the item), and each block of a meets each block of b in a row of its own, so
+    an item may be as long as it likes; the best of all blocks is found by a partial minimum. An item in very many
+    pairs is a hot key, and its blocks are joined as such.
     """
     ids, seconds = (t.schema[c].dataType.simpleString() for t, c in ((pairs, "a"), (samples, "t")))
-    lists = stored(samples.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("l")).select("id", "l.t", "l.h"), "seconds-of-items")
-    of = lambda side: lists.select(F.col("id").alias(side), F.col("t").alias(f"t{side}"), F.col("h").alias(f"h{side}")).hint("merge")
-    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", "ta", "ha", "tb", "hb").mapInPandas(_nearest, f"a {ids}, b {ids}, t1 {seconds}, t2 {seconds}, sim double")
+    wanted = stored(pairs.select("a", "b").distinct(), "pairs")
+    used = wanted.select(F.col("a").alias("id")).unionByName(wanted.select(F.col("b").alias("id"))).distinct()
+    numbered = ranked(samples.select("id", "t", "h").join(used.hint("merge"), "id", "left_semi"), "id", [F.asc("t"), F.asc("h")], "k")
+    lists = numbered.groupBy("id", F.floor((F.col("k") - 1) / block).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("l"))
+    lists = stored(lists.select("id", "block", "l.t", "l.h"), "seconds-in-blocks")
+    counts = stored(lists.groupBy("id").agg(F.count(F.lit(1)).alias("blocks")), "blocks-of-items")
+    cells = wanted
+    for side in "ab":  # how many blocks each item has, around those in very many pairs
+        often = wanted.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        one = counts.select(F.col("id").alias(side), F.col("blocks").alias(f"blocks_{side}")).join(often.hint("merge"), side)
+        cells = stored(with_one(cells, stored(one, "blocks-of-side"), [side]), "pairs-with-blocks")
+    cells = cells.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a").cast("int") - 1)))
+    cells = stored(cells.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b").cast("int") - 1))).select("a", "b", "block_a", "block_b"), "cells")
+    for side in "ab":
+        often = cells.groupBy(side, f"block_{side}").agg(F.count(F.lit(1)).alias("n"))
+        mine = lists.select(F.col("id").alias(side), F.col("block").alias(f"block_{side}"), F.col("t").alias(f"t{side}"), F.col("h").alias(f"h{side}"))
+        cells = with_one(cells, stored(mine.join(often.hint("merge"), [side, f"block_{side}"]), "blocks"), [side, f"block_{side}"])
+        cells = stored(cells, "cells") if side == "a" else cells
+    found = cells.select("a", "b", "ta", "ha", "tb", "hb").mapInPandas(_nearest, f"a {ids}, b {ids}, t1 {seconds}, gap int, t2 {seconds}")
+    best = found.groupBy("a", "b", "t1").agg(F.min(F.struct("gap", "t2")).alias("m"))
+    return best.select("a", "b", "t1", F.col("m.t2").alias("t2"), (1 - F.col("m.gap") / F.lit(float(BITS))).alias("sim"))
 
 
 def similar_intervals(matches: DataFrame, threshold: float) -> DataFrame:

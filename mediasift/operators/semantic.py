@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediasift.operators.joins import against
 from mediasift.operators.labels import cosine, dot
+from mediasift.operators.kmeans import assigned, best_centres
 from mediasift.sources.shared import stored
 
 UNKNOWN = "unknown"
@@ -74,15 +75,9 @@ def classify_cluster_count(n: int) -> int:
 
 
 def kmeans(items: DataFrame, k: int, tries: int = 10, seed: int = 42, rounds: int = 300) -> DataFrame:
-    """(id, cluster): k-means on the vectors, the best of some seeds by training cost."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    items = stored(items.select("id", F.col("emb").cast("array<double>").alias("emb")), "vectors")  # read in every round of every try
-    rows = items.select("id", array_to_vector("emb").alias("features"))
-    models = [KMeans(k=k, seed=seed + t, maxIter=rounds).fit(rows) for t in range(tries)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select("id", F.col("prediction").cast("int").alias("cluster"))
+    """(id, cluster): k-means on the vectors, the best of some starts by cost (:mod:`mediasift.operators.kmeans`)."""
+    vectors = stored(items.where("emb is not null").select("id", F.col("emb").cast("array<double>").alias("emb")), "vectors")  # read in every round
+    return assigned(vectors, best_centres(vectors, k, tries, seed, rounds))
 
 
 def cluster_names(clusters: DataFrame, tags: DataFrame, most: int = 60) -> DataFrame:

@@ -52,6 +52,19 @@ def _(spark, sf_dir):
     return T.merged([old(spark, sf_dir), new(spark, sf_dir)]).select("id", "size", "purpose")
 
 
+@query("a5_legacy_store", "SELECT path, size, mtime, phash, dhash, audio, duration, width, height FROM store_old")
+def _(spark, sf_dir):
+    """The older store as JSON parts, read back."""
+    from uuid import uuid4
+
+    from mediasift.sources import media
+    from mediasift.sources.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/json-{uuid4().hex}"
+    media.write_legacy_store(old(spark, sf_dir), path)
+    return media.legacy_store(spark, path).select("path", "size", "mtime", "phash", "dhash", "audio", "duration", "width", "height")
+
+
 @query("a6_store_in_place", f"SELECT o.id, o.path, o.size, o.purpose, o.phash FROM store_old o JOIN store_new n USING (path) WHERE {VALID} UNION ALL SELECT id, path, size, purpose, phash FROM store_new WHERE path NOT IN (SELECT path FROM store_old)")
 def _(spark, sf_dir):
     """A store that is written, rid of invalid entries where it lies, and merged with a newer one, again where it lies."""

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.functions.hashes import from_hex
+from mediasift.functions.hashes import from_hex, to_hex
 from mediasift.operators.joins import with_one
 from mediasift.sources import listing as L
 from mediasift.sources.listing import reachable
@@ -85,6 +85,20 @@ def batch_scan(spark: SparkSession, listing: str) -> tuple[DataFrame, DataFrame]
     return files, every.join(F.broadcast(counted), "root", "left").select("root", "status", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
+def write_legacy_store(store: DataFrame, path: str, part_entries: int = 500, version: str = VERSIONS[-1]) -> None:
+    """Export as such a JSON store: parts of about ``part_entries`` entries (by a hash of the path), each in a folder of its own under ``path``."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+    hexes = lambda c: F.transform(c, lambda h: to_hex(h)).alias(c)
+    plain = [c for c in ("size", "mtime", "md5", "duration", "width", "height", "fps") if c in store.columns]
+    entry = F.to_json(F.struct(*plain, *[hexes(c) for c in ("phash", "dhash", "audio") if c in store.columns]))
+    entry = F.concat(F.lit("  "), quoted(F.col("path")), F.lit(": {\n    "), F.regexp_extract(entry, r"(?s)^\{(.*)\}$", 1), F.lit("\n  }"))
+    rows = stored(store.select("path", entry.alias("entry")), "json-entries")
+    parts = -(-rows.count() // part_entries) or 1
+    listed = rows.groupBy(F.pmod(F.xxhash64("path"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    whole = F.concat(F.lit(f'{{\n  "_version": "{version}",\n'), F.array_join("entries", ",\n"), F.lit("\n}"))
+    listed.select("part", whole.alias("value")).repartition("part").write.partitionBy("part").text(path)
+
+
 #: What stands between two entries of a store that is written with an indent of two: no text in it can hold a line break.
 BETWEEN = '\n  },\n  "'
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediasift.operators import nearest as N
 from mediasift.operators import segments as G
 from mediasift.operators import semantic as M
 from mediasift.plans import fixtures as X
@@ -46,6 +47,16 @@ def _(spark, sf_dir):
     return found.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("d17_search_all", f"SELECT query, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query, l.id, {dot('l.emb', 'q.emb')} / (sqrt({dot('l.emb', 'l.emb')}) * sqrt({dot('q.emb', 'q.emb')})) AS score FROM label_signature l, label_signature q WHERE l.id <> q.id)) WHERE rank <= 10")
+def _(spark, sf_dir):
+    e = items(spark, sf_dir).select("id", "emb")
+    index = N.fit(e, 10)
+    if index is None:
+        return e.select(F.col("id").alias("query"), "id", F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("score")).where("false")
+    found = N.search(index, e.select(F.col("id").alias("query"), "emb")).hits
+    return found.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("d18_keyword_search", "SELECT id, round(s / 3.0::DOUBLE, 6) AS score FROM (SELECT id, contains(t, 'street')::INT + contains(t, 'car')::INT + contains(t, 'moving')::INT AS s FROM (SELECT id, lower(concat_ws(' ', scene, object, action)) AS t FROM semantic)) WHERE s > 0")
 def _(spark, sf_dir):
     found = M.keyword_search(X.semantic(spark, sf_dir).withColumn("t", F.concat_ws(" ", "scene", "object", "action")), "t", "Street CAR moving")

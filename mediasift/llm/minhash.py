@@ -9,7 +9,8 @@
    buckets that still hold more than one component joined, across components alone, and only where the elements that
    each has in common with any other candidate, and the signatures, allow for the threshold; these pairs are verified
    too, so no link between components is lost that shares a bucket and whose signatures agree as they should (both fail
-   with a chance below 1e-7 at a threshold of 0.85). Buckets and classes of very many texts are split around hot keys.
+   with a chance below 1e-7 at a threshold of 0.85). Buckets and classes of very many texts are split around hot keys, and
+   the sets of pivots are copied for so many pairs each.
 4. Links are confirmed on the full sets, as integers. Components of the links, carried to all members of the classes,
    give one row for each document.
 """
@@ -33,6 +34,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: A pair at a threshold of 0.8 or more agrees in so much less of its slots with a chance below 1e-7.
 MARGIN = 0.18
+#: Pairs that meet one copy of a set.
+PAIRS_OF_A_COPY = 1000
 
 #: Elements whose permutations are held at once.
 PART = 1 << 17
@@ -193,9 +196,26 @@ def _confirm(percent: int, kind: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
-    left, right = sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-    full = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return full.select("a", "b", "ha", "hb").mapInArrow(*_confirm(percent, kind))
+    """Those of the candidates (a, b) that are similar enough.
+
+    A set that very many pairs ask for, as that of a pivot, is there in as many copies as it takes, and each copy goes to
+    so many pairs at most, so no task has all pairs of one document. Sets join once each pair knows its copies; those of ``b``
+    come first, as a pair with a pivot is the only one of its ``b``.
+    """
+    pairs, joins = stored(pairs, "candidates"), []
+    for end, other in (("b", "a"), ("a", "b")):
+        on, there = [end], sets.select(F.col("id").alias(end), F.col("h").alias(f"h{end}"))
+        asked = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        asked = stored(asked.withColumn("copies", F.ceil(F.col("n") / PAIRS_OF_A_COPY)), "asked")
+        if (asked.agg(F.max("copies")).first()[0] or 0) > 1:
+            on.append(f"copy_{end}")
+            pairs = stored(with_one(pairs, asked, [end]).withColumn(on[1], F.pmod(F.xxhash64(other), "copies")).drop("copies"), "candidates")
+            copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias(on[1])
+            there = there.join(asked.drop("n").hint("merge"), end).select(end, f"h{end}", copies)
+        joins.append((there, on))
+    for there, on in joins:
+        pairs = pairs.join(there.hint("merge"), on)
+    return pairs.select("a", "b", "ha", "hb").mapInArrow(*_confirm(percent, kind))
 
 
 def _shared_part(sets: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:

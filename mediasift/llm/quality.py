@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.textbytes import BLOCK_BYTES, LOWER, blocks, parts
+from mediasift.llm.textbytes import LOWER, blocks
 
 PASSAGE_BYTES = 800
 #: Texts are looked at in blocks of so many bytes; a byte takes some 60 bytes of working memory.
@@ -25,8 +25,9 @@ BINS = 64
 CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n\r\t", ".,;:", "!?", "'\"()[]{}", "*#", "$%&@", "|\\/<>=_-+~^`"]
 WIDTH = BINS + len(CLASSES) + 3
 HIDDEN, GATE = 24, 12
-#: Documents of each label that the model learns from, at most about.
-ROWS_PER_LABEL = 1500
+#: Documents of each label that the model learns from, at most about, and passages of each of them (evenly spread over a
+#: longer one), so that the sample has a bound in bytes as well. Scores are of all passages.
+ROWS_PER_LABEL, PASSAGES_PER_ROW = 1500, 256
 
 _CLASS = np.full(256, len(CLASSES), np.int64)
 for _k, _c in enumerate(CLASSES):
@@ -40,30 +41,51 @@ class QualityModel:
     scale: np.ndarray
 
 
+def _codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A bin of the three bytes from each byte on; bytes beyond a text's end read as 0, so that its neighbours don't count."""
+    n = len(data)
+    low = LOWER[data].astype(np.uint32)
+    code = np.zeros(n, np.uint32)
+    for i in range(3):
+        later = np.zeros(n, np.uint32)
+        later[: max(0, n - i)] = low[i:]
+        for j in range(1, i + 1):
+            later[(offsets[1:] - j)[offsets[1:] >= j]] = 0
+        code = (code ^ later) * np.uint32(0x01000193)
+    return (code ^ code >> np.uint32(13)) % np.uint32(BINS)
+
+
+def _shares(x: np.ndarray, data: np.ndarray, code: np.ndarray, at: np.ndarray) -> None:
+    """Write into ``x`` what the bytes of each passage (``at``) are like."""
+    m = len(x)
+    size = np.maximum(np.bincount(at, minlength=m), 1)[:, None]
+    grams = np.bincount(at * BINS + code, minlength=m * BINS).reshape(m, BINS) / size
+    kinds = np.bincount(at * (len(CLASSES) + 1) + _CLASS[data], minlength=m * (len(CLASSES) + 1)).reshape(m, -1) / size
+    x[:, :BINS] = np.sqrt(grams)
+    x[:, BINS : BINS + kinds.shape[1]] = np.sqrt(kinds)
+    x[:, -2] = (grams**2).sum(axis=1)  # high where a passage repeats itself
+
+
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, first passage of each text); an empty text has one passage of zeros."""
+    """(features of every passage, first passage of each text); an empty text has one passage of zeros.
+
+    A text is cut into equal passages by its length alone. One that is longer than a block is looked at some passages at a
+    time, each time with the bytes that its last features reach for, so the features are the same.
+    """
     lens = np.diff(offsets)
     number = np.maximum(1, -(-lens // PASSAGE_BYTES))
     first = np.concatenate([[0], np.cumsum(number)])
     n, m = len(data), int(first[-1])
     x = np.zeros((m, WIDTH), np.float64)
-    if n:
+    if len(lens) == 1 and n > BLOCK:
+        for p in range(0, m, BLOCK // PASSAGE_BYTES):
+            q = min(m, p + BLOCK // PASSAGE_BYTES)
+            a, b = -(-p * n // m), -(-q * n // m)  # the first bytes of both passages
+            near = data[a : min(n, b + 2)]
+            _shares(x[p:q], data[a:b], _codes(near, np.array([0, len(near)]))[: b - a], np.arange(a, b) * m // n - p)
+    elif n:
         doc = np.repeat(np.arange(len(lens)), lens)
-        at = (np.arange(n) - offsets[:-1][doc]) * number[doc] // lens[doc] + first[:-1][doc]
-        size = np.maximum(np.bincount(at, minlength=m), 1)[:, None]
-        low = LOWER[data].astype(np.uint32)
-        code = np.zeros(n, np.uint32)
-        for i in range(3):
-            later = np.zeros(n, np.uint32)  # the byte i further on; 0 beyond a text's end, so that its neighbours don't count
-            later[: max(0, n - i)] = low[i:]
-            for j in range(1, i + 1):
-                later[(offsets[1:] - j)[offsets[1:] >= j]] = 0
-            code = (code ^ later) * np.uint32(0x01000193)
-        grams = np.bincount(at * BINS + (code ^ code >> np.uint32(13)) % np.uint32(BINS), minlength=m * BINS).reshape(m, BINS) / size
-        kinds = np.bincount(at * (len(CLASSES) + 1) + _CLASS[data], minlength=m * (len(CLASSES) + 1)).reshape(m, -1) / size
-        x[:, :BINS] = np.sqrt(grams)
-        x[:, BINS : BINS + kinds.shape[1]] = np.sqrt(kinds)
-        x[:, -2] = (grams**2).sum(axis=1)  # high where a passage repeats itself
+        _shares(x, data, _codes(data, offsets), (np.arange(n) - offsets[:-1][doc]) * number[doc] // lens[doc] + first[:-1][doc])
     x[:, -1] = np.repeat(np.log1p(lens), number) / 10
     return x, first
 
@@ -123,7 +145,10 @@ def _bag_rows(batches):
             for i in range(len(offsets) - 1):
                 label.append(batch.column(0)[first + i].as_py())
                 share.append(batch.column(1)[first + i].as_py())
-                bags.append(x[start[i] : start[i + 1]].astype(np.float32).tobytes())
+                bag = x[start[i] : start[i + 1]]
+                if len(bag) > PASSAGES_PER_ROW:
+                    bag = bag[np.arange(PASSAGES_PER_ROW) * len(bag) // PASSAGES_PER_ROW]
+                bags.append(bag.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(share, pa.float64()), pa.array(bags, pa.binary())], names=["label", "share", "bag"])
 
 
@@ -131,16 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Learn from the documents whose label is 0 or 1; null labels and ids are left out, a null text is empty.
 
     About ``rows_per_label`` labelled ids of each label are used, chosen by a hash of the id, so what is broadcast to
-    the scan of the texts has a bound. With one label only, or none, the result is a constant score (that label, or 0.5).
+    the scan of the texts has a bound; a label that repeats counts once, and of rows that repeat an id the least text. With
+    one label only, or none, the result is a constant score (that label, or 0.5).
     """
-    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
     share = F.when(F.col("label") == 1, min(1.0, rows_per_label / counts[1])).otherwise(min(1.0, rows_per_label / counts[0]))
     picked = known.withColumn("share", share).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     texts = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(picked), "id").select("label", "share", "text").mapInArrow(_bag_rows, "label int, share double, bag binary").toPandas()
+    sample = texts.join(F.broadcast(picked), "id").groupBy("id", "label", "share").agg(F.min("text").alias("text"))
+    got = sample.select("label", "share", "text").mapInArrow(_bag_rows, "label int, share double, bag binary").toPandas()
     if got["label"].nunique() < 2:
         return float(counts[1] / (counts[0] + counts[1]))
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH).astype(np.float64) for b in got["bag"]]
@@ -149,13 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def _score(model: QualityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    if len(offsets) == 2 and len(data) > BLOCK_BYTES:  # a very long text: its passages in parts, then attention over all
-        found = [passages(data[a:b], np.array([0, b - a]))[0] for a, b in parts(data)]
-        x = np.concatenate(found)
-        x[:, -1] = np.log1p(len(data)) / 10
-        first = np.array([0, len(x)])
-    else:
-        x, first = passages(data, offsets)
+    x, first = passages(data, offsets)
     return _forward(model.weights, (x - model.mean) / model.scale, first)["p"]
 
 

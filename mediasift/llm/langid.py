@@ -74,6 +74,13 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _sums_of_part(data: np.ndarray, a: int, b: int, logits: np.ndarray) -> tuple[np.ndarray, int]:
+    """As :func:`_sums`, of the n-grams that begin in this part of one text; the last ones end in the next part."""
+    near = data[a : min(len(data), b + max(SIZES) - 1)]
+    found = [h[: b - a] for h in _buckets(near, np.array([0, len(near)]))]
+    return sum(logits[h].sum(axis=0, dtype=float) for h in found), sum(int((h > 0).sum()) for h in found)
+
+
 def _sums(data: np.ndarray, offsets: np.ndarray, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the rows of ``logits``, and count of n-grams, for each text."""
     n = len(offsets) - 1
@@ -220,9 +227,9 @@ def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str
             for first, last, data, offsets in blocks(batch.column(1)):
                 if last == first + 1 and len(data) > BLOCK_BYTES:
                     for a, b in parts(data):
-                        s, c = _sums(data[a:b], np.array([0, b - a]), m.logits)
-                        total[first] += s[0]
-                        count[first] += c[0]
+                        s, c = _sums_of_part(data, a, b, m.logits)
+                        total[first] += s
+                        count[first] += c
                         letter[first] |= _has_letter(data[a:b], np.array([0, b - a]))[0]
                 else:
                     total[first:last], count[first:last] = _sums(data, offsets, m.logits)

@@ -31,7 +31,7 @@ RINGS = 32
 #: Items and queries of a block.
 ITEMS, QUERIES = 1 << 14, 1 << 13
 #: A round visits this many times as many cells of a query as the one before.
-GROWTH = 4
+GROWTH = 16
 #: Angles and scores are trusted to so much.
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-9
 

@@ -1,6 +1,9 @@
 """All pairs in blocks of any size."""
 
+from time import perf_counter
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +40,33 @@ def test_an_item_meets_few_cells(spark):
     cells = B.in_cells(df)
     copies = cells.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     assert copies == B.FEW_BLOCKS and cells.select("cell").distinct().count() == B.FEW_BLOCKS * (B.FEW_BLOCKS + 1) // 2
+
+
+def lists(rng, n, most, base):
+    return [[int(base[rng.integers(len(base))]) ^ (1 << int(q)) for q in rng.integers(0, 63, rng.integers(1, most + 1))] for _ in range(n)]
+
+
+@pytest.mark.parametrize("most", [1, 4, 7])
+def test_least_sums_are_lower_bounds_and_hardly_less(most):
+    rng = np.random.default_rng(most)
+    base = rng.integers(-(2**62), 2**62, 9)
+    base[1] = ~base[0]  # a distance of 64
+    a, b = (B.padded(pd.Series(lists(rng, n, most, base))) for n in (41, 52))
+    there, back = B.nearest_sums(a, b)
+    low = B.least_sums(*a, [B.packed(h) for h in b[0].T], b[1])
+    place, real = B.unpacked(np.arange(low[0].shape[1]))
+    real &= place < 52
+    for exact, bound, n in ((there, low[0], a[1][:, None]), (back, low[1], b[1][None])):
+        assert (bound[:, real] <= exact).all() and (exact - bound[:, real] <= n).all()
+
+
+def test_comparing_costs_a_fraction_of_all_distances():
+    """Two blocks, and a third of the pairs too far apart in duration to be looked at."""
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"id": np.arange(3000), "phash": list(rng.integers(-(2**62), 2**62, (3000, 4))), "dhash": list(rng.integers(-(2**62), 2**62, (3000, 4))), "audio": None, "duration": np.linspace(100, 200, 3000), "side": np.arange(3000) % 2})
+    took = []
+    for run in (lambda: P._compare(0.7, (0.7, 0.3), 0.8, 0.2)(rows), lambda: [B.nearest_sums(B.padded(rows[c][::2]), B.padded(rows[c][1::2])) for c in ("phash", "dhash")]):
+        start = perf_counter()
+        run()
+        took.append(perf_counter() - start)
+    assert took[0] < took[1] / 2

@@ -162,3 +162,16 @@ def test_metadata_star(spark):
     rows = [(i, 5, 100.0 + i % 2 * 0.2) for i in range(6)] + [(6, 5, 200.0), (7, 6, 100.0)]
     got = P.metadata_candidates(spark.createDataFrame(rows, "id long, size long, mtime double")).collect()
     assert sorted((r["a"], r["b"]) for r in got) == [(0, i) for i in range(1, 6)]
+
+
+def test_recall_makes_no_candidates(spark, monkeypatch):
+    """Recall by look-up is that by a join with all candidates, items without a hash included."""
+    rows = [(k, [k % 5 << 20 | k] if k % 5 or k == 200 else [], [k], None, 10.0) for k in range(1, 201)]
+    items = spark.createDataFrame(rows, "id long, phash array<long>, dhash array<long>, audio array<long>, duration double")
+    true = P.pairs_above(P.representatives(items).drop("copies")).where("a % 100 = 0 or b % 100 = 0").select("a", "b")
+    for buckets in (None, 32):
+        met = P.lsh_candidates(P.representatives(items).select("id", "phash"), buckets).select("a", "b")
+        want = (true.count(), true.join(met.hint("merge"), ["a", "b"]).count())
+        with monkeypatch.context() as m:
+            m.setattr(P, "lsh_candidates", None)
+            assert tuple(P.recall(items, bucket_count=buckets).first()) == want and 0 < want[1] <= want[0]

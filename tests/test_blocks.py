@@ -70,3 +70,13 @@ def test_comparing_costs_a_fraction_of_all_distances():
         run()
         took.append(perf_counter() - start)
     assert took[0] < took[1] / 2
+
+
+def test_label_pairs_come_a_tile_at_a_time(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", lambda self, run, schema: taken.update(run=run))
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"id": np.arange(2000), "label": "a", "phash": list(rng.integers(-(2**62), 2**62, (2000, 1))), "dhash": list(rng.integers(-(2**62), 2**62, (2000, 1))), "motion_mean": 1.0, "emb": list(rng.normal(size=(2000, 8))), "side": 2})
+    L.label_pairs(items(spark, 10))
+    sizes = [len(part) for part in taken["run"](iter([rows[:1500], rows[1500:]]))]
+    assert sum(sizes) == 2000 * 1999 // 2 and max(sizes) < 200_000

@@ -4,6 +4,7 @@ from time import perf_counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,19 @@ def test_label_pairs_come_a_tile_at_a_time(spark, monkeypatch):
     L.label_pairs(items(spark, 10))
     sizes = [len(part) for part in taken["run"](iter([rows[:1500], rows[1500:]]))]
     assert sum(sizes) == 2000 * 1999 // 2 and max(sizes) < 200_000
+
+
+def test_cells_are_dealt_by_their_pairs_not_their_bytes(spark):
+    cells = B.in_cells(spark.range(40_000).select("id"))
+    run = lambda rows: pd.DataFrame({"task": [__import__("pyspark").TaskContext.get().partitionId()]})
+    tasks = {r["task"] for r in cells.groupBy("cell").applyInPandas(run, "task int").collect()}
+    assert len(tasks) > 12  # of 36 cells; at most 8 before, and one of small tables
+
+
+def test_padded_takes_null_empty_and_short_lists():
+    column = pd.Series([None, [], [5], [1, 2, 3]])
+    hashes, size = B.padded(column)
+    assert hashes.tolist() == [[0, 0, 0], [0, 0, 0], [5, 5, 5], [1, 2, 3]] and size.tolist() == [0, 0, 1, 3]
+    again = B.padded(pa.chunked_array([pa.array(column.to_list()[:2], pa.list_(pa.int64())), pa.array(column.to_list()[2:], pa.list_(pa.int64()))]))
+    assert (again[0] == hashes).all() and (again[1] == size).all()
+    assert B.padded(pd.Series([], dtype=object))[0].shape == (0, 1)

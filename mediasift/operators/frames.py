@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 SIDE, LOW = 32, 8
 FOREGROUND, KEY_DISTANCE, KEYS = 18, 30.0, 5
+#: Numbers of images that are worked out at once.
+STACK = 4 << 20
 QUALITY = (0.35, 0.25, 0.25, 0.15)
 
 
@@ -25,7 +27,8 @@ def resample(n: int, m: int) -> np.ndarray:
 
 
 def resized(image: np.ndarray, h: int, w: int) -> np.ndarray:
-    return resample(image.shape[0], h) @ image @ resample(image.shape[1], w).T
+    """One image, or many of one shape."""
+    return resample(image.shape[-2], h) @ image @ resample(image.shape[-1], w).T
 
 
 def _dct() -> np.ndarray:
@@ -33,34 +36,58 @@ def _dct() -> np.ndarray:
     return np.cos(np.pi * k * (2 * i + 1) / (2 * SIDE))
 
 
-def _bits(flags: np.ndarray) -> np.int64:
-    return np.packbits(flags.ravel()).view(">u8")[0].astype(np.uint64).view(np.int64)
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """A number for each of many times 64 flags."""
+    return np.packbits(flags.reshape(len(flags), -1), axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
 
 
-def phash(image: np.ndarray) -> int:
-    """64 bits: low frequencies of the cosine transform of the 32 x 32 image, above their median."""
+def phashes(images: np.ndarray) -> np.ndarray:
+    """64 bits of each of many images of one shape: low frequencies of the cosine transform of the 32 x 32 image, above their median."""
     d = _dct()[:LOW]
-    low = d @ resized(image.astype(float), SIDE, SIDE) @ d.T
-    return int(_bits(low > np.median(low)))
+    low = d @ resized(images.astype(float), SIDE, SIDE) @ d.T
+    return _bits(low > np.median(low, axis=(1, 2), keepdims=True))
+
+
+def dhashes(images: np.ndarray) -> np.ndarray:
+    """64 bits of each of many images of one shape: is each pixel of the 8 x 9 image brighter than the one left of it?"""
+    small = np.floor(resized(images.astype(float), LOW, LOW + 1) + 0.5)
+    return _bits(small[:, :, 1:] > small[:, :, :-1])
+
+
+def phash(image: np.ndarray) -> int:
+    return int(phashes(image[None])[0])
 
 
 def dhash(image: np.ndarray) -> int:
-    """64 bits: is each pixel of the 8 x 9 image brighter than the one left of it?"""
-    small = np.floor(resized(image.astype(float), LOW, LOW + 1) + 0.5)
-    return int(_bits(small[:, 1:] > small[:, :-1]))
+    return int(dhashes(image[None])[0])
 
 
 def image(pixels: bytes | None, h: int, w: int) -> np.ndarray | None:
     return None if pixels is None or len(pixels) != h * w or not h * w else np.frombuffer(pixels, np.uint8).reshape(h, w)
 
 
+def stacks(pixels: list[bytes | None], h: np.ndarray, w: np.ndarray):
+    """(places, images) of the frames that can be read, those of one shape together, so many at a time."""
+    shapes: dict = {}
+    for k, (p, *shape) in enumerate(zip(pixels, h, w, strict=True)):
+        if p is not None and shape[0] and shape[1] and len(p) == shape[0] * shape[1]:
+            shapes.setdefault(tuple(shape), []).append(k)
+    for (height, width), places in shapes.items():
+        step = max(1, STACK // int(max(height * width, SIDE * SIDE)))
+        for at in range(0, len(places), step):
+            some = places[at : at + step]
+            yield some, np.frombuffer(b"".join(pixels[k] for k in some), np.uint8).reshape(len(some), int(height), int(width))
+
+
 def hashed(frames: DataFrame) -> DataFrame:
     """``frames`` with ``phash`` and ``dhash``; null for a frame that can't be read."""
 
     @F.pandas_udf("phash long, dhash long")
     def both(pixels: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
-        got = [image(*x) for x in zip(pixels, h, w, strict=True)]
-        return pd.DataFrame({"phash": pd.array([None if g is None else phash(g) for g in got], "Int64"), "dhash": pd.array([None if g is None else dhash(g) for g in got], "Int64")})
+        out, there = np.zeros((2, len(pixels)), np.int64), np.zeros(len(pixels), bool)
+        for places, images in stacks(pixels.to_list(), h.to_list(), w.to_list()):
+            out[0, places], out[1, places], there[places] = phashes(images), dhashes(images), True
+        return pd.DataFrame({c: pd.arrays.IntegerArray(v, ~there) for c, v in zip(("phash", "dhash"), out, strict=True)})
 
     return frames.withColumn("_h", both("pixels", "h", "w")).select(*frames.columns, "_h.phash", "_h.dhash")
 
@@ -102,24 +129,40 @@ def motion(frames: DataFrame) -> DataFrame:
     return bursts.groupBy("id").agg(F.avg("m").alias("motion_mean"), F.stddev_pop("m").alias("motion_std"))
 
 
+def _foregrounds(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pHashes, dHashes, share that differs) of many items with as many frames each of one shape (items x frames x h x w)."""
+    stack = images.astype(np.int16)
+    back = np.median(stack, axis=1, keepdims=True)
+    mask = np.abs(stack - back) > FOREGROUND
+    fore = np.where(mask, stack, back).reshape(-1, *images.shape[2:])
+    return phashes(fore).reshape(images.shape[:2]), dhashes(fore).reshape(images.shape[:2]), mask.reshape(len(mask), -1).mean(1)
+
+
 def foreground(frames: DataFrame) -> DataFrame:
     """(id, fg_phash, fg_dhash, motion_ratio): hashes of what differs from the median of an item's sampled frames.
 
-    Fewer than three frames: empty lists and 1.0. A group is one item's few sampled frames.
+    Fewer than three frames: empty lists and 1.0. A row is one item's few sampled frames; items with equally many frames of
+    one shape are worked out together.
     """
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        got = [g for g in (image(p, h, w) for p, h, w in zip(rows.sort_values("frame_no")["pixels"], rows["h"], rows["w"], strict=True)) if g is not None]
-        if len(got) < 3 or len({g.shape for g in got}) > 1:
-            return pd.DataFrame({"id": [key[0]], "fg_phash": [[]], "fg_dhash": [[]], "motion_ratio": [1.0]})
-        stack = np.stack(got).astype(int)
-        back = np.median(stack, axis=0)
-        mask = np.abs(stack - back) > FOREGROUND
-        fore = np.where(mask, stack, back)
-        return pd.DataFrame({"id": [key[0]], "fg_phash": [[phash(x) for x in fore]], "fg_dhash": [[dhash(x) for x in fore]], "motion_ratio": [float(mask.mean())]})
-
-    kind = frames.schema["id"].dataType.simpleString()
-    return frames.groupBy("id").applyInPandas(one, f"id {kind}, fg_phash array<long>, fg_dhash array<long>, motion_ratio double")
+    @F.pandas_udf("fg_phash array<long>, fg_dhash array<long>, motion_ratio double")
+    def every(lists: pd.Series) -> pd.DataFrame:
+        p, d, ratio, alike = [[] for _ in lists], [[] for _ in lists], np.ones(len(lists)), {}
+        for k, item in enumerate(lists):
+            got = [x for x in item if x["pixels"] is not None and x["h"] and x["w"] and len(x["pixels"]) == x["h"] * x["w"]]
+            if len(got) >= 3 and len({(x["h"], x["w"]) for x in got}) == 1:
+                alike.setdefault((len(got), got[0]["h"], got[0]["w"]), []).append((k, b"".join(x["pixels"] for x in got)))
+        for (n, h, w), items in alike.items():
+            step = max(1, STACK // (n * max(h * w, SIDE * SIDE)))
+            for at in range(0, len(items), step):
+                places, pixels = zip(*items[at : at + step], strict=True)
+                a, b, shares = _foregrounds(np.frombuffer(b"".join(pixels), np.uint8).reshape(len(places), n, h, w))
+                for k, x, y, share in zip(places, a, b, shares, strict=True):
+                    p[k], d[k], ratio[k] = x, y, share
+        return pd.DataFrame({"fg_phash": p, "fg_dhash": d, "motion_ratio": ratio})
+
+    items = frames.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("frame_no").isNull().alias("last"), "frame_no", "h", "w", "pixels"))).alias("_frames"))
+    return items.select("id", every("_frames").alias("_f")).select("id", "_f.fg_phash", "_f.fg_dhash", "_f.motion_ratio")
 
 
 def keyframes(frames: DataFrame, distance: float = KEY_DISTANCE, most: int = KEYS) -> DataFrame:

@@ -69,3 +69,25 @@ def test_quality(spark):
     frames = spark.createDataFrame(frame_rows([stripes(k) for k in range(4)], 1) + frame_rows([flat], 2), SCHEMA)
     got = {r["id"]: r["quality"] for r in X.frame_quality(frames).collect()}
     assert got[1] > got[2] and 0 <= got[2] <= 1
+
+
+def test_many_items_of_mixed_shapes_at_once(spark):
+    rng = np.random.default_rng(3)
+    items = {k: [rng.integers(0, 256, ((8, 9), (64, 64))[k % 2]).astype(np.uint8) for _ in range(3 + k % 3)] for k in range(20)}
+    items[20] = [stripes(), None, other(), stripes(3)]  # three can be read
+    items[21] = [stripes(), other(), items[0][0]]  # of two shapes
+    frames = spark.createDataFrame([row for k, images in items.items() for row in frame_rows(images, k)], SCHEMA)
+    got = {r["id"]: r for r in X.foreground(frames).collect()}
+    for k, images in items.items():
+        images = [g for g in images if g is not None]
+        if k == 21:
+            assert got[k]["motion_ratio"] == 1.0 and got[k]["fg_phash"] == []
+            continue
+        stack = np.stack(images).astype(int)
+        back = np.median(stack, axis=0)
+        mask = np.abs(stack - back) > X.FOREGROUND
+        assert got[k]["motion_ratio"] == mask.mean() and got[k]["fg_phash"] == [X.phash(f) for f in np.where(mask, stack, back)]
+    one = [g for images in items.values() for g in images if g is not None and g.shape == (8, 9)]
+    assert X.phashes(np.stack(one)).tolist() == [X.phash(g) for g in one] and X.dhashes(np.stack(one)).tolist() == [X.dhash(g) for g in one]
+    plan = X.foreground(frames)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan  # no Python call for each item

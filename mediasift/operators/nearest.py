@@ -142,7 +142,7 @@ def _planned(state: DataFrame, index: Index, turn: int) -> DataFrame:
     return state.select("query", "emb", "worst", "done").mapInArrow(run, f"query {kind}, emb array<double>, worst double, done int, cells array<int>")
 
 
-def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def row_dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, added up from the first component to the last, so that equal vectors give equal sums wherever they stand."""
     total = np.zeros(len(x))
     for j in range(x.shape[1]):
@@ -157,7 +157,7 @@ def _best(k: int):
         out = []
         if len(items) and len(queries):
             x, q = np.stack(items["emb"].to_list()), np.stack(queries["emb"].to_list())
-            sx, sq = np.sqrt(_dots(x, x)), np.sqrt(_dots(q, q))
+            sx, sq = np.sqrt(row_dots(x, x)), np.sqrt(row_dots(q, q))
             ids, count = items["ids"].to_numpy(), np.array([len(i) for i in items["ids"]])
             flat, start, names = np.concatenate(ids), np.cumsum(count) - count, queries["query"].to_numpy()
             most = min(k, len(x))
@@ -166,7 +166,7 @@ def _best(k: int):
                 least = np.maximum(np.partition(near, len(x) - most, axis=1)[:, len(x) - most], queries["worst"].to_numpy()[rows]) - SCORE_SLACK
                 a, b = np.nonzero(near >= least[:, None])
                 a = a + rows.start
-                score = _dots(x[b], q[a]) / (sx[b] * sq[a])
+                score = row_dots(x[b], q[a]) / (sx[b] * sq[a])
                 each = count[b]
                 at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[b], each)
                 hit = pd.DataFrame({"query": np.repeat(names[a], each), "id": flat[at], "score": np.repeat(score, each)})

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.operators import blocks as B
 from mediasift.operators.joins import against
 from mediasift.operators.labels import cosine, dot
 from mediasift.operators.kmeans import assigned, best_centres
+from mediasift.operators.nearest import ITEMS, QUERIES, SCORE_SLACK, row_dots
 from mediasift.sources.shared import stored
 
 UNKNOWN = "unknown"
@@ -51,10 +55,50 @@ def training_ready(confidence: Column, quality: Column, purpose: Column, least:
     return F.coalesce((confidence >= least) & (quality >= READY_QUALITY) & (purpose != UNKNOWN), F.lit(False))
 
 
+def _best(k: int):
+    """The ``k`` best ids of a block of items for every query of a block, its own id left out."""
+
+    def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(items) and len(queries):
+            x, q = np.stack(items["emb"].to_list()), np.stack(queries["emb"].to_list())
+            sx, sq = np.sqrt(row_dots(x, x)), np.sqrt(row_dots(q, q))
+            ids, names, most = items["id"].to_numpy(), queries["query"].to_numpy(), min(k, len(x))
+            for rows in B.tiles(len(q), len(x)):
+                near = (q[rows] @ x.T) / (sq[rows][:, None] * sx)
+                near[(names[rows][:, None] == ids[None]).astype(bool)] = -np.inf
+                least = np.partition(near, len(x) - most, axis=1)[:, len(x) - most] - SCORE_SLACK
+                a, b = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                a = a + rows.start
+                hit = pd.DataFrame({"query": names[a], "id": ids[b], "score": row_dots(x[b], q[a]) / (sx[b] * sq[a])})
+                out.append(hit.sort_values(["score", "id"], ascending=[False, True]).groupby("query", sort=False).head(k))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
+
+    return run
+
+
 def search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank): the ``k`` most similar items of each of a stated set of queries (query, emb), itself
-    left out. Each side's task keeps its own best before the shuffle."""
-    hits = items.select("id", F.col("emb").alias("_e")).join(queries.hint("shuffle_replicate_nl"), F.col("id") != F.col("query")).select("query", "id", cosine(F.col("_e"), F.col("emb")).alias("score"))
+    left out. Blocks of items meet blocks of queries, and each keeps its own best before the shuffle. Query ids are unique.
+
+    A vector without a length or with a null is as similar as 0 to all. Such vectors, and those of other lengths or with numbers that aren't
+    finite, are compared one pair at a time, as they are expected to be few.
+    """
+    width = queries.agg(F.max(F.size("emb")).alias("n")).first()["n"]
+    size = dot(F.col("emb"), F.col("emb"))
+    plain = F.coalesce((F.size("emb") == F.lit(width)) & (size > 0) & (size < float("inf")), F.lit(False)).alias("plain")
+    x = stored(items.select("id", F.col("emb").cast("array<double>").alias("emb"), plain).where("id is not null"), "items")
+    q = stored(queries.select("query", F.col("emb").cast("array<double>").alias("emb"), plain).where("query is not null"), "queries")
+    (n, odd), (m, strange) = ((r[0], r[1]) for t in (x, q) for r in [t.agg(F.count_if("plain"), F.count_if(~F.col("plain"))).first()])
+    s, t = max(1, -(-n // ITEMS)), max(1, -(-m // QUERIES))
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    there = x.where("plain").select("id", "emb", F.pmod(F.xxhash64("id"), F.lit(s)).cast("int").alias("a"), every(t).alias("b"))
+    here = q.where("plain").select("query", "emb", every(s).alias("a"), F.pmod(F.xxhash64("query"), F.lit(t)).cast("int").alias("b"))
+    blocks = (there.repartition(s * t, "a", "b").groupBy("a", "b")).cogroup(here.repartition(s * t, "a", "b").groupBy("a", "b"))  # not fewer tasks for few bytes
+    hits = blocks.applyInPandas(_best(k), f"query {q.schema['query'].dataType.simpleString()}, id {x.schema['id'].dataType.simpleString()}, score double")
+    for some, asked in ((x.where("not plain"), q), (x.where("plain"), q.where("not plain"))) if odd or strange else ():
+        pairs = some.select("id", F.col("emb").alias("_e")).join(asked.hint("shuffle_replicate_nl"), F.col("id") != F.col("query"))
+        hits = hits.unionByName(pairs.select("query", "id", cosine(F.col("_e"), F.col("emb")).alias("score")))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # Spark limits each group before the shuffle
 

@@ -65,3 +65,23 @@ def test_odd_vectors(spark):
     assert N.search(N.fit(one, 5), asked.where("query = 2")).hits.count() == 1
     assert N.search(N.fit(items, 5), asked.where("false")).hits.count() == 0
     assert N.fit(items.where("id = 4"), 5) is None
+
+
+def test_stated_queries_meet_blocks_not_rows(spark, monkeypatch):
+    """As row by row, with equal vectors, and with vectors that are null, have no length, another length, a null or NaN."""
+    from pyspark.sql import Window
+
+    from mediasift.operators.labels import cosine
+
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.integers(-3, 4, 4).astype(float).tolist()) for k in range(120)]
+    rows += [(200, None), (201, [0.0] * 4), (202, [1.0, 2.0]), (203, [1.0, None, 1.0, 1.0]), (204, [float("nan")] * 4)]
+    items = spark.createDataFrame(rows, "id long, emb array<double>")
+    asked = items.where("id % 10 = 0 or id > 200").withColumnRenamed("id", "query")
+    pairs = items.select("id", F.col("emb").alias("_e")).crossJoin(asked).where("id <> query").select("query", "id", cosine(F.col("_e"), F.col("emb")).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 5")
+    monkeypatch.setattr(M, "ITEMS", 40)
+    monkeypatch.setattr(M, "QUERIES", 7)
+    got = M.search(items, asked, 5)
+    assert sorted(map(repr, got.select("query", "rank", "id", "score").collect())) == sorted(map(repr, want.select("query", "rank", "id", "score").collect()))
+    assert "CoGroup" in got._jdf.queryExecution().toString()

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of the centres of all starts that are run at once; as many of sums are held in a task.
 CENTRE_BYTES = 64 << 20
-#: Distances held at once.
-TILE = 4 << 20
+#: Distances held at once, in a core's cache.
+TILE = 1 << 18
 STEPS, TOLERANCE = 2, 1e-4
 
 
@@ -31,12 +31,21 @@ def _nearest(x: np.ndarray, starts: list[np.ndarray]) -> Iterator[tuple[slice, n
     """(rows, nearest centre, squared distance), the latter two with a column for each start, a tile of rows at a time."""
     every = np.concatenate(starts)
     sizes, ends = (every * every).sum(1), np.cumsum([0, *map(len, starts)])
-    step = max(1, TILE // len(every))
+    doubled, step = -2 * every.T, max(1, TILE // len(every))
     for at in range(0, len(x), step):
         part = x[at : at + step]
-        d = np.maximum((part * part).sum(1)[:, None] - 2 * (part @ every.T) + sizes, 0.0)
+        d = part @ doubled
+        d += sizes
         near = np.stack([d[:, a:b].argmin(1) for a, b in zip(ends, ends[1:], strict=False)], 1)
-        yield slice(at, at + len(part)), near, np.stack([d[:, a:b].min(1) for a, b in zip(ends, ends[1:], strict=False)], 1)
+        least = np.take_along_axis(d, near + ends[:-1], 1) + (part * part).sum(1)[:, None]
+        yield slice(at, at + len(part)), near, np.maximum(least, 0.0)
+
+
+def _add(total: np.ndarray, near: np.ndarray, x: np.ndarray) -> None:
+    """Add each vector to the row of its centre; sorted first, as single additions take many times as long."""
+    order = np.argsort(near.astype(np.uint16) if len(total) <= 1 << 16 else near, kind="stable")
+    begins = np.flatnonzero(np.diff(near[order], prepend=-1))
+    total[near[order][begins]] += np.add.reduceat(x[order], begins, axis=0)
 
 
 def _sums(vectors: DataFrame, starts: list[np.ndarray], with_vectors: bool = True) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -53,7 +62,7 @@ def _sums(vectors: DataFrame, starts: list[np.ndarray], with_vectors: bool = Tru
                 for t in range(len(starts)):
                     n[t] += np.bincount(near[:, t], minlength=len(n[t]))
                     if with_vectors:
-                        np.add.at(total[t], near[:, t], x[rows])
+                        _add(total[t], near[:, t], x[rows])
         rows = [(t, int(c), int(n[t][c]), total[t][c].tolist()) for t in range(len(starts)) for c in np.flatnonzero(n[t])]
         rows += [(t, -1, 0, [c]) for t, c in enumerate(cost.tolist())]  # the cost beside the centres
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())]

@@ -52,3 +52,22 @@ def test_groups_of_starts_and_odd_vectors(spark, monkeypatch):
         got = {r["id"]: r["cluster"] for r in M.kmeans(same, 5, tries=3).collect()}
         assert len(got) == 60 and len({(k % 3, c) for k, c in got.items()}) == 3  # no more clusters than distinct vectors
     assert M.kmeans(same.where("id = 99"), 5).count() == 0 and M.kmeans(same.where("id = 1"), 5).collect()[0]["cluster"] == 0
+
+
+def test_sums_of_centres_are_those_of_single_additions():
+    import numpy as np
+
+    from mediasift.operators import kmeans as K
+
+    rng = np.random.default_rng(2)
+    for k in (1, 9, 70_000):
+        x, near = rng.normal(size=(500, 6)), rng.integers(0, k, 500)
+        want, got = np.ones((k, 6)), np.ones((k, 6))
+        np.add.at(want, near, x)
+        K._add(got, near, x)
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+    x, starts = rng.normal(size=(300, 6)), [rng.normal(size=(k, 6)) for k in (3, 20)]
+    for rows, near, least in K._nearest(x, starts):
+        for t, c in enumerate(starts):
+            d = ((x[rows][:, None] - c[None]) ** 2).sum(2)
+            assert (near[:, t] == d.argmin(1)).all() and np.allclose(least[:, t], d.min(1))

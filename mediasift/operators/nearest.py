@@ -5,7 +5,8 @@ it, to rings of equal width: such a cell is known by its centre and its least an
 inequality on the sphere no item of a cell is nearer to a query than the query's angle to the centre lies outside of that
 range. A query goes to its most promising cells first, and in each further round to some more of those that may still hold
 something as good as its worst result so far; it ends when there are none. What cells and queries meet is split into blocks
-of bounded size. The centres come from a bounded sample: they decide how much is skipped, not what is found.
+of bounded size. A query that would have to visit much of the whole is spared the cells, as it would be copied to each of them: it meets
+all items, in large blocks, where a product in 32-bit floats leaves few to be scored. The centres come from a bounded sample: they decide how much is skipped, not what is found.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from mediasift.operators.blocks import tiles
 from mediasift.operators.joins import with_one
@@ -32,6 +35,12 @@ RINGS = 32
 ITEMS, QUERIES = 1 << 14, 1 << 13
 #: A round visits this many times as many cells of a query as the one before.
 GROWTH = 16
+#: A query that would have to look at more than such a part of all items after its first cells meets all of them, in blocks of so many items and queries.
+WIDE = 4
+WIDE_ITEMS, WIDE_QUERIES = 1 << 15, 1 << 14
+#: Tasks for each core that these blocks are cut for, and queries of a block at least; and what is compared at once in a core's cache.
+TASKS_A_CORE, LEAST_QUERIES = 3, 512
+ROWS, COLUMNS = 256, 2048
 #: Angles and scores are trusted to so much.
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-9
 
@@ -115,13 +124,14 @@ def fit(items: DataFrame, k: int, parts: int = PARTS, seed: int = 5) -> Index |
 
 
 def _planned(state: DataFrame, index: Index, turn: int) -> DataFrame:
-    """``state`` (query, emb, worst, done) with the ``cells`` that each query visits next, and ``done`` moved on."""
+    """``state`` (query, emb, worst, done) with the ``cells`` that each query visits next, and ``done`` moved on. A query that is to meet all
+    items instead has none, and as ``rest`` the number of those that it has not met."""
     need, part, centres, cell, low, high, n = index.k + 1, index.cell // (RINGS + 1), index.centres, index.cell, index.low, index.high, index.n
 
     def run(batches):
         for batch in batches:
             x, worst, done = _matrix(batch["emb"]), batch["worst"].to_numpy(zero_copy_only=False), batch["done"].to_numpy()
-            moved, visits = [], []
+            moved, visits, rest = [], [], []
             for rows in tiles(len(x), len(cell)):
                 there = _angles(x[rows], centres)[:, part]
                 gap = np.maximum(0, np.maximum(there - high, low - there) - ANGLE_SLACK)
@@ -132,14 +142,16 @@ def _planned(state: DataFrame, index: Index, turn: int) -> DataFrame:
                         take = int(np.searchsorted(np.cumsum(n[order]), need)) + 1
                     else:
                         take = GROWTH**turn
-                    end = max(at, min(end, at + take))
+                    wide = turn > 0 and WIDE * n[order[at:end]].sum() > n.sum()
+                    rest.append(n[order[at:]].sum() if wide else 0)
+                    end = at if wide else max(at, min(end, at + take))
                     visits.append(cell[order[at:end]].astype(np.int32))
                     moved.append(end)
             cells = pa.array(visits, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["query"], batch["emb"], batch["worst"], pa.array(moved, pa.int32()), cells], names=["query", "emb", "worst", "done", "cells"])
+            yield pa.RecordBatch.from_arrays([batch["query"], batch["emb"], batch["worst"], pa.array(moved, pa.int32()), cells, pa.array(rest, pa.int64())], names=["query", "emb", "worst", "done", "cells", "rest"])
 
     kind = state.schema["query"].dataType.simpleString()
-    return state.select("query", "emb", "worst", "done").mapInArrow(run, f"query {kind}, emb array<double>, worst double, done int, cells array<int>")
+    return state.select("query", "emb", "worst", "done").mapInArrow(run, f"query {kind}, emb array<double>, worst double, done int, cells array<int>, rest long")
 
 
 def row_dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -176,6 +188,73 @@ def _best(k: int):
     return run
 
 
+def _leading(row: np.ndarray, near: np.ndarray, least: np.ndarray, most: int, slack: float) -> np.ndarray:
+    """Places of the hits (``row``, ``near``) that may be among the ``most`` best of their row; ``least`` is raised to what that takes."""
+    order = np.lexsort((-near, row))
+    first, end = np.searchsorted(row[order], np.arange(len(least))), np.searchsorted(row[order], np.arange(len(least)), "right")
+    full = np.flatnonzero(end - first >= most)
+    least[full] = np.maximum(least[full], near[order[first[full] + most - 1]] - 2 * slack)
+    return np.flatnonzero(near >= least[row])
+
+
+def _screened(x: np.ndarray, q: np.ndarray, worst: np.ndarray, most: int):
+    """(rows of ``q``, rows of ``x``) that may be among the ``most`` best and as good as ``worst``, for some rows of ``q`` at a time: all that are,
+    and hardly any others, by cosines in 32-bit floats."""
+    slack = (x.shape[1] + 8) * 2.0**-23  # twice what these are off by at most
+    units, asked = np.ascontiguousarray(_units(x).T, np.float32), _units(q).astype(np.float32)
+    for at in range(0, len(q), ROWS):
+        some = asked[at : at + ROWS]
+        least = worst[at : at + ROWS] - SCORE_SLACK - slack
+        row, item, near, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        for k, cut in enumerate(range(0, len(x), COLUMNS)):
+            found = some @ units[:, cut : cut + COLUMNS]
+            if k == 0 and most < found.shape[1]:
+                place = found.shape[1] - most
+                least = np.maximum(least, np.partition(found, place, axis=1)[:, place] - 2 * slack)
+            bound = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+            a, b = np.divmod(np.flatnonzero(found >= bound[:, None]), found.shape[1])
+            row, item, near = np.append(row, a), np.append(item, b + cut), np.append(near, found[a, b])
+            if k + 1 >= 2 * done or cut + COLUMNS >= len(x):  # after 1, 2, 4, ... parts
+                done = k + 1
+                keep = _leading(row, near, least, most, slack)
+                row, item, near = row[keep], item[keep], near[keep]
+        yield row + at, item
+
+
+def _best_of_all(k: int, schema: pa.Schema):
+    """As :func:`_best`, for large blocks."""
+
+    def run(items: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if len(items) and len(queries):
+            x, q = (_matrix(t["emb"].combine_chunks()) for t in (items, queries))
+            sx, sq = np.sqrt(row_dots(x, x)), np.sqrt(row_dots(q, q))
+            lists, names = items["ids"].combine_chunks(), queries["query"].to_numpy()
+            flat, count = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy().astype(np.int64)
+            start = np.cumsum(count) - count
+            for a, b in _screened(x, q, queries["worst"].to_numpy(), min(k, len(x))):
+                score, each = row_dots(x[b], q[a]) / (sx[b] * sq[a]), count[b]
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[b], each)
+                hit = pd.DataFrame({"query": np.repeat(names[a], each), "id": flat[at], "score": np.repeat(score, each)})
+                out.append(hit.sort_values(["score", "id"], ascending=[False, True]).groupby("query", sort=False).head(k))
+        return pa.Table.from_pandas(pd.concat(out), schema, preserve_index=False) if out else schema.empty_table()
+
+    return run
+
+
+def _met_by_all(index: Index, wide: DataFrame, m: int) -> DataFrame:
+    """(query, id, score): the best of all items for each of ``m`` queries (query, emb, worst), from every block."""
+    s = -(-int(index.n.sum()) // WIDE_ITEMS)
+    least = -(-TASKS_A_CORE * wide.sparkSession.sparkContext.defaultParallelism // s)
+    t = max(-(-m // WIDE_QUERIES), min(least, -(-m // LEAST_QUERIES)))
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    there = index.items.select(F.pmod(F.xxhash64("emb"), F.lit(s)).cast("int").alias("a"), every(t).alias("b"), "emb", "ids")
+    here = wide.select(every(s).alias("a"), F.pmod(F.xxhash64("query"), F.lit(t)).cast("int").alias("b"), "query", "emb", "worst")
+    blocks = there.repartition(s * t, "a", "b").groupBy("a", "b").cogroup(here.repartition(s * t, "a", "b").groupBy("a", "b"))  # not fewer tasks for few bytes
+    found = StructType([StructField("query", wide.schema["query"].dataType), StructField("id", index.items.schema["ids"].dataType.elementType), StructField("score", DoubleType())])
+    return blocks.applyInArrow(_best_of_all(index.k + 1, to_arrow_schema(found)), found)
+
+
 def search(index: Index, queries: DataFrame) -> Found:
     """The ``k`` items with the highest cosine for each of ``queries`` (query, emb), the item with the query's own id left out; ties
     go to the smaller id.
@@ -194,17 +273,23 @@ def search(index: Index, queries: DataFrame) -> Found:
         plan = stored(_planned(state, index, turn), "plan")
         visits = plan.select("query", "emb", "worst", F.explode("cells").alias("cell"))
         met = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # one row a cell
-        if not met:
+        wide = plan.where("rest > 0").select("query", "emb", "worst", "rest")
+        many = wide.agg(F.count(F.lit(1)).alias("n"), F.sum("rest").alias("rest")).first()
+        if not met and not many["n"]:
             break
-        looked += sum(m * size[c] for c, m in met.items())
-        splits = spark.createDataFrame([(c, -(-size[c] // ITEMS), -(-m // QUERIES)) for c, m in met.items()], "cell int, s long, t long")
-        there = index.items.join(F.broadcast(splits), "cell").select("cell", F.pmod(F.xxhash64("emb"), "s").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)).alias("b"), "emb", "ids")
-        here = visits.join(F.broadcast(splits), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("a"), F.pmod(F.xxhash64("query"), "t").alias("b"), "query", "emb", "worst")
-        cell = ["cell", "a", "b"]
-        hits = there.groupBy(*cell).cogroup(here.groupBy(*cell)).applyInPandas(_best(need), f"query {kind}, id {id_kind}, score double")
-        found = stored(best.unionByName(hits).withColumn("r", F.row_number().over(w)).where(F.col("r") <= need).drop("r"), "best")
+        looked += sum(m * size[c] for c, m in met.items()) + (many["rest"] or 0)
+        hits = best
+        if many["n"]:  # these find all that they had again
+            hits = best.join(wide.select("query").hint("merge"), "query", "left_anti").unionByName(_met_by_all(index, wide.drop("rest"), many["n"]))
+        if met:
+            splits = spark.createDataFrame([(c, -(-size[c] // ITEMS), -(-m // QUERIES)) for c, m in met.items()], "cell int, s long, t long")
+            there = index.items.join(F.broadcast(splits), "cell").select("cell", F.pmod(F.xxhash64("emb"), "s").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)).alias("b"), "emb", "ids")
+            here = visits.join(F.broadcast(splits), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("a"), F.pmod(F.xxhash64("query"), "t").alias("b"), "query", "emb", "worst")
+            cell = ["cell", "a", "b"]
+            hits = hits.unionByName(there.groupBy(*cell).cogroup(here.groupBy(*cell)).applyInPandas(_best(need), f"query {kind}, id {id_kind}, score double"))
+        found = stored(hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= need).drop("r"), "best")
         worst = found.groupBy("query").agg(F.count(F.lit(1)).alias("held"), F.min("score").alias("least"))
-        state = plan.select("query", "emb", "done").join(worst.hint("merge"), "query", "left").select("query", "emb", F.when(F.col("held") >= need, F.col("least")).otherwise(float("-inf")).alias("worst"), "done")
+        state = plan.where("rest = 0").select("query", "emb", "done").join(worst.hint("merge"), "query", "left").select("query", "emb", F.when(F.col("held") >= need, F.col("least")).otherwise(float("-inf")).alias("worst"), "done")
         discard(best)
         best, turn = found, turn + 1
     listed = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "id", "score"))).alias("found"))

@@ -72,4 +72,4 @@ def auto_classify(items: DataFrame, tags: DataFrame, root: str, k: int | None =
 
 
 def similar_segments(pairs: DataFrame, samples: DataFrame, threshold: float = 0.85) -> DataFrame:
-    return segments.similar_intervals(segments.best_matches(pairs, samples), threshold)
+    return segments.intervals(pairs, samples, threshold)
